@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, sharding, simhash
+from . import bpe, chat, decontaminate, lines, sharding, simhash
 from .common import table
 
 
@@ -27,6 +27,40 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH lines AS MATERIALIZED (
+  SELECT doc_id, CAST(i - 1 AS INTEGER) AS no, line FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL
+  ) WHERE length(line) >= 24
+), firsts AS MATERIALIZED (
+  SELECT line, min((doc_id, no)) AS origin FROM lines GROUP BY line
+), places AS (
+  SELECT line, origin, unnest(range(1, length(line) + 1)) AS i FROM firsts
+), variants AS (
+  SELECT line, origin, md5(left(line, i - 1) || substr(line, i + 1)) AS v, i AS spot, 0 AS kind FROM places
+  UNION ALL SELECT line, origin, md5(left(line, i - 1) || substr(line, i + 1)), 0, 2 FROM places
+  UNION ALL SELECT line, origin, md5(line), 0, 1 FROM firsts
+), heads AS (
+  SELECT v, spot, min(origin) FILTER (WHERE kind <> 2) AS head_a, min(origin) FILTER (WHERE kind <> 1) AS head_b FROM variants GROUP BY v, spot HAVING count(*) > 1
+), near AS (
+  SELECT DISTINCT line FROM variants JOIN heads USING (v, spot) WHERE CASE WHEN kind = 1 THEN head_b ELSE head_a END < origin
+), dropped AS (
+  SELECT doc_id, no FROM lines JOIN firsts USING (line) WHERE (lines.doc_id, lines.no) <> origin OR line IN (SELECT line FROM near)
+)
+SELECT d.doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS BIGINT) AS n_lines,
+  count(g.no) AS n_removed, coalesce(string_agg(CAST(g.no AS VARCHAR), ',' ORDER BY g.no), '') AS removed
+FROM documents d LEFT JOIN dropped g USING (doc_id) GROUP BY d.doc_id, d.text
+"""
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: A conversation made of control strings, formatted along with the table's.
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
@@ -60,10 +94,13 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_line_dedup": op6_line_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op9_chat_format": op9_chat_format,
     "op10_shards": op10_shards,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_line_dedup": OP6_SQL,
     "op9_chat_format": OP9_SQL,
 }
