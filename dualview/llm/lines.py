@@ -155,29 +155,30 @@ def meeting(distinct: DataFrame) -> DataFrame:
             met = again.copy()
             met[:-1] |= again[1:]
             a, b = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
-            spread = np.where(again, mix(a.view(np.uint64), slot).view(np.int64), key)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (spread, key, a, b, slot, met, again)], names=["spread", "key", "a", "b", "slot", "met", "again"])
+            # a place of their own for those not needed at the key; they count as met wherever they come
+            at = np.where(again, mix(a.view(np.uint64), slot).view(np.int64), key)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, a, b, slot, met)], names=["at", "a", "b", "slot", "met"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row that may yet meet the next
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 7)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             if last is not None:
                 cols = [np.concatenate((x, c)) for x, c in zip(last, cols, strict=True)]
-            key, a, b, slot, met, again = cols
+            at, a, b, slot, met = cols
             met = met.astype(bool)
-            same = key[1:] == key[:-1]
+            same = at[1:] == at[:-1]
             met[1:] |= same
             met[:-1] |= same
             out = np.flatnonzero(met[:-1])
-            last = [c[-1:] for c in (key, a, b, slot, met, again)]
+            last = [c[-1:] for c in (at, a, b, slot, met)]
             if len(out):
                 yield pa.RecordBatch.from_arrays([pa.array(a[out]), pa.array(b[out]), pa.array(slot[out])], names=["a", "b", "slot"])
         if last is not None and last[4][0]:
             yield pa.RecordBatch.from_arrays([pa.array(last[i]) for i in (1, 2, 3)], names=["a", "b", "slot"])
 
-    rows = distinct.select("a", "b", "keys").mapInArrow(explode, "spread long, key long, a long, b long, slot int, met boolean, again boolean")
-    return rows.repartition("spread").sortWithinPartitions("key").mapInArrow(runs, "a long, b long, slot int").distinct()
+    rows = distinct.select("a", "b", "keys").mapInArrow(explode, "at long, a long, b long, slot int, met boolean")
+    return rows.repartition("at").sortWithinPartitions("at").mapInArrow(runs, "a long, b long, slot int").distinct()
 
 
 def fine(met: DataFrame) -> DataFrame:
