@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, langid, lines, sharding, simhash, suffixes
+from . import ann, bpe, chat, decontaminate, langid, lines, lm, sharding, simhash, suffixes
 from .common import table
 
 
@@ -75,6 +75,10 @@ FROM documents d LEFT JOIN dropped g USING (doc_id) GROUP BY d.doc_id, d.text
 """
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), vocabulary(), langid.fold("doc_id", 10) == 0)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -116,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_lm_score": op7_lm_score,
     "op8_decontaminate": op8_decontaminate,
     "op9_chat_format": op9_chat_format,
     "op10_shards": op10_shards,
