@@ -261,11 +261,12 @@ def round_trip(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
     return map_slices(_plain(df, [key], text), "text", step, schema, most=2 << 20)
 
 
-def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of what ``round_trip`` returns."""
+def digests(encoded: DataFrame, key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """n_tokens, ids_sha256 and decoded_sha256 of what ``round_trip`` returns, and its columns ``keep``."""
     return encoded.select(
         key,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *keep,
     )

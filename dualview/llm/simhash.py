@@ -285,3 +285,33 @@ def near_duplicates(df: DataFrame, words: int = 3, bits: int = 3, key: str = "do
     least = joined.groupBy("root").agg(F.min("least").alias("component"))
     classes = joined.join(least, "root").select("fp", "component")
     return marked.join(classes, "fp").select(key, "fp", "component")
+
+
+def similarity(a: str, b: str, words: int) -> float:
+    """Jaccard similarity of two texts' sets of word shingles; 1 for two without words."""
+    x, y = (np.unique(shingle_hashes(t, words)) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    total = len(x) + len(y) - both
+    return both / total if total else 1.0
+
+
+def keep_one(docs: DataFrame, words: int = 5, bits: int = 7, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` less every row that is a near copy of the row of least key in its component.
+
+    Components link fingerprints within ``bits``; a row goes only if its word shingles are
+    also similar by ``least`` or more to those of the row that stays, so rows that merely
+    chain to it stay too. Rows of null key stay, as do all rows of the key that stays.
+    """
+    found = near_duplicates(docs.where(F.col(key).isNotNull()), words, bits, key, text)
+    pairs = settle(found.where(F.col(key) != F.col("component")).select(F.col(key).alias("_copy"), F.col("component").alias("_stays")).distinct(), "copies")
+    texts = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    copies = pairs.join(texts, F.col("_copy") == F.col("_key")).select("_copy", "_stays", F.col("_text").alias("a"))
+    stays = texts.join(pairs.select("_stays").distinct(), F.col("_stays") == F.col("_key")).select(F.col("_key").alias("_stay"), F.col("_text").alias("b")).dropDuplicates(["_stay"])
+    kind = dict(docs.dtypes)[key]
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        good = [similarity(a, b, words) >= least for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, type=pa.bool_()))], names=["_copy"])
+
+    gone = map_slices(copies.join(stays, F.col("_stays") == F.col("_stay")).select("_copy", "a", "b"), "a", step, f"_copy {kind}")
+    return docs.join(gone.distinct(), F.col(key) == F.col("_copy"), "left_anti")
