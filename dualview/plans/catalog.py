@@ -1,4 +1,6 @@
 """Registry of the reliability queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import agreement, inference, rankings, relational  # noqa: F401  they register themselves
+from .tables import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
