@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,10 +75,13 @@ def contained_in(items: DataFrame, item_tokens: str, targets: DataFrame, target_
     return out.unionByName(more.drop("_key", "_t", "_first"))
 
 
-def first_candidate(left: DataFrame, right: DataFrame, keys: Sequence[str], id: str, fits: Column, order: Sequence[Column | str], none: str = "no_match") -> DataFrame:
-    """For each left row the first right row, in source order, of equal keys that fits; status says whether there is one."""
-    found = left.select(id, *keys).join(right, list(keys)).where(fits)
-    first = found.withColumn("_n", F.row_number().over(Window.partitionBy(id).orderBy(*order))).where("_n = 1").drop("_n", *keys)
+def first_candidate(left: DataFrame, right: DataFrame, keys: Sequence[str], id: str, tested: Sequence[str], fits: Callable[[], Column], order: Sequence[Column | str], none: str = "no_match") -> DataFrame:
+    """For each left row the first right row, in source order, of equal keys that fits; status says whether there is one.
+
+    ``fits`` is a predicate over ``id``, the left columns ``tested`` and the right columns.
+    """
+    found = left.select(id, *keys, *tested).join(right, list(keys)).where(fits())
+    first = found.withColumn("_n", F.row_number().over(Window.partitionBy(id).orderBy(*order))).where("_n = 1").drop("_n", *keys, *tested)
     return left.join(first.withColumn("_hit", F.lit(True)), id, "left").withColumn("status", F.when(F.col("_hit"), "match").otherwise(none)).drop("_hit")
 
 
