@@ -1 +1,133 @@
+"""Queries on sampling, resampling, release and the domain kernels."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..config import DEFAULT
+from ..functions import chemistry, scalars
+from ..operators import conditions as C
+from ..operators import hull, logistic
+from ..operators import relations as R
+from ..operators import release as E
+from ..operators import resample as P
+from .tables import LB, LI, documents, items, query, table
+
+_H = "CAST(('0x' || substr(md5({x}), 1, 8)) AS BIGINT)"
+
+
+def _h(x: str) -> str:
+    return _H.format(x=x)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('20260523:' || o_orderkey), o_orderkey LIMIT 500")
+def hash_sample(spark, sf):
+    return P.hash_sample(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 500, 20260523)
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('20260523:' || o_orderkey), o_orderkey) AS n FROM orders) WHERE n <= CASE o_orderstatus WHEN 'F' THEN 100 WHEN 'O' THEN 50 ELSE 0 END")
+def stratified_hash_sample(spark, sf):
+    return P.stratified_sample(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus", {"F": 100, "O": 50}, 20260523)
+
+
+@query(f"SELECT o_orderkey, {_h(chr(39) + '20260524:' + chr(39) + ' || o_orderkey')} / 4294967296 AS random_score FROM orders")
+def random_rank_baseline(spark, sf):
+    return P.random_scores(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 20260524)
+
+
+_FIRST = LB + ", s AS (SELECT id, disc, lab_a, lab_b, row_number() OVER (ORDER BY md5('7:' || id), id) - 1 AS i FROM lb QUALIFY i < 300)"
+
+
+def _first(spark, sf):
+    """A sample of 300 labelled documents, numbered."""
+    h = P.hash_sample(documents(spark, sf).select("id", "discordant", "lab_a", "lab_b"), "id", 300, 7)
+    return P.numbered(h.withColumn("_h", F.md5(F.concat_ws(":", F.lit("7"), F.col("id").cast("string")))), ["_h", "id"])
+
+
+def _draws(seed: int, reps: int, value: str) -> str:
+    return f""", d AS (SELECT r.rep, {_h(f"concat_ws(':', '{seed}', r.rep, q.draw)")} % 300 AS i FROM range({reps}) r(rep), range(300) q(draw)),
+b AS (SELECT rep, avg({value}) AS mean FROM d JOIN s USING (i) GROUP BY rep) SELECT round(avg(mean), 9) AS mean, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM b"""
+
+
+def _rounded(df):
+    return df.select(*[F.round(c, 9).alias(c) for c in df.columns])
+
+
+@query(_FIRST + _draws(11, 200, "CAST(disc AS INTEGER)"))
+def bootstrap_rate_ci(spark, sf):
+    rows = _first(spark, sf).withColumn("v", F.col("discordant").cast("int"))
+    return _rounded(P.interval(P.bootstrap_mean(rows, "v", 300, 200, 11)))
+
+
+@query(_FIRST + _draws(12, 200, "CAST(lab_a AS INTEGER) - CAST(lab_b AS INTEGER)"))
+def paired_bootstrap_shift(spark, sf):
+    rows = _first(spark, sf).withColumn("v", F.col("lab_a").cast("int") - F.col("lab_b").cast("int"))
+    return _rounded(P.interval(P.bootstrap_mean(rows, "v", 300, 200, 12)))
+
+
+@query(_FIRST + f""", h AS (SELECT r.rep, disc, row_number() OVER (PARTITION BY r.rep ORDER BY {_h("concat_ws(':', '13', r.rep, s.i)")}, s.i) AS place FROM s, range(200) r(rep)),
+c AS (SELECT rep, count(*) FILTER (WHERE disc) AS hits FROM h WHERE place <= 30 GROUP BY rep), o AS (SELECT count(*) FILTER (WHERE disc) AS k FROM s WHERE i < 30)
+SELECT (count(*) FILTER (WHERE hits >= k) + 1) / (count(*) + 1) AS p_value, round(avg(hits), 9) AS null_mean, quantile_cont(hits, 0.95) AS null_p95 FROM c, o""")
+def permutation_null(spark, sf):
+    rows = _first(spark, sf)
+    observed = rows.where("i < 30").agg(C.count_if(F.col("discordant")).alias("k"))
+    counts = P.permutation_counts(rows, "discordant", 30, 200, 13).crossJoin(F.broadcast(observed))
+    return P.permutation_p(counts, F.col("k")).withColumn("null_mean", F.round("null_mean", 9))
+
+
+@query(LI + """, n AS (SELECT count(*) FILTER (WHERE lab_a) AS p FROM li), r AS (SELECT *, -price AS score, row_number() OVER (PARTITION BY lab_a ORDER BY -price DESC, id) AS pr FROM li),
+o AS (SELECT r.*, lab_a AND pr <= round_even(0.1::DOUBLE * p, 0) AS observed, CAST(('0x' || substr(md5('3:' || partkey), 1, 8)) AS BIGINT) % 2 = 0 AS is_cal FROM r, n),
+mx AS (SELECT partkey, max(score) AS m FROM o WHERE is_cal AND NOT observed GROUP BY partkey), k AS (SELECT count(*) AS m, -1 / ln(1 / (count(*) + 1)) AS g FROM mx),
+pool AS (SELECT * FROM o WHERE NOT is_cal ORDER BY score DESC, id LIMIT 200),
+e AS (SELECT pool.*, g * pow(least(1, (1 + (SELECT count(*) FROM mx WHERE mx.m >= pool.score)) / (k.m + 1)), g - 1) AS e FROM pool, k),
+s AS (SELECT *, row_number() OVER (ORDER BY e DESC, score DESC, id) AS k FROM e), l AS (SELECT coalesce(max(k) FILTER (WHERE e >= 200 / (0.1::DOUBLE * k)), 0) AS released, coalesce(max(0.1::DOUBLE * k * e / 200), 0) AS best FROM s)
+SELECT CAST(released AS INTEGER) AS released, round(best, 9) AS best_mass_ratio, coalesce((SELECT avg(CAST(NOT lab_a AS INTEGER)) FROM s WHERE k <= released), 0) AS a_false_rate, coalesce((SELECT avg(CAST(NOT lab_b AS INTEGER)) FROM s WHERE k <= released), 0) AS b_false_rate FROM l""")
+def conformal_evalue_release(spark, sf):
+    rows = E.observed_mask(items(spark, sf).withColumn("score", -F.col("price")), F.col("lab_a"), "score", "id", 0.10)
+    halves = E.hashed_halves(rows, "partkey", 3)
+    maxima = halves.where("is_cal and not observed").groupBy("partkey").agg(F.max("score").alias("block_max"))
+    out = E.release(E.e_values(halves.where("not is_cal"), maxima, "score"), "score", "id", 200, 0.10)
+    return out.withColumn("best_mass_ratio", F.round("best_mass_ratio", 9))
+
+
+@query()
+def hypergeometric_p(spark, sf):
+    """Closed form of the permutation null on the sample of documents; SQL has no large binomials."""
+    s = _first(spark, sf).agg(F.count("*").alias("n"), C.count_if(F.col("discordant")).alias("marked"), C.count_if(F.col("discordant") & (F.col("i") < 30)).alias("hits")).first()
+    p = P.hypergeometric_tail(s["n"], s["marked"], min(30, s["n"]), s["hits"])
+    return spark.createDataFrame([(s["n"], s["marked"], s["hits"], p)], "n long, marked long, hits long, p_value double")
+
+
+@query()
+def logistic_coefs(spark, sf):
+    """Discordance on three scores by return flag, over a hash sample of 2000 rows of each flag."""
+    rows = P.stratified_sample(items(spark, sf), "id", "flag", dict.fromkeys("ANR", 2000), DEFAULT.seed)
+    return logistic.coefficients(rows, "flag", ["price", "qty", "day"], "discordant")
+
+
+#: A binary system for the hull query: formula and energy per atom of the phases.
+PHASES = [("Ti", 0.0), ("O", 0.0), ("TiO", -2.0), ("TiO2", -3.2), ("Ti2O3", -2.9), ("Ti3O", -0.9)]
+
+
+@query()
+def hull_energy(spark, sf):
+    """Energy above the hull of every phase of a small system."""
+    def frame(id):
+        rows = spark.createDataFrame(PHASES, f"{id} string, energy double")
+        return rows.select(id, "energy", chemistry.composition(id).alias("amounts"), scalars.element_tokens(F.col(id)).alias(f"{id}_elements"))
+
+    targets = frame("target_id")
+    rivals = R.contained_in(frame("phase"), "phase_elements", targets.select("target_id", "target_id_elements"), "target_id_elements")
+    found = hull.above_hull(targets.select("target_id", "amounts", "energy"), rivals.select(F.col("target_id").alias("of"), "amounts", "energy").withColumnRenamed("of", "target_id"))
+    return found.withColumn("on_hull", hull.on_hull(F.col("e_above_hull")))
+
+
+FORMULAS = ["Er(CuGe)2", "Nb4CoSi", "Ca3(PO4)2", "Hf4S2", "BaTe", "not a formula", None]
+
+
+@query()
+def formula_parse(spark, sf):
+    """Reduced and anonymous formulas, elements, families and system keys."""
+    rows = spark.createDataFrame([(f,) for f in FORMULAS], "formula string")
+    tokens = scalars.element_tokens(F.col("formula"))
+    return rows.select("formula", chemistry.reduced_formula("formula").alias("reduced"), chemistry.anonymous_formula("formula").alias("anonymous"), scalars.system_key(tokens).alias("system"), F.concat_ws(",", scalars.tags(tokens, chemistry.FAMILIES)).alias("families"))
