@@ -14,7 +14,6 @@ from .agreement import _RATES, cells
 from .tables import LI, LONG, MODELS, items, query, scores
 
 KS = (100, 300, 500, 1000, 5000, 10000)
-A, B = F.col("lab_a"), F.col("lab_b")
 
 RANKED = LONG + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score, id) AS rank, count(*) OVER (PARTITION BY model) AS n FROM long)"""
 
@@ -30,7 +29,7 @@ def rank_percentile(spark, sf):
 
 @query(RANKED + ", k AS (SELECT unnest([100, 300, 500, 1000, 5000, 10000]) AS k) SELECT model, CAST(k AS INTEGER) AS k, count(*) AS n, count(*) FILTER (WHERE lab_a) AS a_n, count(*) FILTER (WHERE lab_b) AS b_n, count(*) FILTER (WHERE disc) AS discordant_n, abs(count(*) FILTER (WHERE lab_a) - count(*) FILTER (WHERE lab_b)) AS shift_n FROM ranked JOIN k ON rank <= k GROUP BY model, k HAVING count(*) = k")
 def topk_prefix_metrics(spark, sf):
-    sums = [C.count_if(A).alias("a_n"), C.count_if(B).alias("b_n"), C.count_if(F.col("discordant")).alias("discordant_n")]
+    sums = [C.count_if(F.col("lab_a")).alias("a_n"), C.count_if(F.col("lab_b")).alias("b_n"), C.count_if(F.col("discordant")).alias("discordant_n")]
     return K.prefix_metrics(scores(items(spark, sf)), KS, ["model"], ["score", "id"], sums).withColumn("shift_n", F.abs(F.col("a_n") - F.col("b_n")))
 
 
@@ -44,7 +43,7 @@ def topk_quadrants(spark, sf):
 @query(RANKED + ", k AS (SELECT unnest([100, 300, 500, 1000, 2000]) AS k) SELECT model, CAST(k AS INTEGER) AS k, count(*) FILTER (WHERE lab_a) / k AS precision_a, count(*) FILTER (WHERE lab_b) / k AS precision_b, count(*) FILTER (WHERE lab_a) / k - count(*) FILTER (WHERE lab_b) / k AS shift FROM ranked JOIN k ON rank <= k GROUP BY model, k HAVING count(*) = k")
 def topk_shift(spark, sf):
     long = scores(items(spark, sf))
-    out = K.prefix_metrics(long, (100, 300, 500, 1000, 2000), ["model"], ["score", "id"], [C.count_if(A).alias("a"), C.count_if(B).alias("b")])
+    out = K.prefix_metrics(long, (100, 300, 500, 1000, 2000), ["model"], ["score", "id"], [C.count_if(F.col("lab_a")).alias("a"), C.count_if(F.col("lab_b")).alias("b")])
     rows = out.select("model", "k", F.explode(F.array(*[F.struct(F.lit(s).alias("source"), S.ratio(F.col(s), F.col("k")).alias("precision")) for s in ("a", "b")])).alias("r")).select("model", "k", "r.*")
     return R.pair_by_column(rows, ["model", "k"], "source", ("a", "b"), "precision")
 
@@ -83,7 +82,7 @@ def top_decile_enrichment(spark, sf):
 def _classified(rows, keep):
     """Metrics of the top fraction as prediction, under each label source."""
     predicted = F.col("rank") <= K.top_size(F.col("n"), 0.10, 20)
-    sums = [c.alias(f"{k}_{s}") for s, t in (("a", A), ("b", B)) for k, c in zip(("tp", "fp", "fn", "tn"), M.confusion_counts(predicted, t), strict=True)]
+    sums = [c.alias(f"{k}_{s}") for s, t in (("a", F.col("lab_a")), ("b", F.col("lab_b"))) for k, c in zip(("tp", "fp", "fn", "tn"), M.confusion_counts(predicted, t), strict=True)]
     wide = rows.groupBy(*keep).agg(*sums)
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), *[F.col(f"{k}_{s}").alias(k) for k in ("tp", "fp", "fn", "tn")]) for s in ("a", "b")]))
     return M.with_metrics(wide.select(*keep, each.alias("r")).select(*keep, "r.*"))
@@ -102,17 +101,17 @@ _BY = LONG + ", g AS (SELECT model, score, count(*) FILTER (WHERE lab_a) AS p, c
 
 @query(_BY + ", c AS (SELECT *, sum(m) OVER (PARTITION BY model ORDER BY score) AS cm FROM g), s AS (SELECT model, CAST(sum(p * (cm - m + (m + 1) / 2)) AS DOUBLE) AS r, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(m) AS BIGINT) AS n FROM c GROUP BY model) SELECT model, positives, n, round((r - CAST(positives AS DOUBLE) * (positives + 1) / 2) / (CAST(positives AS DOUBLE) * (n - positives)), 9) AS auroc FROM s")
 def auroc_ties(spark, sf):
-    return M.auroc(scores(items(spark, sf)), ["model"], "score", A).withColumn("auroc", F.round("auroc", 9))
+    return M.auroc(scores(items(spark, sf)), ["model"], "score", F.col("lab_a")).withColumn("auroc", F.round("auroc", 9))
 
 
 @query(_BY + ", c AS (SELECT *, CAST(sum(p) OVER w AS DOUBLE) AS cp, CAST(sum(m) OVER w AS DOUBLE) AS cm FROM g WINDOW w AS (PARTITION BY model ORDER BY score DESC)) SELECT model, CAST(sum(p) AS BIGINT) AS positives, round(sum(p * cp / cm) / CAST(sum(p) AS DOUBLE), 9) AS average_precision FROM c GROUP BY model")
 def average_precision(spark, sf):
-    return M.average_precision(scores(items(spark, sf)), ["model"], "score", A).withColumn("average_precision", F.round("average_precision", 9))
+    return M.average_precision(scores(items(spark, sf)), ["model"], "score", F.col("lab_a")).withColumn("average_precision", F.round("average_precision", 9))
 
 
 @query(LONG + f", q AS (SELECT model, quantile_cont(score, 0.5) AS median FROM long GROUP BY model), c AS (SELECT model, median, {cells('score >= median', 'lab_a')} FROM long JOIN q USING (model) GROUP BY model, median) SELECT *, {_RATES} FROM c")
 def median_threshold_f1(spark, sf):
-    return M.at_median(scores(items(spark, sf)), ["model"], "score", A)
+    return M.at_median(scores(items(spark, sf)), ["model"], "score", F.col("lab_a"))
 
 
 @query(CLASSIFIED + " SELECT source, string_agg(model, '|' ORDER BY f1 DESC, model) AS names FROM m GROUP BY source")

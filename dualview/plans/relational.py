@@ -151,10 +151,10 @@ def element_reference_sum(spark, sf):
     return R.reference_sums(p.select("p_partkey", amounts.alias("amounts")), "p_partkey", "amounts", refs, "token", "ref")
 
 
-@query("SELECT o_orderpriority, quantile_cont(o_totalprice, 0.025) AS low, quantile_cont(o_totalprice, 0.5) AS middle, quantile_cont(o_totalprice, 0.975) AS high FROM orders GROUP BY o_orderpriority")
+@query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.025), 6) AS low, round(quantile_cont(o_totalprice, 0.5), 6) AS middle, round(quantile_cont(o_totalprice, 0.975), 6) AS high FROM orders GROUP BY o_orderpriority")
 def quantiles_interpolated(spark, sf):
     q = F.percentile("o_totalprice", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(q.alias("q")).select("o_orderpriority", F.col("q")[0].alias("low"), F.col("q")[1].alias("middle"), F.col("q")[2].alias("high"))
+    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(q.alias("q")).select("o_orderpriority", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("low", "middle", "high"))])
 
 
 @query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n, max(value) AS high FROM events GROUP BY 1, 2")
