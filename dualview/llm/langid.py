@@ -97,8 +97,8 @@ class ByteNet:
         return out
 
 
-def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 6, seed: int = 7, rate: float = 4e-3) -> ByteNet:
-    """Fit by Adam on the cross-entropy; gradients flow through each filter's maximum only."""
+def train(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 600, seed: int = 7, rate: float = 4e-3) -> ByteNet:
+    """Fit by Adam on the cross-entropy, in about ``steps`` steps over whole passes; gradients flow through each filter's maximum only."""
     rng = np.random.default_rng(seed)
     net = ByteNet(langs)
     mask, k = ByteNet.mask(), max(WIDTHS) * EMBED
@@ -110,7 +110,7 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 6, seed:
     names = ("embed", "filters", "bias", "out", "out_bias")
     moment = {n: (np.zeros_like(getattr(net, n)), np.zeros_like(getattr(net, n))) for n in names}
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(1, round(steps * 32 / max(1, len(x))))):
         order = rng.permutation(len(x))
         for lo in range(0, len(order), 32):
             pick = order[lo : lo + 32]

@@ -264,8 +264,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: i
     """``docs`` without its later duplicate lines; all rows and columns stay, a null text stays null."""
     found = removed_lines(docs, key, text, min_chars).withColumnsRenamed({"doc": "_doc", "mark": "_mark", "removed": "_removed"})
     joined = docs.join(found, docs[key].eqNullSafe(found["_doc"]) & (F.xxhash64(docs[text]) == found["_mark"]), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("_removed", i)), "\n")
-    return joined.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    kept = F.array_join(F.filter(F.split(docs[text], "\n", -1), lambda _, i: ~F.array_contains(found["_removed"], i)), "\n")
+    return joined.select(*[F.when(found["_removed"].isNull(), docs[c]).otherwise(kept).alias(c) if c == text else docs[c] for c in docs.columns])
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:

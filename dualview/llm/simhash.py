@@ -314,4 +314,5 @@ def keep_one(docs: DataFrame, words: int = 5, bits: int = 7, least: float = 0.8,
         return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, type=pa.bool_()))], names=["_copy"])
 
     gone = map_slices(copies.join(stays, F.col("_stays") == F.col("_stay")).select("_copy", "a", "b"), "a", step, f"_copy {kind}")
-    return docs.join(gone.distinct(), F.col(key) == F.col("_copy"), "left_anti")
+    gone = gone.distinct()
+    return docs.join(gone, docs[key] == gone["_copy"], "left_anti")
