@@ -251,10 +251,11 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     don't matter.
     """
     occurrence = F.struct("doc", "mark", "no")
-    distinct = _scan(docs, key, text, min_chars, "keys").groupBy("a", "b").agg(F.min(occurrence).alias("first"), F.first("keys").alias("keys"))
+    distinct = _scan(docs, key, text, min_chars, "keys").groupBy("a", "b").agg(F.min(occurrence).alias("first"), F.first("keys").alias("keys"), F.count("*").alias("n"))
     distinct = settle(distinct, "lines")
     gone = near(docs, distinct, key, text, min_chars).withColumn("near", F.lit(True))
-    known = distinct.select("a", "b", "first").join(gone, ["a", "b"], "left")
+    # only lines that lose an occurrence, as a table of its own, so that the join can split a crowded line
+    known = settle(distinct.select("a", "b", "first", "n").join(gone, ["a", "b"], "left").where("n > 1 or near").select("a", "b", "first", "near"), "losing")
     seen = _scan(docs, key, text, min_chars, "").join(known, ["a", "b"])
     out = seen.where(F.col("near") | ~occurrence.eqNullSafe(F.col("first")))
     return out.groupBy("doc", "mark").agg(F.sort_array(F.collect_set("no")).alias("removed"))
