@@ -280,7 +280,8 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, batch: int
         raise ValueError(f"length must be at least {GRAM}")
     rows = settle(_anchor_rows(docs, text, length), "anchors")
     who = F.struct("key_a", "key_b", "start")
-    again = rows.groupBy("anchor").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low <> high").select("anchor")
+    # a table of its own, so that the join can split a crowded anchor
+    again = settle(rows.groupBy("anchor").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low <> high").select("anchor"), "again")
     wanted = rows.join(again, "anchor").groupBy("key_a", "key_b").agg(F.collect_set("start").alias("starts"))
     distinct = docs.where(F.octet_length(text) >= length).select(*text_key(text), F.col(text).alias("text")).groupBy("key_a", "key_b").agg(F.first("text").alias("text"))
     texts = settle(distinct.join(wanted, ["key_a", "key_b"]), "texts")
