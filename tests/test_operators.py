@@ -220,3 +220,33 @@ def test_stream_ingest_resumes(spark, tmp_path):
         (tmp_path / "in" / f"{name}.json").write_text(text)
         ingest(spark, str(tmp_path / "in"), schema, "id", str(tmp_path / "out"), str(tmp_path / "state"))
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_structures_match_up_to_shift_and_scale(spark):
+    from dualview.operators.structures import STRUCTURE, match_status, similar, structure_match
+
+    salt = {"lattice": [[4.0, 0.0, 0.0], [0.0, 4.0, 0.0], [0.0, 0.0, 4.0]], "species": ["Na", "Cl"], "coords": [[0.0, 0.0, 0.0], [0.5, 0.5, 0.5]]}
+    moved = {"lattice": [[4.2, 0.0, 0.0], [0.0, 4.2, 0.0], [0.0, 0.0, 4.2]], "species": ["Cl", "Na"], "coords": [[0.75, 0.75, 0.75], [0.25, 0.25, 0.25]]}
+    bent = salt | {"coords": [[0.0, 0.0, 0.0], [0.5, 0.0, 0.0]]}
+    assert similar(salt, moved) and not similar(salt, bent) and not similar(salt, salt | {"species": ["K", "Cl"]})
+    rows = [(True, salt, moved), (True, salt, bent), (True, salt, salt | {"coords": [[0.0, 0.0]]}), (False, salt, salt)]
+    df = spark.createDataFrame(rows, "there boolean, a struct<lattice: array<array<double>>, species: array<string>, coords: array<array<double>>>, b struct<lattice: array<array<double>>, species: array<string>, coords: array<array<double>>>")
+    assert df.schema["a"].dataType == STRUCTURE
+    got = [r[0] for r in df.select(match_status(F.col("there"), structure_match("a", "b"))).collect()]
+    assert got[:2] == ["strict_structure_match", "structure_mismatch"] and got[2].startswith("match_error_") and got[3] == "missing_record"
+
+
+def test_scoring_has_a_status_for_each_row(spark):
+    from dualview.operators.scoring import score
+
+    def load():
+        def scorer(rows):
+            if (rows["x"] < 0).any():
+                raise ValueError("negative")
+            return rows["x"].to_numpy() * 2
+
+        return scorer
+
+    df = spark.createDataFrame([("a", 1.0), ("b", -1.0), ("c", 1e7)], "id string, x double").coalesce(1)
+    got = {r["id"]: (r["score"], r["status"]) for r in score(df, "id", ["x"], load, "m").collect()}
+    assert got == {"a": (2.0, "scored"), "b": (None, "failed_ValueError"), "c": (None, "failed_nonfinite_or_nonphysical")}
