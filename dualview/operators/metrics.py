@@ -71,5 +71,5 @@ def average_precision(df: DataFrame, group: Sequence[str], score: str, truth: Co
 def at_median(df: DataFrame, group: Sequence[str], score: str, truth: Column) -> DataFrame:
     """Metrics of ``score >= median`` in each group."""
     medians = df.groupBy(*group).agg(F.percentile(score, F.lit(0.5)).alias("median"))
-    joined = df.join(F.broadcast(medians), list(group))
+    joined = df.join(medians, list(group))
     return with_metrics(joined.groupBy(*group, "median").agg(*confusion_counts(F.col(score) >= F.col("median"), truth)))

@@ -47,7 +47,7 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], ranges: in
     """Add rank (from 1), n of the group and rank_percentile, over all rows given."""
     out = running_sums(df, group, order, {"rank": F.lit(1)}, ranges)
     sizes = df.groupBy(*group).agg(F.count("*").alias("n")) if group else df.agg(F.count("*").alias("n"))
-    out = out.join(F.broadcast(sizes), list(group)) if group else out.crossJoin(F.broadcast(sizes))
+    out = out.join(sizes, list(group)) if group else out.crossJoin(F.broadcast(sizes))
     return out.withColumn("rank_percentile", F.col("rank") / F.col("n"))
 
 

@@ -55,8 +55,7 @@ def interval(df: DataFrame, column: str = "mean", low: float = 0.025, high: floa
 
 def permutation_counts(rows: DataFrame, label: str, top: int, replicates: int, seed: int) -> DataFrame:
     """Labelled rows among the first ``top`` of each random order of numbered rows."""
-    reps = rows.sparkSession.range(replicates).select(F.col("id").cast("int").alias("rep"))
-    every = rows.select("i", label).crossJoin(F.broadcast(reps)).withColumn("h", S.hashed(seed, F.col("rep"), F.col("i")))
+    every = rows.select("i", label).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("h", S.hashed(seed, F.col("rep"), F.col("i")))
     order = Window.partitionBy("rep").orderBy("h", "i")
     return every.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).groupBy("rep").agg(count_if(F.col(label)).alias("hits"))
 
