@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ranking import running_sums
 
 
 def block_halves(blocks: list[str], seed: int) -> tuple[set[str], set[str]]:
@@ -25,9 +26,9 @@ def hashed_halves(df: DataFrame, block: str, seed: int) -> DataFrame:
 def observed_mask(df: DataFrame, truth: Column, score: str, id: str, rho: float) -> DataFrame:
     """``observed``: the top round(rho * positives) positives by score, halves rounded to even."""
     n = df.agg(F.count_if(truth).alias("_p"))
-    order = Window.partitionBy("_pos").orderBy(F.desc(score), id)
-    rows = df.withColumn("_pos", F.coalesce(truth, F.lit(False))).crossJoin(F.broadcast(n)).withColumn("_r", F.row_number().over(order))
-    return rows.withColumn("observed", F.col("_pos") & (F.col("_r") <= S.half_even(F.lit(float(rho)) * F.col("_p")))).drop("_pos", "_p", "_r")
+    marked = df.withColumns({"_pos": F.coalesce(truth, F.lit(False)), "_down": -F.col(score)})
+    rows = running_sums(marked, ["_pos"], ["_down", id], {"_r": F.lit(1)}).crossJoin(F.broadcast(n))
+    return rows.withColumn("observed", F.col("_pos") & (F.col("_r") <= S.half_even(F.lit(float(rho)) * F.col("_p")))).drop("_pos", "_down", "_p", "_r")
 
 
 def e_values(test: DataFrame, maxima: DataFrame, score: str, maximum: str = "block_max") -> DataFrame:
@@ -39,9 +40,8 @@ def e_values(test: DataFrame, maxima: DataFrame, score: str, maximum: str = "blo
     m = maxima.count()
     p_floor = 1.0 / (m + 1.0)
     both = test.select(F.col(score).alias("_v")).distinct().select("_v", F.lit(0).alias("_c")).unionByName(maxima.groupBy(F.col(maximum).alias("_v")).agg(F.count("*").cast("int").alias("_c")))
-    per = both.groupBy("_v").agg(F.sum("_c").alias("_c"))
-    above = Window.orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0)
-    exceed = per.withColumn("_exceed", F.sum("_c").over(above)).select("_v", "_exceed")
+    per = both.groupBy("_v").agg(F.sum("_c").alias("_c")).withColumn("_down", -F.col("_v"))
+    exceed = running_sums(per, [], ["_down"], {"_exceed": F.col("_c")}).select("_v", "_exceed")
     joined = test.join(exceed, F.col(score) == F.col("_v")).drop("_v")
     p = F.least(F.lit(1.0), (1 + F.col("_exceed")) / F.lit(m + 1.0))
     gamma = S.conformal_gamma(F.lit(p_floor))
