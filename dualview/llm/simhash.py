@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, settle
+from .common import map_slices, settle, text_key
 from .components import components
 
 #: Fingerprints looked at to plan the partitions. The plan changes cost, never results.
@@ -28,6 +28,11 @@ PLAN_SAMPLE = 4096
 #: Buckets beyond this many fingerprints are linked through variants instead of pairs.
 BUCKET = 4096
 WIDTH = 64
+#: Shingles in more prefixes than this come last in their order, the commonest so many at most.
+COMMON = 16
+MOST_COMMON = 1 << 17
+#: Rounds in which near copies are compared with the least of their group only.
+HEAD_ROUNDS = 4
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -295,24 +300,125 @@ def similarity(a: str, b: str, words: int) -> float:
     return both / total if total else 1.0
 
 
-def keep_one(docs: DataFrame, words: int = 5, bits: int = 7, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` less every row that is a near copy of the row of least key in its component.
+def needed(n: int, least: float) -> int:
+    """Shingles a set of n must share with any set that is similar by ``least`` or more."""
+    return max(1, int(np.ceil(n * least - 1e-9)))
+
+
+def prefixes(texts: DataFrame, words: int, least: float, common: np.ndarray) -> DataFrame:
+    """(shingle, node, n): the first n - needed(n) + 1 shingles of each text's set of n, in one order for all.
 
-    Components link fingerprints within ``bits``; a row goes only if its word shingles are
-    also similar by ``least`` or more to those of the row that stays, so rows that merely
-    chain to it stay too. Rows of null key stay, as do all rows of the key that stays.
+    Two sets similar by ``least`` have one of these in common, whatever the order. ``common``
+    (sorted) come last and the rest by hash: the order changes cost, never results.
     """
-    found = near_duplicates(docs.where(F.col(key).isNotNull()), words, bits, key, text)
-    pairs = settle(found.where(F.col(key) != F.col("component")).select(F.col(key).alias("_copy"), F.col("component").alias("_stays")).distinct(), "copies")
-    texts = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    copies = pairs.join(texts, F.col("_copy") == F.col("_key")).select("_copy", "_stays", F.col("_text").alias("a"))
-    stays = texts.join(pairs.select("_stays").distinct(), F.col("_stays") == F.col("_key")).select(F.col("_key").alias("_stay"), F.col("_text").alias("b")).dropDuplicates(["_stay"])
-    kind = dict(docs.dtypes)[key]
+    sent = texts.sparkSession.sparkContext.broadcast(common)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        late, rows, sizes = sent.value, [], []
+        for t in batch.column(1).to_pylist():
+            x = np.unique(shingle_hashes(t, words))
+            sizes.append(len(x))
+            if len(late) and len(x):
+                at = np.minimum(np.searchsorted(late, x), len(late) - 1)
+                x = x[np.argsort(late[at] == x, kind="stable")]
+            rows.append(x[: len(x) - needed(len(x), least) + 1] if len(x) else x)
+        pick = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        found = np.concatenate([*rows, np.zeros(0, dtype=np.uint64)]).astype(np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(0).take(pa.array(pick)), pa.array(np.array(sizes, dtype=np.int32)[pick])], names=["shingle", "node", "n"])
+
+    return map_slices(texts.select("node", "text"), "text", step, "shingle long, node long, n int")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose texts' sets of shingles are similar by ``least`` or more."""
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("one"))
+    two = texts.select(F.col("node").alias("b"), F.col("text").alias("two"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        good = [similarity(a, b, words) >= least for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, type=pa.bool_()))], names=["_copy"])
+        good = [similarity(x, y, words) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        return batch.select(["a", "b"]).filter(pa.array(good, type=pa.bool_()))
+
+    return map_slices(pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two"), "two", step, "a long, b long")
+
+
+def alike_in_size(n: str, m: str, least: float) -> Column:
+    return F.least(n, m) >= F.greatest(n, m) * F.lit(least) - F.lit(1e-9)
+
 
-    gone = map_slices(copies.join(stays, F.col("_stays") == F.col("_stay")).select("_copy", "a", "b"), "a", step, f"_copy {kind}")
-    gone = gone.distinct()
-    return docs.join(gone, docs[key] == gone["_copy"], "left_anti")
+def uncovered(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """Nodes to drop so that, of edges (a, b) with a < b, none joins two that stay and each dropped one has one to its kept.
+
+    The least node stays, what it reaches goes, and so on; all nodes that are least among
+    their undecided neighbours are settled in one round.
+    """
+    gone = None
+    for _ in range(most_rounds):
+        if not edges.limit(1).count():
+            return gone if gone is not None else edges.select(F.col("b").alias("node"))
+        stays = edges.select(F.col("a").alias("node")).distinct().join(edges.select(F.col("b").alias("node")), "node", "left_anti")
+        out = settle(edges.join(stays.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct(), "gone")
+        gone = out if gone is None else gone.union(out)
+        # edges of what stays all lead to what goes
+        left = edges.join(out.withColumnRenamed("node", "a"), "a", "left_anti").join(out.withColumnRenamed("node", "b"), "b", "left_anti")
+        edges = settle(left, "edges")
+    raise RuntimeError(f"near copies did not settle in {most_rounds} rounds")
+
+
+def covered(rows: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Nodes to drop: the least stays, those similar to it go, then the next of the rest.
+
+    ``rows`` (shingle, node, n) are the prefixes that meet others. In each of a few rounds,
+    nodes that are least at all their shingles are compared with all they meet, so a large
+    group costs no more than its rows; what is left is compared in pairs.
+    """
+    gone = texts.select("node").limit(0)
+    for _ in range(HEAD_ROUNDS):
+        heads = rows.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("met")).where("met > 1").select("shingle", F.col("head.node").alias("a"), F.col("head.n").alias("m"))
+        met = settle(rows.join(heads, "shingle"), "met")
+        if not met.limit(1).count():
+            return gone
+        stays = met.groupBy("node").agg(F.min("a").alias("low")).where("low = node").select("node")
+        pairs = met.where((F.col("a") != F.col("node")) & alike_in_size("n", "m", least)).join(stays.withColumnRenamed("node", "a"), "a", "left_semi").select("a", F.col("node").alias("b")).distinct()
+        out = settle(similar(pairs, texts, words, least).select(F.col("b").alias("node")).distinct(), "gone")
+        gone = gone.union(out)
+        rows = settle(met.select("shingle", "node", "n").join(stays.union(out), "node", "left_anti"), "undecided")
+    other = rows.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"))
+    pairs = rows.withColumnRenamed("node", "a").join(other, "shingle").where((F.col("a") < F.col("b")) & alike_in_size("n", "m", least)).select("a", "b").distinct()
+    return gone.union(uncovered(settle(similar(pairs, texts, words, least), "edges")))
+
+
+def keep_one(docs: DataFrame, words: int = 5, bits: int = 7, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` less near copies: no two that stay are similar by ``least``, and every row that goes is similar to one that stays.
+
+    Similarity is that of the sets of word shingles. In order of keys, a row stays unless a
+    row before it stays and is similar. Candidates come from shared prefixes of the sets,
+    which miss no pair; ``bits``, once a bound on fingerprints, no longer changes anything.
+    Rows of one key are told apart by their texts. Rows of null key stay, as do all equal
+    rows of the key that stays.
+    """
+    kind = dict(docs.dtypes)[key]
+    known = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *text_key(text), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [xxhash.xxh3_128_digest(np.unique(shingle_hashes(t, words)).tobytes()) for t in batch.column(3).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, type=pa.binary())], names=["key", "key_a", "key_b", "shingles"])
+
+    marks = settle(map_slices(known, "text", mark, f"key {kind}, key_a long, key_b long, shingles binary"), "sets")
+    first = marks.groupBy("shingles").agg(F.min(F.struct("key", "key_a", "key_b")).alias("first")).select("shingles", "first.*")
+    # ranges of a sorted table are numbered in its order
+    nodes = settle(first.orderBy("key", "shingles").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    same = ["key", "key_a", "key_b"]
+    texts = settle(known.join(nodes.select(*same, "node"), same).select("node", "text").dropDuplicates(["node"]), "texts")
+    counts = prefixes(texts, words, least, np.zeros(0, dtype=np.uint64)).groupBy("shingle").count().where(F.col("count") > COMMON)
+    common = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle").collect()], dtype=np.int64).view(np.uint64))
+    rows = prefixes(texts, words, least, common)
+    crowded = rows.groupBy("shingle").count().where("count > 1").select("shingle")
+    rows = settle(rows.join(crowded, "shingle", "left_semi"), "prefixes")
+    texts = settle(texts.join(rows.select("node").distinct(), "node", "left_semi"), "candidates")
+    out = covered(rows, texts, words, least).distinct().withColumn("out", F.lit(True))
+    verdict = nodes.join(out, "node", "left").select("shingles", F.struct(*same).alias("first"), "out")
+    # of each set, all but the first row go; of a set that is not kept, that one too
+    gone = marks.distinct().join(verdict, "shingles").where(F.col("out") | (F.struct(*same) != F.col("first"))).select(*[F.col(c).alias(f"_gone_{c}") for c in same])
+    a, b = text_key(text)
+    wide = docs.select("*", a.alias("_text_a"), b.alias("_text_b"))
+    return wide.join(gone, (F.col(key) == F.col("_gone_key")) & (F.col("_text_a") == F.col("_gone_key_a")) & (F.col("_text_b") == F.col("_gone_key_b")), "left_anti").select(*docs.columns)

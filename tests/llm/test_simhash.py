@@ -93,3 +93,35 @@ def test_keep_one_drops_near_copies_only(spark, documents):
     docs = documents([" ".join(base), " ".join(near), " ".join(base), other, None, ""])
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs, bits=14).collect()) == [0, 3, 4, 5] or sorted(r["doc_id"] for r in simhash.keep_one(docs, bits=14).collect()) == [0, 3, 4]
     assert simhash.keep_one(docs.limit(0)).columns == docs.columns
+
+
+def words_of(seed, n=100):
+    r = random.Random(seed)
+    return [f"w{r.randrange(10**9)}" for _ in range(n)]
+
+
+def plain_keep_one(texts):
+    sets, kept = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts], []
+    for i, x in enumerate(sets):
+        if all(len(np.intersect1d(x, sets[j])) / max(1, len(np.union1d(x, sets[j]))) < 0.8 for j in kept):
+            kept.append(i)
+    return kept
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_keep_one_misses_no_pair(spark, documents, monkeypatch, rounds):
+    monkeypatch.setattr(simhash, "HEAD_ROUNDS", rounds)
+    r, texts, far = random.Random(5), [], 0
+    for seed in range(12):
+        base = words_of(seed)
+        for _ in range(4):
+            copy = base[:]
+            for _ in range(r.randint(0, 3)):
+                copy[r.randrange(len(copy))] = f"x{r.randrange(10**9)}"
+            texts.append(" ".join(copy))
+    r.shuffle(texts)
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            far += simhash.similarity(a, b, 5) >= 0.8 and (plain_fingerprint(a, 5) ^ plain_fingerprint(b, 5)).bit_count() > 7
+    assert far > 5
+    assert sorted(x["doc_id"] for x in simhash.keep_one(documents(texts)).collect()) == plain_keep_one(texts)
