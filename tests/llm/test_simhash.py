@@ -125,3 +125,15 @@ def test_keep_one_misses_no_pair(spark, documents, monkeypatch, rounds):
             far += simhash.similarity(a, b, 5) >= 0.8 and (plain_fingerprint(a, 5) ^ plain_fingerprint(b, 5)).bit_count() > 7
     assert far > 5
     assert sorted(x["doc_id"] for x in simhash.keep_one(documents(texts)).collect()) == plain_keep_one(texts)
+
+
+def test_copies_in_a_chain_do_not_both_stay(spark, documents):
+    base = words_of(50)
+    middle = base[:40] + ["changed"] + base[41:]
+    last = middle[:80] + ["other"] + middle[81:85] + ["more"] + middle[86:]
+    root, link, far = (" ".join(x) for x in (base, middle, last))
+    assert simhash.similarity(root, link, 5) >= 0.8 and simhash.similarity(root, far, 5) < 0.8
+    # the copies of the far end meet the root only through what goes; one of each group stays
+    assert sorted(r["doc_id"] for r in simhash.keep_one(documents([root, link, far, far, far + " ", (1, far), (None, far)])).collect() if r["doc_id"] is not None) == [0, 1]
+    assert sorted(r["doc_id"] for r in simhash.keep_one(documents([root, link, far, far, far + " "])).collect()) == [0, 2]
+    assert sorted(r["doc_id"] for r in simhash.keep_one(documents([far, far, far, root])).collect()) == [0, 3]
