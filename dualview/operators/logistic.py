@@ -27,17 +27,41 @@ def fit(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 100) -> np.n
     return w
 
 
-def coefficients(df: DataFrame, group: str, columns: Sequence[str], label: str) -> DataFrame:
-    """Coefficients by group. A group must fit in one executor: fit on a bounded sample for more."""
+def coefficients(df: DataFrame, group: str, columns: Sequence[str], label: str, rounds: int = 100) -> DataFrame:
+    """Coefficients by group over all rows: ``fit`` with its sums taken where the rows are.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        some = rows.dropna(subset=[*columns, label])
-        if some[label].nunique() < 2:
-            return pd.DataFrame({"model": [], "term": [], "coefficient": []})
-        w = fit(some[list(columns)].to_numpy(float), some[label].to_numpy(float))
-        return pd.DataFrame({"model": rows[group].iloc[0], "term": [*columns, "intercept"], "coefficient": w})
-
-    return df.select(F.col(group).cast("string").alias(group), *columns, F.col(label).cast("int").alias(label)).groupBy(group).applyInPandas(run, "model string, term string, coefficient double")
+    Each step of Newton's method is one aggregate; only sums by group reach the driver. Rows
+    with a null or NaN are left out, and so are groups with one label.
+    """
+    k, spark = len(columns), df.sparkSession
+    rows = df.select(F.col(group).cast("string").alias("_g"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)], F.col(label).cast("int").alias("_y")).where("_y is not null")
+    for i in range(k):
+        rows = rows.where(F.col(f"_x{i}").isNotNull() & ~F.isnan(f"_x{i}"))
+    moments = [f(f"_x{i}").alias(f"{n}{i}") for i in range(k) for n, f in (("mean", F.avg), ("dev", F.stddev_pop), ("low", F.min), ("high", F.max))]
+    stats = {r["_g"]: r for r in rows.groupBy("_g").agg(F.min("_y").alias("no"), F.max("_y").alias("yes"), *moments).where("no < yes").collect()}
+    w = {g: np.zeros(k + 1) for g in stats}
+    z = [(F.col(f"_x{i}") - F.col("_mean")[i]) / F.col("_dev")[i] for i in range(k)] + [F.lit(1.0)]
+    margin = sum((z[i] * F.col("_w")[i] for i in range(k)), F.col("_w")[k])
+    cells = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    sums = [F.sum((F.col("_p") - F.col("_y")) * z[i]).alias(f"g{i}") for i in range(k + 1)] + [F.sum(F.col("_p") * (1 - F.col("_p")) * z[i] * z[j]).alias(f"h{i}_{j}") for i, j in cells]
+    moving = set(stats)
+    for _ in range(rounds):
+        if not moving:
+            break
+        now = [(g, [stats[g][f"mean{i}"] for i in range(k)], [stats[g][f"dev{i}"] if stats[g][f"low{i}"] < stats[g][f"high{i}"] else 1.0 for i in range(k)], w[g].tolist()) for g in moving]
+        known = spark.createDataFrame(now, "_of string, _mean array<double>, _dev array<double>, _w array<double>")
+        joined = rows.join(F.broadcast(known), F.col("_g").eqNullSafe(F.col("_of"))).withColumn("_p", 1 / (1 + F.exp(-margin)))
+        for r in joined.groupBy("_g").agg(*sums).collect():
+            h = np.eye(k + 1)
+            for i, j in cells:
+                h[i, j] += r[f"h{i}_{j}"]
+                h[j, i] = h[i, j]
+            step = np.linalg.solve(h, w[r["_g"]] + np.array([r[f"g{i}"] for i in range(k + 1)]))
+            w[r["_g"]] = w[r["_g"]] - step
+            if np.abs(step).max() < 1e-10:
+                moving.discard(r["_g"])
+    out = [(g, term, float(x)) for g in w for term, x in zip([*columns, "intercept"], w[g], strict=True)]
+    return spark.createDataFrame(out, "model string, term string, coefficient double")
 
 
 def permuted_p(df: DataFrame, group: str, columns: Sequence[str], label: str, replicates: int, seed: int) -> DataFrame:

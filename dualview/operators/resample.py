@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import comb
+from math import comb, exp, lgamma
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from .conditions import count_if
 
+#: Populations up to this are counted in whole numbers, larger ones in logarithms.
+EXACT = 20_000
+
 
 def hash_sample(df: DataFrame, id: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement, by the md5 of seed and id."""
@@ -67,5 +70,22 @@ def permutation_p(counts: DataFrame, observed: Column) -> DataFrame:
 
 def hypergeometric_tail(population: int, marked: int, drawn: int, at_least: int) -> float:
     """Chance of ``at_least`` marked among those drawn without replacement: the permutation null in closed form."""
-    total = comb(population, drawn)
-    return sum(comb(marked, k) * comb(population - marked, drawn - k) for k in range(max(0, at_least), min(marked, drawn) + 1) if drawn - k <= population - marked) / total
+    low, high = max(0, at_least, drawn - (population - marked)), min(marked, drawn)
+    if population <= EXACT:
+        return sum(comb(marked, k) * comb(population - marked, drawn - k) for k in range(low, high + 1)) / comb(population, drawn)
+    log_comb = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+    return min(1.0, sum(exp(log_comb(marked, k) + log_comb(population - marked, drawn - k) - log_comb(population, drawn)) for k in range(low, high + 1)))
+
+
+def first_by_hash(df: DataFrame, id: str, n: int, seed: int) -> DataFrame:
+    """The rows of ``hash_sample``, for any n: whole ranges of the md5, and an order only in the range that is cut."""
+    wide = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id).cast("string")))).withColumn("_bin", F.substring("_h", 1, 4))
+    left, cut = n, None
+    for r in wide.groupBy("_bin").count().orderBy("_bin").collect():
+        if r["count"] > left:
+            cut = r["_bin"]
+            break
+        left -= r["count"]
+    if cut is None:
+        return df
+    return wide.where(F.col("_bin") < cut).union(wide.where(F.col("_bin") == cut).orderBy("_h", id).limit(left)).drop("_h", "_bin")

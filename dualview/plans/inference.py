@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT
 from ..functions import chemistry, scalars
 from ..operators import conditions as C
 from ..operators import hull, logistic
@@ -92,17 +91,19 @@ def conformal_evalue_release(spark, sf):
 
 @query()
 def hypergeometric_p(spark, sf):
-    """Closed form of the permutation null on the sample of documents; SQL has no large binomials."""
-    s = _first(spark, sf).agg(F.count("*").alias("n"), C.count_if(F.col("discordant")).alias("marked"), C.count_if(F.col("discordant") & (F.col("i") < 30)).alias("hits")).first()
-    p = P.hypergeometric_tail(s["n"], s["marked"], min(30, s["n"]), s["hits"])
-    return spark.createDataFrame([(s["n"], s["marked"], s["hits"], p)], "n long, marked long, hits long, p_value double")
+    """Closed form of the permutation null over all labelled documents, the first tenth by hash drawn; SQL has no large binomials."""
+    rows = documents(spark, sf).select("id", "discordant")
+    s = rows.agg(F.count("*").alias("n"), C.count_if(F.col("discordant")).alias("marked")).first()
+    drawn = s["n"] // 10
+    hits = P.first_by_hash(rows, "id", drawn, 7).agg(C.count_if(F.col("discordant"))).first()[0]
+    p = P.hypergeometric_tail(s["n"], s["marked"], drawn, hits)
+    return spark.createDataFrame([(s["n"], s["marked"], hits, p)], "n long, marked long, hits long, p_value double")
 
 
 @query()
 def logistic_coefs(spark, sf):
-    """Discordance on three scores by return flag, over a hash sample of 2000 rows of each flag."""
-    rows = P.stratified_sample(items(spark, sf), "id", "flag", dict.fromkeys("ANR", 2000), DEFAULT.seed)
-    return logistic.coefficients(rows, "flag", ["price", "qty", "day"], "discordant")
+    """Discordance on three scores by return flag, over all rows."""
+    return logistic.coefficients(items(spark, sf), "flag", ["price", "qty", "day"], "discordant")
 
 
 #: A binary system for the hull query: formula and energy per atom of the phases.
