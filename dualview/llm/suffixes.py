@@ -25,18 +25,21 @@ from .common import map_slices, parts_for, settle, text_key
 LENGTH = 400
 GRAM = 32
 #: Bytes of a new batch of the family; bytes that a task should get; stretches beyond which an anchor is crowded.
-BATCH, TASK, CROWD = 1 << 20, 2 << 20, 8192
+BATCH, TASK, CROWD = 1 << 18, 2 << 20, 256
 #: Texts are scanned in segments of this many bytes, overlapping by what a string needs.
 SEGMENT = 8 << 20
 
+#: Changes the order of grams when stretches of a crowded anchor are cut again.
+SALT = 0x5851F42D4C957F2D
+
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
-def gram_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of every gram of ``GRAM`` bytes."""
+def gram_hashes(data: bytes, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of every gram of ``GRAM`` bytes; each salt gives an order of its own."""
     eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,)).astype(np.uint64)
     n = len(data) - GRAM + 1
-    h = eight[:n] * _C[0]
+    h = (eight[:n] ^ np.uint64(salt)) * _C[0]
     for i in range(1, GRAM // 8):
         h ^= h >> np.uint64(29)
         h += eight[8 * i : 8 * i + n]
@@ -46,7 +49,7 @@ def gram_hashes(data: bytes) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: bytes, length: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of ``data``: first start, number of starts and anchor hash of each.
 
     The anchor of the string at p is its gram of least hash, leftmost among equals. A
@@ -55,7 +58,7 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     n = len(data) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = gram_hashes(data)
+    h = gram_hashes(data, salt)
     w = length - GRAM + 1
     packed = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
     rows = -(-len(packed) // w)
@@ -80,41 +83,63 @@ def stretches(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def rank(keys: np.ndarray) -> np.ndarray:
-    """Dense ranks of uint64 keys, as uint64."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
+def rank(keys: np.ndarray, bits: int = 64) -> np.ndarray:
+    """Dense ranks of uint64 keys of at most ``bits`` bits, as uint64."""
+    n = len(keys)
+    place = int(n).bit_length()
+    if bits + place <= 64:  # key and place in one word sort far faster than places by key
+        ordered = np.sort((keys << np.uint64(place)) | np.arange(n, dtype=np.uint64))
+        order = (ordered & np.uint64((1 << place) - 1)).astype(np.int64)
+        ordered >>= np.uint64(place)
+    else:
+        order = np.argsort(keys)
+        ordered = keys[order]
     up = np.cumsum(np.concatenate(([0], (ordered[1:] != ordered[:-1]).astype(np.int64))))
-    out = np.empty(len(keys), dtype=np.uint64)
+    out = np.empty(n, dtype=np.uint64)
     out[order] = up.astype(np.uint64)
     return out
 
 
+def words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as numbers that order like them; ``data`` has eight bytes to spare."""
+    return np.ndarray((len(data) - 7,), dtype=">u8", buffer=data, strides=(1,))[at].astype(np.uint64)
+
+
 def suffix_array(data: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings of ``length`` bytes at ``places``, and which equal the one before in it.
 
-    Ranks of prefixes double in length up to the largest power of two, whose two halves
-    of overlap give the rest. What stands behind the data's end is never read for a place.
+    Ranks of prefixes double in length from five bytes on up to half the length or more; two
+    that overlap give the rest. ``data`` has eight bytes to spare; what stands behind its end
+    is never read for a place.
     """
-    n = len(data)
-    tail = np.zeros(n + 8, dtype=np.uint8)
-    tail[:n] = data
-    ranks = rank(np.ndarray((n,), dtype=">u8", buffer=tail, strides=(1,)).astype(np.uint64))
-    have = 8
+    n = len(data) - 8
+    size = int(n).bit_length()
+    have = 5
+    ranks = rank(words_at(data, np.arange(n)) >> np.uint64(24), 40)
     while have * 2 <= length:
-        ranks = rank((ranks << np.uint64(32)) | np.append(ranks[have:], np.zeros(min(have, n), np.uint64)))
+        ranks = rank((ranks << np.uint64(size)) | np.append(ranks[have:], np.zeros(min(have, n), np.uint64)), 2 * size)
         have *= 2
-    key = (ranks[places] << np.uint64(32)) | ranks[places + length - have]
-    order = np.argsort(key, kind="stable")
+    key = (ranks[places] << np.uint64(size)) | ranks[places + length - have]
+    order = np.argsort(key)
     ordered = key[order]
     return order, np.concatenate(([False], ordered[1:] == ordered[:-1]))
 
 
 class Level:
-    """Strings of one batch or of merged ones: bytes, the places where strings start, and which were met again."""
+    """A suffix array over the places where strings start: bytes, places in order of their strings, and which were met again.
+
+    ``own`` numbers each place as it was added, so that merged levels keep track.
+    """
+
+    def __init__(self, data: np.ndarray, places: np.ndarray, own: np.ndarray, met: np.ndarray, length: int):
+        order, same = suffix_array(data, places, length)
+        self.data, self.places, self.own, self.met = data, places[order], own[order], met[order]
+        self.met[same] = True
+        self.met[np.flatnonzero(same) - 1] = True
+        self.head = words_at(data, self.places)
 
-    def __init__(self, data: np.ndarray, places: np.ndarray, met: np.ndarray):
-        self.data, self.places, self.met = data, places, met
+    def __len__(self) -> int:
+        return len(self.data) - 8
 
 
 class Family:
@@ -126,6 +151,7 @@ class Family:
         self.open: list[bytes] = []
         self.size = 0
         self.bounds: list[int] = [0]
+        self.done = 0
         self.merges = 0
 
     def add(self, stretch: bytes) -> None:
@@ -143,34 +169,57 @@ class Family:
         base = np.cumsum(sizes) - sizes
         counts = sizes - self.length + 1
         places = np.repeat(base - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        new = Level(np.frombuffer(b"".join(self.open), dtype=np.uint8), places, np.zeros(len(places), dtype=bool))
+        own = np.arange(self.done, self.done + len(places))
+        self.done += len(places)
+        new = Level(np.frombuffer(b"".join(self.open) + bytes(8), dtype=np.uint8), places, own, np.zeros(len(places), dtype=bool), self.length)
         self.open, self.size = [], 0
-        self.scan([new])
         for level in self.levels:
-            self.scan([level, new])
+            self.scan(level, new)
         self.levels.append(new)
-        while len(self.levels) > 1 and len(self.levels[-2].data) < 2 * len(self.levels[-1].data):
+        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
             b, a = self.levels.pop(), self.levels.pop()
-            self.levels.append(Level(np.concatenate((a.data, b.data)), np.concatenate((a.places, b.places + len(a.data))), np.concatenate((a.met, b.met))))
+            both = [np.concatenate(x) for x in ((a.data[:-8], b.data), (a.places, b.places + len(a)), (a.own, b.own), (a.met, b.met))]
+            self.levels.append(Level(*both, self.length))
             self.merges += 1
 
-    def scan(self, levels: list[Level]) -> None:
-        """Mark the strings of one level, or of two merged, that stand next to an equal one."""
-        base = np.cumsum([0, *(len(x.data) for x in levels[:-1])])
-        places = np.concatenate([x.places + b for x, b in zip(levels, base, strict=True)])
-        order, same = suffix_array(np.concatenate([x.data for x in levels]), places, self.length)
-        met = np.zeros(len(places), dtype=bool)
-        met[order[same]] = True
-        met[order[np.append(same[1:], False)]] = True
-        lo = 0
-        for x in levels:
-            x.met |= met[lo : lo + len(x.places)]
-            lo += len(x.places)
+    def scan(self, level: Level, new: Level) -> None:
+        """Merge-scan: the stretch of the level's array that agrees with each new string narrows by eight bytes at a time; what is left at the end are matches."""
+        at = np.arange(len(new.places))
+        low, high = (np.searchsorted(level.head, new.head, side=s) for s in ("left", "right"))
+        for step in (*range(8, self.length - 7, 8), *((self.length - 8,) if self.length % 8 else ())):
+            live = low < high
+            at, low, high = at[live], low[live], high[live]
+            if not len(at):
+                return
+            want = words_at(new.data, new.places[at] + step)
+            low, high = (self.bound(level, step, want, low, high, s) for s in (np.less, np.less_equal))
+        live = low < high
+        at, low, high = at[live], low[live], high[live]
+        new.met[at] = True
+        edge = np.zeros(len(level.places) + 1, dtype=np.int64)
+        np.add.at(edge, low, 1)
+        np.add.at(edge, high, -1)
+        level.met |= np.cumsum(edge[:-1]) > 0
+
+    @staticmethod
+    def bound(level: Level, step: int, want: np.ndarray, low: np.ndarray, high: np.ndarray, before) -> np.ndarray:
+        """First place in low..high of the level's array whose eight bytes at ``step`` are not ``before`` the wanted ones."""
+        low, high = low.copy(), high.copy()
+        left = np.arange(len(low))
+        while len(left):
+            middle = (low[left] + high[left]) >> 1
+            up = before(words_at(level.data, level.places[middle] + step), want[left])
+            low[left[up]] = middle[up] + 1
+            high[left[~up]] = middle[~up]
+            left = left[low[left] < high[left]]
+        return low
 
     def met(self) -> Iterator[np.ndarray]:
         """For each stretch added, in order: a flag for each of its starts."""
         self.close()
-        flags = np.concatenate([x.met for x in self.levels]) if self.levels else np.zeros(0, bool)
+        flags = np.zeros(self.done, dtype=bool)
+        for x in self.levels:
+            flags[x.own] = x.met
         for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True):
             yield flags[a:b]
 
@@ -232,37 +281,59 @@ def _pack(found: list[tuple]) -> pa.RecordBatch:
 
 
 def _family_ranges(pieces: DataFrame, length: int, batch: int) -> DataFrame:
-    """(code, first, last): runs of starts in different stretches that were met again, by the family in each task."""
+    """(code, first, last): runs of starts in different stretches (code, at, piece) that were met again, by the family in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, codes = Family(length, batch), []
         for b in batches:
-            for code, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                codes.append(code)
+            for code, at, piece in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                codes.append((code, at))
                 family.add(piece)
         found: list[tuple] = []
-        for code, flags in zip(codes, family.met(), strict=True):
-            found += [(code, a, b) for a, b in ranges(flags)]
+        for (code, at), flags in zip(codes, family.met(), strict=True):
+            found += [(code, at + a, at + b) for a, b in ranges(flags)]
             if len(found) >= 50_000:
                 yield _pack(found)
                 found = []
         if found:
             yield _pack(found)
 
-    return pieces.mapInArrow(run, _RANGE)
+    return pieces.select("code", "at", "piece").mapInArrow(run, _RANGE)
+
+
+def _cut_again(pieces: DataFrame, length: int) -> DataFrame:
+    """(code, at, piece, anchor): stretches of crowded anchors cut once more, by the least gram in another order.
+
+    Equal strings share both grams, so only stretches of one pair of them are compared.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for code, anchor, piece in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                s, r, h = anchors(piece, length, SALT)
+                h = (h ^ np.uint64(anchor & 0xFFFFFFFFFFFFFFFF)) * _C[1]
+                out += [(code, a, piece[a : a + n + length - 1], g) for a, n, g in zip(s.tolist(), r.tolist(), h.view(np.int64).tolist(), strict=True)]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=["code", "at", "piece", "anchor"])
+
+    rows = settle(pieces.select("code", "anchor", "piece").mapInArrow(run, "code binary, at long, piece binary, anchor long"), "again")
+    sizes = rows.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
+    return rows.join(sizes, "anchor")
 
 
 def _crowded_ranges(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for crowded anchors, whose strings are dealt one by one, by their hashes."""
+    """The same for anchors crowded even then, whose strings are dealt one by one, by their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for b in batches:
-            for code, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for code, at, piece in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 n = len(piece) - length + 1
-                yield pa.RecordBatch.from_arrays([pa.array([digest(piece[i : i + length]) for i in range(n)], pa.binary()), pa.array([code] * n, pa.binary()), pa.array(np.arange(n))], names=["string", "code", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array([digest(piece[i : i + length]) for i in range(n)], pa.binary()), pa.array([code] * n, pa.binary()), pa.array(np.arange(at, at + n))], names=["string", "code", "first"])
 
-    rows = settle(pieces.mapInArrow(run, "string binary, code binary, first long"), "strings")
+    rows = settle(pieces.select("code", "at", "piece").mapInArrow(run, "string binary, code binary, first long"), "strings")
     who = F.struct("code", "first")
     again = rows.groupBy("string").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low <> high").select("string")
     return rows.join(again, "string").select("code", "first", F.col("first").alias("last"))
@@ -291,13 +362,19 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, batch: int
     whole = pieces.where("n > 1").select("code", F.lit(0).cast("long").alias("first"), (F.octet_length("piece") - length).cast("long").alias("last"))
     sizes = pieces.groupBy("anchor").agg(F.count("*").alias("m"), F.max(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single"))
     # anchors with one stretch have nothing left to compare
-    open_ = pieces.join(sizes.where("m > 1 and single = 1"), "anchor")
-    total = int(pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0)
-    parts = parts_for(total, task, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    calm = _family_ranges(open_.where(F.col("m") <= crowd).select("code", "piece", "anchor").repartition(parts, "anchor").select("code", "piece"), length, batch)
-    met = whole.unionByName(calm)
+    open_ = pieces.withColumn("at", F.lit(0).cast("long")).join(sizes.where("m > 1 and single = 1"), "anchor")
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def families(rows: DataFrame) -> DataFrame:
+        total = int(rows.agg(F.sum(F.octet_length("piece"))).first()[0] or 0)
+        return _family_ranges(rows.repartition(parts_for(total, task, least), "anchor"), length, batch)
+
+    met = whole.unionByName(families(open_.where(F.col("m") <= crowd)))
     if sizes.where(F.col("m") > crowd).limit(1).count():
-        met = met.unionByName(_crowded_ranges(open_.where(F.col("m") > crowd).select("code", "piece"), length))
+        finer = settle(_cut_again(open_.where(F.col("m") > crowd), length), "finer")
+        met = met.unionByName(families(finer.where(F.col("m") <= crowd)))
+        if finer.where(F.col("m") > crowd).limit(1).count():
+            met = met.unionByName(_crowded_ranges(finer.where(F.col("m") > crowd), length))
     placed = found.select("key_a", "key_b", "code", F.explode("starts").alias("start")).join(met, "code")
     runs = placed.select("key_a", "key_b", F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")).alias("run"))
     return runs.groupBy("key_a", "key_b").agg(F.collect_set("run").alias("starts")), texts.select("key_a", "key_b", "text")

@@ -62,3 +62,24 @@ def test_rows(spark, documents, odd, empty, sizes):
         want = collections.Counter((k, n, m, s, kept if m else None) for (k, _), (n, m, s, kept) in zip(rows, brute([t for _, t in rows], 100), strict=True))
         assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]) if r["n_removed"] else None) for r in got) == want
     assert suffixes.cut(empty).count() == 0
+
+
+def test_default_sizes_merge_levels():
+    family = suffixes.Family()
+    pieces = [prose(i, 200).encode() for i in range(600)]
+    for p in [*pieces, pieces[3][100:900]]:
+        family.add(p)
+    flags = list(family.met())
+    assert family.merges > 0 and len(family.levels) > 1
+    assert flags[-1].all() and flags[3].sum() >= len(flags[-1]) and not flags[5].any()
+
+
+@pytest.mark.parametrize("size", [399, 400, 401, 700])
+def test_planted_passages_around_the_bound(spark, documents, size):
+    """Passages of over 50 words that repeat go from 400 bytes on, and only then."""
+    passage = prose(77, 200)[:size]
+    texts = [f"{prose(i, 90)}@{i % 10}{passage}{i % 10}#{prose(i + 40, 90)}" for i in range(8)]
+    got = {r["doc_id"]: r for r in suffixes.cut(documents(texts)).collect()}
+    want = brute([t.encode() for t in texts], 400)
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"]) for _, r in sorted(got.items())] == [w[:3] for w in want]
+    assert all((w[1] >= size) == (size >= 400) for w in want)
