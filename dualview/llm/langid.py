@@ -8,12 +8,11 @@ probabilities are its windows' mean, weighted by their bytes.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_slices
@@ -22,11 +21,14 @@ WINDOW = 256
 EMBED = 8
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Bounds of the training sample: documents of a language, windows of a document, languages.
-TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_LANGS = 400, 2, 64
+#: Bounds of the training sample: different texts of a language, windows of a text.
+TRAIN_DOCS, TRAIN_WINDOWS = 400, 2
 UND = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """Whether some code point is of a letter category (Lu, Ll, Lt, Lm, Lo)."""
+    return any(map(str.isalpha, text))
 
 
 def windows_of(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +84,7 @@ class ByteNet:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, probability) of each text."""
-        keep = [i for i, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
+        keep = [i for i, t in enumerate(texts) if t and self.langs and has_letter(t)]
         out = [(UND, 0.0)] * len(texts)
         if not keep:
             return out
@@ -97,14 +99,38 @@ class ByteNet:
         return out
 
 
+    def gradient(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradient of the mean cross-entropy; it flows through each filter's maximum only."""
+        k = max(WIDTHS) * EMBED
+        top, at = self.pooled(x, where=True)
+        z = top @ self.out + self.out_bias
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        z /= z.sum(axis=1, keepdims=True)
+        z[np.arange(len(y)), y] -= 1
+        z /= len(y)
+        grad = {"out": top.T @ z, "out_bias": z.sum(axis=0)}
+        d = (z @ self.out.T) * (top > 0)
+        grad["bias"] = d.sum(axis=0)
+        places = at[:, :, None] + np.arange(max(WIDTHS))
+        codes = np.pad(x, ((0, 0), (0, max(WIDTHS) - 1)))[np.arange(len(x))[:, None, None], places]
+        patch = self.embed[codes].reshape(*at.shape, k)
+        patch = patch * (places < WINDOW).repeat(EMBED, axis=2)
+        grad["filters"] = np.einsum("nfk,nf->kf", patch, d) * ByteNet.mask()
+        back = (d[:, :, None] * self.filters.T[None]).reshape(*at.shape, max(WIDTHS), EMBED)
+        grad["embed"] = np.zeros_like(self.embed)
+        np.add.at(grad["embed"], codes.reshape(-1), back.reshape(-1, EMBED))
+        grad["embed"][0] = 0
+        return grad
+
+
 def train(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 600, seed: int = 7, rate: float = 4e-3) -> ByteNet:
-    """Fit by Adam on the cross-entropy, in about ``steps`` steps over whole passes; gradients flow through each filter's maximum only."""
+    """Fit by Adam on the cross-entropy, in about ``steps`` steps over whole passes."""
     rng = np.random.default_rng(seed)
     net = ByteNet(langs)
-    mask, k = ByteNet.mask(), max(WIDTHS) * EMBED
+    k = max(WIDTHS) * EMBED
     net.embed = rng.normal(0, 0.5, net.embed.shape).astype(np.float32)
     net.embed[0] = 0
-    net.filters = (rng.normal(0, 1 / np.sqrt(k), net.filters.shape) * mask).astype(np.float32)
+    net.filters = (rng.normal(0, 1 / np.sqrt(k), net.filters.shape) * ByteNet.mask()).astype(np.float32)
     net.out = rng.normal(0, 0.1, (net.filters.shape[1], len(langs))).astype(np.float32)
     net.out_bias = np.zeros(len(langs), np.float32)
     names = ("embed", "filters", "bias", "out", "out_bias")
@@ -114,25 +140,7 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 600, seed
         order = rng.permutation(len(x))
         for lo in range(0, len(order), 32):
             pick = order[lo : lo + 32]
-            xb, yb = x[pick], y[pick]
-            top, at = net.pooled(xb, where=True)
-            z = top @ net.out + net.out_bias
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            z /= z.sum(axis=1, keepdims=True)
-            z[np.arange(len(yb)), yb] -= 1
-            z /= len(yb)
-            grad = {"out": top.T @ z, "out_bias": z.sum(axis=0)}
-            d = (z @ net.out.T) * (top > 0)
-            grad["bias"] = d.sum(axis=0)
-            places = at[:, :, None] + np.arange(max(WIDTHS))
-            codes = np.pad(xb, ((0, 0), (0, max(WIDTHS) - 1)))[np.arange(len(xb))[:, None, None], places]
-            patch = net.embed[codes].reshape(*at.shape, k)
-            patch = patch * (places < WINDOW).repeat(EMBED, axis=2)
-            grad["filters"] = np.einsum("nfk,nf->kf", patch, d) * mask
-            back = (d[:, :, None] * net.filters.T[None]).reshape(*at.shape, max(WIDTHS), EMBED)
-            grad["embed"] = np.zeros_like(net.embed)
-            np.add.at(grad["embed"], codes.reshape(-1), back.reshape(-1, EMBED))
-            grad["embed"][0] = 0
+            grad = net.gradient(x[pick], y[pick])
             step += 1
             for n in names:
                 m, v = moment[n]
@@ -145,17 +153,19 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 600, seed
 def sample(labelled: DataFrame, text: str, lang: str) -> list[tuple[str, int, bytes]]:
     """Training windows (language, order, bytes): a bounded sample, spread over the whole table.
 
-    Per language about twice ``TRAIN_DOCS`` documents pass a hash threshold set from its
-    count, and the ``TRAIN_DOCS`` of least hash stay; the ``TRAIN_LANGS`` commonest languages take part.
+    Every language takes part. Of its different texts, about twice ``TRAIN_DOCS`` pass a hash
+    threshold set from their estimated number, and the ``TRAIN_DOCS`` of least hash stay;
+    copies of a text count once. Nothing but the bounded sample leaves the executors.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN_LANGS).collect()]
+    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()]
     if not counts:
         return []
     span = 1 << 31
-    most = F.create_map(*[x for name, n in counts for x in (F.lit(name), F.lit(min(span, int(span * 2 * TRAIN_DOCS / n))))])
+    most = F.create_map(*[x for name, n in sorted(counts) for x in (F.lit(name), F.lit(min(span, int(span * 2 * TRAIN_DOCS / max(1, n)))))])
     place = F.pmod(F.xxhash64("text"), F.lit(span))
-    picked = rows.withColumn("place", place).where(F.col("place") < F.try_element_at(most, F.col("lang")))
+    picked = rows.withColumn("place", place).where(F.col("place") < F.try_element_at(most, F.col("lang"))).groupBy("lang", "place").agg(F.min("text").alias("text"))
+    picked = picked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("rank") <= TRAIN_DOCS)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -167,13 +177,8 @@ def sample(labelled: DataFrame, text: str, lang: str) -> list[tuple[str, int, by
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["lang", "place", "bytes"])
 
-    found = sorted(tuple(r) for r in map_slices(picked.select("lang", "text", "place"), "text", step, "lang string, place long, bytes binary").collect())
-    kept, seen = [], {}
-    for name, place, data in found:
-        if seen.get(name, 0) < TRAIN_DOCS * TRAIN_WINDOWS:
-            seen[name] = seen.get(name, 0) + 1
-            kept.append((name, place, bytes(data)))
-    return kept
+    found = map_slices(picked.select("lang", "text", "place"), "text", step, "lang string, place long, bytes binary").collect()
+    return sorted((name, place, bytes(data)) for name, place, data in found)
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> ByteNet:
