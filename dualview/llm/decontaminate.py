@@ -5,10 +5,15 @@ and read as UTF-8 bytes. If some region of the text is within k edits of an item
 bytes, the two share at least (n - q + 1) - k*q q-grams, whose diagonals (place in the
 text less place in the item) lie within k of each other. Hits are counted in overlapping
 bands of 2(k+1) diagonals, one starting every k+1, so one band holds them all; bands that
-reach the count give regions, and a banded alignment of each region decides.
+reach the count give regions, neighbours are joined, and a banded alignment of each decides.
+
+An item that repeats a gram often would meet a text like it at every pair of places. It is
+counted by its different grams instead, in overlapping blocks of 2(n+k) bytes: k edits
+destroy at most k*q grams, so only so many different ones, the rarest within it first.
 
 The items' q-gram table goes to the executors whole while it is below ``TABLE_BYTES``;
-a larger benchmark is worked through in blocks of items below that bound, one after another.
+a larger benchmark is worked through in blocks of items below that bound, one after another,
+each with a scan of the texts.
 """
 
 from __future__ import annotations
@@ -20,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_slices, slices
 
 Q = 8
 #: Most bytes of items that one broadcast table holds.
 TABLE_BYTES = 16 << 20
+#: An item in which a gram stands more often than this is counted by different grams.
+REPEATS = 8
+#: Bytes of text whose hits are held at once; diagonals that one alignment covers.
+SEGMENT, SPAN = 1 << 20, 1 << 16
 
 #: Lower case for A-Z; the other white space of bytes.split becomes a space.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -43,22 +52,38 @@ def grams(data: bytes) -> np.ndarray:
 
 
 class Items:
-    """q-gram table of benchmark items: places by hash slot, with a bit filter before it."""
+    """q-gram table of benchmark items: grams by hash slot, with a bit filter before it.
+
+    ``shift`` is a gram's place in its item, 0 in items counted by blocks; ``mark`` tells the
+    grams of an item apart.
+    """
 
     def __init__(self, items: list[tuple[int, bytes]], share: float):
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
-        self.budget = np.array([int(share * len(t)) for t in self.texts], dtype=np.int64)
         sizes = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.budget = np.array([int(share * n) for n in sizes], dtype=np.int64)
         self.needed = np.maximum(1, sizes - Q + 1 - self.budget * Q)
-        each = [grams(t) for t in self.texts]
-        gram = np.concatenate([*each, np.zeros(0, dtype=np.uint64)])
-        item = np.repeat(np.arange(len(each)), [len(g) for g in each])
-        place = np.concatenate([*(np.arange(len(g)) for g in each), np.zeros(0, dtype=np.int64)])
+        self.step = self.budget + 1
+        parts: list[tuple] = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
+        for i, t in enumerate(self.texts):
+            g = grams(t)
+            kinds, counts = np.unique(g, return_counts=True)
+            place = np.arange(len(g))
+            shift = place
+            if counts.max(initial=0) > REPEATS:
+                lost = int(np.searchsorted(np.cumsum(np.sort(counts)), self.budget[i] * Q, side="right"))
+                self.needed[i], self.step[i] = max(1, len(kinds) - lost), len(t) + self.budget[i]
+                g, place = kinds, np.arange(len(kinds))
+                shift = np.zeros(len(kinds), np.int64)
+            parts.append((g, np.full(len(g), i), shift, place))
+        gram, item, shift, mark = (np.concatenate(x) for x in zip(*parts, strict=True))
+        #: What a region can span at most, with a gram to spare.
+        self.reach = int((sizes + self.budget).max(initial=0)) + Q
         self.width = max(16, int(len(gram)).bit_length() + 4)
         slot = self.slot(gram)
         order = np.argsort(slot, kind="stable")
-        self.gram, self.item, self.place = gram[order], item[order], place[order].astype(np.int64)
+        self.gram, self.item, self.shift, self.mark = (x[order] for x in (gram, item, shift, mark))
         counts = np.bincount(slot.astype(np.int64), minlength=1 << self.width)
         self.bits = counts > 0
         self.first = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
@@ -66,8 +91,8 @@ class Items:
     def slot(self, gram: np.ndarray) -> np.ndarray:
         return (gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.width)
 
-    def hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in data, item, place in item) of all shared q-grams."""
+    def hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(place in data, row of the table) of all shared q-grams."""
         g = grams(data)
         slot = self.slot(g)
         at = np.flatnonzero(self.bits[slot])
@@ -77,39 +102,53 @@ class Items:
         which = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         at = np.repeat(at, count)
         same = self.gram[which] == g[at]
-        at, which = at[same], which[same]
-        return at, self.item[which], self.place[which]
+        return at[same], which[same]
 
-    def regions(self, data: bytes) -> Iterator[tuple[int, int]]:
-        """(item, first diagonal of the band) of every band that holds enough shared q-grams."""
-        at, item, place = self.hits(data)
+    def bands(self, data: bytes, base: int) -> np.ndarray:
+        """Item and number, in one integer, of every band with enough different shared q-grams; ``data`` starts at ``base``."""
+        at, which = self.hits(data)
         if len(at) < self.needed.min(initial=1 << 30):
-            return
+            return np.zeros(0, np.int64)
+        item = self.item[which]
         # each hit counts in the band that starts at its step and in the one before
-        own = (item << 40) + (at - place) // (self.budget[item] + 1) + (1 << 39)
-        key = np.sort(np.concatenate((own, own - 1)))
-        cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        count = np.diff(np.append(cuts, len(key)))
-        found = key[cuts]
-        for k in found[count >= self.needed[found >> 40]].tolist():
-            i, band = k >> 40, (k & ((1 << 40) - 1)) - (1 << 39)
-            # a gram that the text repeats counts once
-            if len(np.unique(place[(own == k) | (own == k + 1)])) >= self.needed[i]:
-                yield i, band * int(self.budget[i] + 1)
+        own = (item << 40) + (at + base - self.shift[which]) // self.step[item] + (1 << 39)
+        key, mark = np.concatenate((own, own - 1)), np.concatenate((self.mark[which],) * 2)
+        found, of, count = np.unique(key, return_inverse=True, return_counts=True)
+        enough = (count >= self.needed[found >> 40])[of]
+        key, mark = key[enough], mark[enough]
+        # a gram that the text repeats counts once
+        order = np.lexsort((mark, key))
+        key, mark = key[order], mark[order]
+        key = key[np.concatenate(([True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])))[: len(key)]]
+        found, count = np.unique(key, return_counts=True)
+        return found[count >= self.needed[found >> 40]]
+
+    def regions(self, data: bytes) -> Iterator[tuple[int, int, int]]:
+        """(item, first diagonal, diagonals) of runs of bands that hold enough shared q-grams, by item and place."""
+        parts = [np.zeros(0, np.int64)]
+        for lo in range(0, max(1, len(data)), SEGMENT):
+            parts.append(self.bands(data[lo : lo + SEGMENT + self.reach], lo))
+        keys = np.unique(np.concatenate(parts))
+        item, band = keys >> 40, (keys & ((1 << 40) - 1)) - (1 << 39)
+        fresh = np.flatnonzero(np.concatenate(([True], np.diff(keys) > 1))[: len(keys)]).tolist()
+        for a, b in zip(fresh, [*fresh, len(keys)][1:], strict=True):
+            i = int(item[a])
+            step = int(self.step[i])
+            each = max(1, SPAN // step)
+            for lo in range(a, b, each):
+                yield i, int(band[lo]) * step, (min(b, lo + each) - lo + 1) * step
 
     def matches(self, data: bytes) -> dict[int, tuple[int, int, int]]:
         """Best (edits, first, last) by item, for items that a region of ``data`` is within budget of."""
         best: dict[int, tuple[int, int, int]] = {}
-        for i, diagonal in self.regions(data):
+        for i, diagonal, width in self.regions(data):
+            if i in best and best[i][0] == 0:
+                continue
             text, k = self.texts[i], int(self.budget[i])
-            width = 2 * (k + 1)
             found = data.find(text, max(0, diagonal), max(0, diagonal) + width + len(text))
-            if found >= 0:
-                best[i] = min(best.get(i, (1 << 30, 0, 0)), (0, found, found + len(text)))
-            elif i not in best or best[i][0] > 0:
-                hit = align(text, data, diagonal - k, diagonal + width + k, k)
-                if hit:
-                    best[i] = min(best.get(i, (1 << 30, 0, 0)), hit)
+            hit = (0, found, found + len(text)) if found >= 0 else align(text, data, diagonal - k, diagonal + width + k, k)
+            if hit:
+                best[i] = min(best.get(i, hit), hit)
         return best
 
 
@@ -155,8 +194,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = 0.1, key: str
     bytes after normalising, null ones and null texts match nothing. Repeated rows match
     each on their own; a repeated item id matches if any of its texts does.
     """
-    if not 0 <= share < 1 / Q:
-        raise ValueError("share must be in [0, 1/8): beyond, the q-gram lemma asks for no shared q-gram")
+    _check(share)
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key), F.col(text).alias("text")).where("text is not null")
@@ -203,7 +241,26 @@ def item_blocks(items: DataFrame, most: int = TABLE_BYTES) -> Iterator[list[tupl
         yield held
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.1, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` in whose text no item is found, all columns kept; null keys are never found."""
-    found = matches(docs, benchmark, share, key).select(F.col(key).alias("_found")).distinct()
-    return docs.join(found, docs[key] == found["_found"], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.1, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in whose text no item is found, all columns kept.
+
+    Each row is judged by its own text, so repeated ids and null ids are no matter; equal
+    texts go or stay together. Null and empty texts stay.
+    """
+    _check(share)
+    at = docs.columns.index(text)
+    out = docs
+    for block in item_blocks(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))):
+        sent = docs.sparkSession.sparkContext.broadcast(Items(block, share))
+
+        def step(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
+            good = [t is None or not sent.value.matches(normalise(t)) for t in batch.column(at).to_pylist()]
+            return batch.filter(pa.array(good, pa.bool_()))
+
+        out = map_slices(out, text, step, docs.schema)
+    return out
+
+
+def _check(share: float) -> None:
+    if not 0 <= share < 1 / Q:
+        raise ValueError("share must be in [0, 1/8): beyond, the q-gram lemma asks for no shared q-gram")
