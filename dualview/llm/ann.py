@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by inner product over robust-pruned directed graphs.
 
-Distinct vectors are dealt to shards of bounded size by hash. A shard's graph is built in
+Distinct vectors are dealt by hash to shards whose size grows with the table, between two bounds. A shard's graph is built in
 batches: greedy beam searches on the graph so far propose neighbours, relaxed distance
 pruning keeps a diverse few, and reverse edges are pruned the same way. Inner product
 becomes distance by one more coordinate, sqrt(M^2 - |x|^2), which leaves the order of
@@ -19,17 +19,23 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-SHARD = 4096
-BLOCK = 4096
+#: A shard's vectors: a ``SPREAD``-th of all, but between these bounds.
+LEAST_SHARD, MOST_SHARD, SPREAD = 1 << 14, 1 << 18, 64
+#: Queries that one task searches with; a shard's graph is sent once for each such block.
+BLOCK = 1 << 15
+#: Flags of visited points that a search holds at once.
+FLAGS = 1 << 25
 DEGREE, BEAM, ALPHA, WIDE = 32, 64, 1.2, 4
 #: Beam of queries; wider than that of the build.
 SEARCH_BEAM = 128
 
 
 def lifted(x: np.ndarray) -> np.ndarray:
-    """Vectors with the coordinate that turns inner product into distance."""
-    norms = np.einsum("nd,nd->n", x, x, dtype=np.float64)
-    return np.concatenate((x, np.sqrt(norms.max(initial=0) - norms)[:, None]), axis=1).astype(np.float32)
+    """Vectors, scaled to length 1 at most, with the coordinate that turns inner product into distance."""
+    x = x / max(np.abs(x).max(initial=0), 1e-300)  # so that no square overflows
+    norms = np.einsum("nd,nd->n", x, x)
+    top = norms.max(initial=0)
+    return (np.concatenate((x, np.sqrt(top - norms)[:, None]), axis=1) / max(np.sqrt(top), 1e-300)).astype(np.float32)
 
 
 def robust_prune(x: np.ndarray, own: np.ndarray, ids: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
@@ -68,8 +74,9 @@ def robust_prune(x: np.ndarray, own: np.ndarray, ids: np.ndarray, degree: int =
 def beam_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int = BEAM, wide: int = WIDE) -> np.ndarray:
     """Ids of the ``beam`` nearest found for each query, nearest first (-1: none), ``wide`` nodes opened at a time."""
     out = np.full((len(queries), beam), -1, dtype=np.int32)
-    for lo in range(0, len(queries), 512):
-        q = queries[lo : lo + 512]
+    many = max(16, min(512, FLAGS // len(x)))
+    for lo in range(0, len(queries), many):
+        q = queries[lo : lo + many]
         n = len(q)
         ids = np.full((n, beam), -1, dtype=np.int32)
         dist = np.full((n, beam), np.inf, dtype=np.float32)
@@ -105,7 +112,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarra
             top = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
             ids[live], dist[live], shut[live] = (np.take_along_axis(a, top, 1) for a in (all_i, all_d, all_s))
         order = np.argsort(dist, axis=1, kind="stable")
-        out[lo : lo + 512] = np.where(np.isfinite(np.take_along_axis(dist, order, 1)), np.take_along_axis(ids, order, 1), -1)
+        out[lo : lo + many] = np.where(np.isfinite(np.take_along_axis(dist, order, 1)), np.take_along_axis(ids, order, 1), -1)
     return out
 
 
@@ -164,14 +171,14 @@ def add_reverse(x: np.ndarray, graph: np.ndarray, batch: np.ndarray) -> None:
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, vector) of the rows that take part: finite, not zero, of the commonest length."""
     v = F.col(vector)
-    fine = df.where(F.col(key).isNotNull() & v.isNotNull()).select(F.col(key).cast("long").alias("id"), v.cast("array<float>").alias("v"))
+    fine = df.where(F.col(key).isNotNull() & v.isNotNull()).select(F.col(key).cast("long").alias("id"), v.cast("array<double>").alias("v"))
     bad = F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     fine = fine.where(~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda e: e != 0))
     sizes = fine.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("size")).limit(1).collect()
     return fine.where(F.size("v") == (sizes[0]["size"] if sizes else -1))
 
 
-def index(vectors: DataFrame, k: int, shard: int = SHARD) -> tuple[DataFrame, int]:
+def index(vectors: DataFrame, k: int, shard: int | None = None) -> tuple[DataFrame, int]:
     """Graphs of all shards (shard, vectors, graph, start, ids) and their number.
 
     Equal vectors are one point that carries its k + 1 least ids: no query needs more of them.
@@ -179,10 +186,11 @@ def index(vectors: DataFrame, k: int, shard: int = SHARD) -> tuple[DataFrame, in
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     points = settle(vectors.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "points")
     total = points.count()
+    shard = shard or min(MOST_SHARD, max(LEAST_SHARD, math.ceil(total / SPREAD)))
     shards = max(1, math.ceil(total / shard))
 
     def make(key: tuple, rows: pa.Table) -> pa.Table:
-        flat = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        flat = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         x = flat.reshape(rows.num_rows, -1)
         order = np.lexsort(x.T[::-1])
         graph, start = build(lifted(x[order]))
@@ -201,15 +209,17 @@ def search(graphs: DataFrame, shards: int, queries: DataFrame, k: int, beam: int
     def find(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out_q, out_i, out_s = [], [], []
         if left.num_rows and right.num_rows:
-            q = right.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(right.num_rows, -1)
+            q = right.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(right.num_rows, -1)
+            unit = q / np.abs(q).max(axis=1, keepdims=True)
+            unit /= np.sqrt(np.einsum("nd,nd->n", unit, unit))[:, None]
             own = right.column("id").to_pylist()
-            x = np.frombuffer(left.column("vectors")[0].as_py(), dtype=np.float32).reshape(-1, q.shape[1])
+            x = np.frombuffer(left.column("vectors")[0].as_py(), dtype=np.float64).reshape(-1, q.shape[1])
             graph = np.frombuffer(left.column("graph")[0].as_py(), dtype=np.int32).reshape(-1, DEGREE)
             ids = left.column("ids")[0].as_py()
-            found = beam_search(lifted(x), graph, left.column("start")[0].as_py(), np.concatenate((q, np.zeros((len(q), 1), np.float32)), axis=1), beam)
+            found = beam_search(lifted(x), graph, left.column("start")[0].as_py(), np.concatenate((unit, np.zeros((len(q), 1))), axis=1).astype(np.float32), beam)
             for j, row in enumerate(found):
                 row = row[row >= 0]
-                scores = x[row].astype(np.float64) @ q[j].astype(np.float64)
+                scores = x[row] @ q[j]
                 best = sorted((-s, i) for r, s in zip(row.tolist(), scores.tolist(), strict=True) for i in ids[r] if i != own[j])[:k]
                 out_q += [own[j]] * len(best)
                 out_i += [i for _, i in best]
@@ -221,7 +231,7 @@ def search(graphs: DataFrame, shards: int, queries: DataFrame, k: int, beam: int
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(df: DataFrame, asked: F.Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", shard: int = SHARD, beam: int = SEARCH_BEAM) -> DataFrame:
+def nearest(df: DataFrame, asked: F.Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", shard: int | None = None, beam: int = SEARCH_BEAM) -> DataFrame:
     """The k nearest found, by inner product, of every row for which ``asked`` (over ``id``) holds.
 
     Vectors that are null, zero, hold null or non-finite parts, or are not of the commonest

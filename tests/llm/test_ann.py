@@ -5,7 +5,7 @@ from dualview.llm import ann
 
 
 def frame(spark, rows):
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, v array<float>, id long, rank int")
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, v array<float>, id long, rank int")
 
 
 def test_recall_and_exact_scores(spark, monkeypatch):
@@ -42,3 +42,29 @@ def test_pruning_keeps_diverse_edges():
     x = np.array([[0, 0], [1, 0], [1.1, 0], [0, 1]], dtype=np.float32)
     kept = ann.robust_prune(x, np.array([0]), np.array([[1, 2, 3, -1]], dtype=np.int32), degree=2)
     assert kept.tolist() == [[1, 3]]
+
+
+def test_double_precision_and_large_values(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 8))
+    x[7] *= 1e39
+    rows = [(i, v.tolist(), 0, None, None, None) for i, v in enumerate(x)]
+    got = ann.nearest(frame(spark, rows), F.col("id") == 0, k=5).orderBy("rank").collect()
+    s = x @ x[0]
+    assert all(abs(r["score"] - s[r["vec_id"]]) <= 1e-12 * abs(s[r["vec_id"]]) for r in got) and len(got) == 5
+    assert ann.nearest(frame(spark, rows), F.col("id") == 7, k=5).count() == 5
+
+
+def test_shards_of_the_real_table(spark):
+    """Several shards over a real table: recall against brute force."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = ann.nearest(df, F.col("id") % 50 == 0, k=20, shard=700).toPandas()
+    rows = df.toPandas().sort_values("vec_id")
+    x, ids = np.stack(rows.embedding).astype(np.float64), rows.vec_id.to_numpy()
+    hits = total = 0
+    for q, g in got.groupby("query_id"):
+        s = x @ x[np.searchsorted(ids, q)]
+        order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
+        hits += len(set(ids[order]) & set(g.vec_id))
+        total += 20
+    assert hits >= 0.95 * total
