@@ -1,26 +1,32 @@
 """Sharding by longest-processing-time scheduling of groups that must stay together.
 
 Groups (equal texts) are scheduled largest first onto the least-loaded shard through a
-heap. Groups of one size class are alike to the heap, so it is fed a histogram of classes
-(size, count) and answers with how many groups of the class each shard gets; the groups
-themselves never leave the executors. Sizes of up to ``EXACT`` bytes are classes of their
-own; larger ones share a class only within 1 part in ``EXACT``, which bounds the histogram
-by ``EXACT`` classes for each power of two and an error of that part on the shares of the
-large. Loads are kept with the true bytes of each class.
+heap. Groups of one size are alike to the heap, so it is fed a histogram of sizes
+(size, count) and answers with how many groups of the size each shard gets; the groups
+themselves never leave the executors. Sizes of up to ``exact_up_to(shards)`` bytes are classes
+of their own; larger ones share a class within 1 part in that number, which bounds histogram
+and plan on the driver. Loads are kept with the true bytes of each class. A class is ranked
+in salted parts of about ``PART`` groups, so that a common size isn't one task.
 """
 
 from __future__ import annotations
 
 import heapq
-
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle, text_key
 
-EXACT = 1 << 12
-#: Classes are ranked in so many salted parts, so that a crowded class isn't one task.
-SALTS = 8
+#: Groups that one salted part of a class should have.
+PART = 1 << 17
+#: Entries that the plan should have for each doubling of size, classes times shards.
+PLAN = 1 << 22
+
+
+def exact_up_to(shards: int) -> int:
+    """The size up to which sizes are classes of their own."""
+    return 1 << max(8, min(16, (PLAN // shards).bit_length() - 1))
 
 
 def share(count: int, size: float, heap: list[tuple[float, int]]) -> list[int]:
@@ -53,22 +59,24 @@ def share(count: int, size: float, heap: list[tuple[float, int]]) -> list[int]:
 
 
 def schedule(histogram: list[tuple], shards: int) -> list[tuple]:
-    """(class, salt, shard, first, last) for rows (class, salt, groups, bytes): ranks first..last go to shard."""
+    """(class, salt, shards, lasts) for rows (class, salt, groups, bytes): ranks up to lasts[0] go to shards[0], and so on."""
     heap = [(0.0, s) for s in range(shards)]
     out = []
     for kind, salt, count, held in sorted(histogram, key=lambda r: (-r[0], r[1])):
-        done = 0
+        done, to, last = 0, [], []
         for shard, got in enumerate(share(count, held / count, heap)):
             if got:
-                out.append((kind, salt, shard, done + 1, done + got))
                 done += got
+                to.append(shard)
+                last.append(done)
+        out.append((kind, salt, to, last))
     return out
 
 
-def size_class(size: F.Column) -> F.Column:
-    """The size itself up to ``EXACT``; above, its leading bits."""
-    step = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.floor(F.log2(size.cast("double") / EXACT)) + 1))
-    return F.when(size <= EXACT, size).otherwise((F.floor(size / step) * step).cast("long"))
+def size_class(size: F.Column, exact: int) -> F.Column:
+    """The size itself up to ``exact``; above, its leading bits."""
+    step = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.floor(F.log2(size.cast("double") / exact)) + 1))
+    return F.when(size <= exact, size).otherwise((F.floor(size / step) * step).cast("long"))
 
 
 def assign(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", overhead: int = 16) -> DataFrame:
@@ -86,11 +94,20 @@ def assign(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
     plain = F.coalesce(F.col(text), F.lit(""))
     rows = settle(df.select(F.col(key).alias("key"), *text_key(text), (F.octet_length(plain) + F.lit(overhead)).cast("long").alias("size"), F.crc32(plain.cast("binary")).alias("text_crc32")), "sizes")
     groups = rows.groupBy("key_a", "key_b").agg(F.sum("size").alias("held"))
-    groups = groups.withColumns({"kind": size_class(F.col("held")), "salt": F.pmod(F.col("key_b"), F.lit(SALTS)).cast("int")})
+    groups = groups.withColumn("kind", size_class(F.col("held"), exact_up_to(shards)))
+    common = groups.groupBy("kind").agg(F.ceil(F.count("*") / PART).cast("int").alias("salts")).where("salts > 1")
+    salts = {r["kind"]: r["salts"] for r in common.collect()}
+    salt = F.lit(0)
+    if salts:
+        salt = F.pmod(F.col("key_b"), F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(salts.items()) for x in pair]), F.col("kind")), F.lit(1))).cast("int")
+    groups = groups.withColumn("salt", salt)
     groups = settle(groups.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "salt").orderBy("key_a", "key_b"))), "groups")
     histogram = [tuple(r) for r in groups.groupBy("kind", "salt").agg(F.count("*"), F.sum("held")).collect()]
-    planned = spark.createDataFrame(schedule(histogram, shards), "kind long, salt int, shard int, first long, last long")
-    placed = groups.join(planned, (groups["kind"] == planned["kind"]) & (groups["salt"] == planned["salt"]) & F.col("rank").between(F.col("first"), F.col("last"))).select("key_a", "key_b", "shard")
+    plan = list(zip(*schedule(histogram, shards), strict=True)) or [()] * 4
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    planned = spark.createDataFrame(pa.table({n: pa.array(c, k) for n, c, k in zip(("kind", "salt", "to", "last"), plan, kinds, strict=True)}))
+    before = F.size(F.filter("last", lambda x: x < F.col("rank")))
+    placed = groups.join(planned, ["kind", "salt"]).select("key_a", "key_b", F.get("to", before).alias("shard"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = settle(rows.join(placed, ["key_a", "key_b"]).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")), "dealt")
     before = Window.partitionBy("shard").orderBy("part")

@@ -10,8 +10,9 @@ def test_schedule_is_longest_first():
     r = random.Random(2)
     histogram = [(s, 0, c, s * c) for s, c in ((s, r.randint(1, 300)) for s in r.sample(range(20, 5000), 100))]
     got = [0] * 40
-    for kind, _, shard, first, last in sharding.schedule(histogram, 40):
-        got[shard] += kind * (last - first + 1)
+    for kind, _, shards, lasts in sharding.schedule(histogram, 40):
+        for shard, before, last in zip(shards, [0, *lasts], lasts, strict=False):
+            got[shard] += kind * (last - before)
     heap = [(0, s) for s in range(40)]
     for size, _, count, _ in sorted(histogram, reverse=True):
         for _ in range(count):
@@ -45,5 +46,17 @@ def test_rows(spark, documents, odd, empty):
 def test_large_sizes_share_classes_within_bounds(spark):
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([(s,) for s in (1, 4096, 4097, 100_000, 123_456_789)], "s long").select("s", sharding.size_class(F.col("s")).alias("c"))
-    assert all(0 <= r["s"] - r["c"] <= r["s"] / sharding.EXACT * 2 for r in df.collect())
+    exact = sharding.exact_up_to(40)
+    assert exact == 1 << 16 and sharding.exact_up_to(1 << 14) == 256
+    df = spark.createDataFrame([(s,) for s in (1, 4096, 4097, exact, exact + 1, 100_000, 123_456_789)], "s long").select("s", sharding.size_class(F.col("s"), exact).alias("c"))
+    assert all(0 <= r["s"] - r["c"] <= (r["s"] > exact) * r["s"] / exact * 2 for r in df.collect())
+
+
+def test_common_sizes_are_ranked_in_parts(documents, monkeypatch):
+    monkeypatch.setattr(sharding, "PART", 16)
+    docs = documents([f"{i:06d}" for i in range(500)] + [prose(i, 20) for i in range(40)])
+    got = sharding.assign(docs, 7).collect()
+    check(docs, got, 7)
+    counts = [sum(r["shard"] == s for r in got) for s in range(7)]
+    loads = [sum(r["size"] for r in got if r["shard"] == s) for s in range(7)]
+    assert max(loads) - min(loads) <= 22 and sum(counts) == 540
