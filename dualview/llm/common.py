@@ -21,27 +21,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one is made only where the session names none (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one made where the session names none.
+
+    On one machine (as in tests) that is a temporary folder, on a cluster one in the warehouse.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="dualview-"))
+        local = sc.master.startswith("local")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="dualview-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/dualview-settled")
     return sc.getCheckpointDir()
 
 
+#: Folders that this process settled tables in and has not cleared.
+_settled: list[str] = []
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    Lineage ends here, so a lost executor costs a read and not the steps above.
+    Lineage ends here, so a lost executor costs a read and not the steps above. The folder
+    stays until ``clear``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/dualview-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _settled.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete every table settled so far but those that ``keep`` reads; call it once nothing else will be read."""
+    kept = set() if keep is None else {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in keep.inputFiles()}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    left = [p for p in _settled if p.rsplit("/", 1)[-1] in kept]
+    for path in set(_settled) - set(left):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    _settled[:] = left
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that ``column`` (string or binary) has about ``most`` bytes in each piece."""
     n = batch.num_rows
@@ -57,7 +78,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     yield batch.slice(start, n - start)
 
 
-def map_slices(df: DataFrame, column: str, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int = SLICE_BYTES) -> DataFrame:
+def map_slices(df: DataFrame, column: str, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, most: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` in pieces of bounded bytes. ``step`` may return None for no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

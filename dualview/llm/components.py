@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import settle
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node that has an edge: ``node``, ``root``.
 
     ``edges`` has long columns ``a`` and ``b``; direction and repeats don't matter, and an
@@ -18,7 +18,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     both = settle(edges.where("a is not null and b is not null and a <> b").select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "labels")
-    for _ in range(most_rounds):
+    while True:  # labels only fall, so this ends
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         low = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
         parent = labels.select(F.col("node").alias("low"), F.col("root").alias("jump"))
@@ -26,4 +26,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = moved.select("node", "root")
         if not moved.where("moved").limit(1).count():
             return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_slices, settle
 
@@ -263,10 +264,21 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without its later duplicate lines; all rows and columns stay, a null text stays null."""
-    found = removed_lines(docs, key, text, min_chars).withColumnsRenamed({"doc": "_doc", "mark": "_mark", "removed": "_removed"})
-    joined = docs.join(found, docs[key].eqNullSafe(found["_doc"]) & (F.xxhash64(docs[text]) == found["_mark"]), "left")
-    kept = F.array_join(F.filter(F.split(docs[text], "\n", -1), lambda _, i: ~F.array_contains(found["_removed"], i)), "\n")
-    return joined.select(*[F.when(found["_removed"].isNull(), docs[c]).otherwise(kept).alias(c) if c == text else docs[c] for c in docs.columns])
+    found = removed_lines(docs, key, text, min_chars)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("own"))
+    joined = rows.join(found, rows["key"].eqNullSafe(found["doc"]) & (rows["own"] == found["mark"]), "left").select("row", F.col(f"row.`{text}`").alias("text"), "removed")
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for t, removed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if removed:
+                gone = set(removed)
+                t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
+            out.append(t)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "kept"])
+
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("kept", T.StringType())])
+    return map_slices(joined, "text", step, schema).select(*[(F.col("kept") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
