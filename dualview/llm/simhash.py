@@ -31,8 +31,8 @@ WIDTH = 64
 #: Shingles in more prefixes than this come last in their order, the commonest so many at most.
 COMMON = 16
 MOST_COMMON = 1 << 17
-#: Rounds in which near copies are compared with the least of their group only.
-HEAD_ROUNDS = 4
+#: Rounds in which near copies are compared with the least of their group only, and how many sets make a block after that.
+HEAD_ROUNDS, SETS = 4, 256
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -305,54 +305,88 @@ def needed(n: int, least: float) -> int:
     return max(1, int(np.ceil(n * least - 1e-9)))
 
 
-def prefixes(texts: DataFrame, words: int, least: float, common: np.ndarray) -> DataFrame:
-    """(shingle, node, n): the first n - needed(n) + 1 shingles of each text's set of n, in one order for all.
+def marked(docs: DataFrame, words: int, least: float, common: np.ndarray) -> DataFrame:
+    """(key, key_a, key_b, shingles, node, fp, n, prefix) of (key, key_a, key_b, text): what near-dedup needs of a text.
 
-    Two sets similar by ``least`` have one of these in common, whatever the order. ``common``
+    ``shingles`` is a digest of the set and ``node`` 64 bits of it, ``fp`` the fingerprint,
+    ``prefix`` the first n - needed(n) + 1 of the set's n shingles, in one order for all. Two
+    sets similar by ``least`` have one of these in common, whatever the order. ``common``
     (sorted) come last and the rest by hash: the order changes cost, never results.
     """
-    sent = texts.sparkSession.sparkContext.broadcast(common)
+    sent = docs.sparkSession.sparkContext.broadcast(common)
+    kind = dict(docs.dtypes)["key"]
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        late, rows, sizes = sent.value, [], []
-        for t in batch.column(1).to_pylist():
-            x = np.unique(shingle_hashes(t, words))
+        late, digests, fps, sizes, rows = sent.value, [], [], [], []
+        for t in batch.column(3).to_pylist():
+            every = shingle_hashes(t, words)
+            x = np.unique(every)
+            digests.append(xxhash.xxh3_128_digest(x.tobytes()))
+            fps.append(fingerprint(every))
             sizes.append(len(x))
+            first = len(x) - needed(len(x), least) + 1 if len(x) else 0
             if len(late) and len(x):
                 at = np.minimum(np.searchsorted(late, x), len(late) - 1)
                 x = x[np.argsort(late[at] == x, kind="stable")]
-            rows.append(x[: len(x) - needed(len(x), least) + 1] if len(x) else x)
-        pick = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        found = np.concatenate([*rows, np.zeros(0, dtype=np.uint64)]).astype(np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(0).take(pa.array(pick)), pa.array(np.array(sizes, dtype=np.int32)[pick])], names=["shingle", "node", "n"])
+            rows.append(x[:first])
+        flat = pa.array(np.concatenate([*rows, np.zeros(0, dtype=np.uint64)]).astype(np.uint64).view(np.int64))
+        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+        more = [pa.array(digests, pa.binary()), pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], *more], names=["key", "key_a", "key_b", "shingles", "node", "fp", "n", "prefix"])
 
-    return map_slices(texts.select("node", "text"), "text", step, "shingle long, node long, n int")
+    return map_slices(docs.select("key", "key_a", "key_b", "text"), "text", step, f"key {kind}, key_a long, key_b long, shingles binary, node long, fp long, n int, prefix array<long>")
 
 
-def similar(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts' sets of shingles are similar by ``least`` or more."""
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("one"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("two"))
+def set_of(texts: DataFrame, words: int) -> DataFrame:
+    """(node, set): the sorted shingles of each (node, text)."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        good = [similarity(x, y, words) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        return batch.select(["a", "b"]).filter(pa.array(good, type=pa.bool_()))
+        rows = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column(1).to_pylist()]
+        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)])))], names=["node", "set"])
 
-    return map_slices(pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two"), "two", step, "a long, b long")
+    return map_slices(texts.select("node", "text"), "text", step, "node long, set array<long>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets (node, set, block) are similar by ``least`` or more.
+
+    Pairs meet in the two blocks of their nodes, to which each set is sent once, however many
+    pairs it is in.
+    """
+    blocks = sets.select("node", "block")
+    placed = pairs.join(blocks.select(F.col("node").alias("a"), F.col("block").alias("block_a")), "a").join(blocks.select(F.col("node").alias("b"), F.col("block").alias("block_b")), "b")
+    placed = settle(placed, "pairs")
+    sides = [placed.select(F.col("block_a").alias("to_a"), F.col("block_b").alias("to_b"), F.col(c).alias("node")) for c in ("a", "b")]
+    sent = sides[0].union(sides[1]).distinct().join(sets.select("node", "set"), "node")
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = right.column("set").combine_chunks()
+        ends, flat = held.offsets.to_numpy(), held.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        own = {n: flat[a:b] for n, a, b in zip(right.column("node").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
+        good = []
+        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
+            x, y = own[a], own[b]
+            both = len(x) + len(y) - len(np.unique(np.concatenate((x, y)))) if len(x) else 0
+            total = len(x) + len(y) - both
+            good.append((both / total if total else 1.0) >= least)
+        return left.select(["a", "b"]).filter(pa.array(good, type=pa.bool_()))
+
+    return placed.groupBy("block_a", "block_b").cogroup(sent.groupBy("to_a", "to_b")).applyInArrow(check, "a long, b long")
 
 
 def alike_in_size(n: str, m: str, least: float) -> Column:
     return F.least(n, m) >= F.greatest(n, m) * F.lit(least) - F.lit(1e-9)
 
 
-def uncovered(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def uncovered(edges: DataFrame) -> DataFrame:
     """Nodes to drop so that, of edges (a, b) with a < b, none joins two that stay and each dropped one has one to its kept.
 
     The least node stays, what it reaches goes, and so on; all nodes that are least among
     their undecided neighbours are settled in one round.
     """
     gone = None
-    for _ in range(most_rounds):
+    while True:  # the least node with an edge is settled in every round
         if not edges.limit(1).count():
             return gone if gone is not None else edges.select(F.col("b").alias("node"))
         stays = edges.select(F.col("a").alias("node")).distinct().join(edges.select(F.col("b").alias("node")), "node", "left_anti")
@@ -361,64 +395,81 @@ def uncovered(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         # edges of what stays all lead to what goes
         left = edges.join(out.withColumnRenamed("node", "a"), "a", "left_anti").join(out.withColumnRenamed("node", "b"), "b", "left_anti")
         edges = settle(left, "edges")
-    raise RuntimeError(f"near copies did not settle in {most_rounds} rounds")
 
 
-def covered(rows: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+def fingerprint_pairs(nodes: DataFrame, bits: int) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes (node, fp) whose fingerprints link: equal ones with the least of them, linked ones by those."""
+    fps = settle(nodes.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    same = nodes.join(fps, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    ends = link(fps, bits).join(fps.select(F.col("fp").alias("a"), F.col("least").alias("one")), "a").join(fps.select(F.col("fp").alias("b"), F.col("least").alias("two")), "b")
+    return same.union(ends.select(F.least("one", "two"), F.greatest("one", "two"))).where("a < b").distinct()
+
+
+def may_be_similar(least: float) -> Column:
+    """Whether two sets of n and m, whose first common shingle in the order stands at i and j, can be similar by ``least``."""
+    n, m = F.col("n"), F.col("m")
+    shared = F.ceil((n + m) * F.lit(least / (1 + least)) - F.lit(1e-9))
+    return alike_in_size("n", "m", least) & (F.least(n - F.col("i"), m - F.col("j")) >= shared)
+
+
+def covered(rows: DataFrame, linked: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Nodes to drop: the least stays, those similar to it go, then the next of the rest.
 
-    ``rows`` (shingle, node, n) are the prefixes that meet others. In each of a few rounds,
-    nodes that are least at all their shingles are compared with all they meet, so a large
-    group costs no more than its rows; what is left is compared in pairs.
+    ``rows`` (shingle, node, n, i) are the prefixes that meet others, ``linked`` pairs found by
+    fingerprints. In each of a few rounds, nodes that are least at all their shingles are
+    compared with all they meet, so a large group costs no more than its rows; what is left
+    is compared in pairs, as far as sizes and places leave room for similarity.
     """
-    gone = texts.select("node").limit(0)
+    gone = sets.select("node").limit(0)
     for _ in range(HEAD_ROUNDS):
-        heads = rows.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("met")).where("met > 1").select("shingle", F.col("head.node").alias("a"), F.col("head.n").alias("m"))
+        heads = rows.groupBy("shingle").agg(F.min(F.struct("node", "n", "i")).alias("head"), F.count("*").alias("met")).where("met > 1").select("shingle", F.col("head.node").alias("a"), F.col("head.n").alias("m"), F.col("head.i").alias("j"))
         met = settle(rows.join(heads, "shingle"), "met")
         if not met.limit(1).count():
             return gone
         stays = met.groupBy("node").agg(F.min("a").alias("low")).where("low = node").select("node")
-        pairs = met.where((F.col("a") != F.col("node")) & alike_in_size("n", "m", least)).join(stays.withColumnRenamed("node", "a"), "a", "left_semi").select("a", F.col("node").alias("b")).distinct()
-        out = settle(similar(pairs, texts, words, least).select(F.col("b").alias("node")).distinct(), "gone")
+        first = stays.withColumnRenamed("node", "a")
+        pairs = met.where((F.col("a") != F.col("node")) & may_be_similar(least)).select("a", F.col("node").alias("b"))
+        # what fingerprints link is not looked at again once it is decided
+        pairs = pairs.union(linked.join(met.select(F.col("node").alias("b")).distinct(), "b", "left_semi").select("a", "b")).join(first, "a", "left_semi").distinct()
+        out = settle(similar(pairs, sets, least).select(F.col("b").alias("node")).distinct(), "gone")
         gone = gone.union(out)
-        rows = settle(met.select("shingle", "node", "n").join(stays.union(out), "node", "left_anti"), "undecided")
-    other = rows.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"))
-    pairs = rows.withColumnRenamed("node", "a").join(other, "shingle").where((F.col("a") < F.col("b")) & alike_in_size("n", "m", least)).select("a", "b").distinct()
-    return gone.union(uncovered(settle(similar(pairs, texts, words, least), "edges")))
+        rows = settle(met.select("shingle", "node", "n", "i").join(stays.union(out), "node", "left_anti"), "undecided")
+    other = rows.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))
+    pairs = rows.withColumnRenamed("node", "a").join(other, "shingle").where((F.col("a") < F.col("b")) & may_be_similar(least)).select("a", "b").distinct()
+    return gone.union(uncovered(settle(similar(pairs, sets, least), "edges")))
 
 
-def keep_one(docs: DataFrame, words: int = 5, bits: int = 7, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, bits: int = 3, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` less near copies: no two that stay are similar by ``least``, and every row that goes is similar to one that stays.
 
     Similarity is that of the sets of word shingles. In order of keys, a row stays unless a
-    row before it stays and is similar. Candidates come from shared prefixes of the sets,
-    which miss no pair; ``bits``, once a bound on fingerprints, no longer changes anything.
-    Rows of one key are told apart by their texts. Rows of null key stay, as do all equal
-    rows of the key that stays.
+    row before it stays and is similar. Candidates are pairs linked by fingerprints within
+    ``bits``; fingerprints of sets similar by ``least`` alone lie too far apart for any bound
+    that separates them from strangers, so shared prefixes of the sets, which miss no pair,
+    give the others. Rows of one key are told apart by their texts. Rows of null key stay, as
+    do all equal rows of the key that stays.
     """
-    kind = dict(docs.dtypes)[key]
     known = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *text_key(text), F.coalesce(F.col(text), F.lit("")).alias("text"))
-
-    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [xxhash.xxh3_128_digest(np.unique(shingle_hashes(t, words)).tobytes()) for t in batch.column(3).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, type=pa.binary())], names=["key", "key_a", "key_b", "shingles"])
-
-    marks = settle(map_slices(known, "text", mark, f"key {kind}, key_a long, key_b long, shingles binary"), "sets")
-    first = marks.groupBy("shingles").agg(F.min(F.struct("key", "key_a", "key_b")).alias("first")).select("shingles", "first.*")
+    counts = marked(known, words, least, np.zeros(0, dtype=np.uint64)).select(F.explode("prefix").alias("shingle")).groupBy("shingle").count().where(F.col("count") > COMMON)
+    common = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle").collect()], dtype=np.int64).view(np.uint64))
+    marks = settle(marked(known, words, least, common), "marks")
+    same = ["key", "key_a", "key_b"]
+    first = marks.groupBy("shingles").agg(F.min(F.struct(*same)).alias("first"), F.first("fp").alias("fp")).select("shingles", "first.*", "fp")
     # ranges of a sorted table are numbered in its order
     nodes = settle(first.orderBy("key", "shingles").withColumn("node", F.monotonically_increasing_id()), "nodes")
-    same = ["key", "key_a", "key_b"]
-    texts = settle(known.join(nodes.select(*same, "node"), same).select("node", "text").dropDuplicates(["node"]), "texts")
-    counts = prefixes(texts, words, least, np.zeros(0, dtype=np.uint64)).groupBy("shingle").count().where(F.col("count") > COMMON)
-    common = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle").collect()], dtype=np.int64).view(np.uint64))
-    rows = prefixes(texts, words, least, common)
-    crowded = rows.groupBy("shingle").count().where("count > 1").select("shingle")
-    rows = settle(rows.join(crowded, "shingle", "left_semi"), "prefixes")
-    texts = settle(texts.join(rows.select("node").distinct(), "node", "left_semi"), "candidates")
-    out = covered(rows, texts, words, least).distinct().withColumn("out", F.lit(True))
+    every = marks.select("shingles", F.col("node").alias("own"), "n", F.posexplode("prefix").alias("i", "shingle"))
+    meeting = settle(every.groupBy("shingle").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("shingle"), "meeting")
+    rows = every.join(meeting, "shingle").select("shingles", "n", "i", "shingle").distinct().join(nodes.select("shingles", "node"), "shingles").select("shingle", "node", "n", "i")
+    rows = settle(rows, "prefixes")
+    wanted = nodes.join(rows.groupBy("node").agg(F.min("shingle").alias("least")), "node").select(*same, "node", "least")
+    # near copies mostly share their least shingle, so they come into the same blocks
+    sets = set_of(known.join(wanted, same).select("node", "least", "text").dropDuplicates(["node"]), words).join(wanted.select("node", "least"), "node")
+    sets = settle(sets.orderBy("least", "node").select("node", "set", F.shiftright(F.monotonically_increasing_id(), SETS.bit_length() - 1).alias("block")), "sets")
+    linked = settle(fingerprint_pairs(nodes.join(wanted.select("node"), "node", "left_semi").select("node", "fp"), bits), "linked")
+    out = covered(rows, linked, sets, least).distinct().withColumn("out", F.lit(True))
     verdict = nodes.join(out, "node", "left").select("shingles", F.struct(*same).alias("first"), "out")
     # of each set, all but the first row go; of a set that is not kept, that one too
-    gone = marks.distinct().join(verdict, "shingles").where(F.col("out") | (F.struct(*same) != F.col("first"))).select(*[F.col(c).alias(f"_gone_{c}") for c in same])
-    a, b = text_key(text)
-    wide = docs.select("*", a.alias("_text_a"), b.alias("_text_b"))
-    return wide.join(gone, (F.col(key) == F.col("_gone_key")) & (F.col("_text_a") == F.col("_gone_key_a")) & (F.col("_text_b") == F.col("_gone_key_b")), "left_anti").select(*docs.columns)
+    gone = marks.select(*same, "shingles").distinct().join(verdict, "shingles").where(F.col("out") | (F.struct(*same) != F.col("first"))).select(*[F.col(c).alias(f"_gone_{c}") for c in same])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"), *text_key(text))
+    left = rows.join(gone, (F.col("key") == F.col("_gone_key")) & (F.col("key_a") == F.col("_gone_key_a")) & (F.col("key_b") == F.col("_gone_key_b")), "left_anti")
+    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
