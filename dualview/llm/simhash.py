@@ -28,9 +28,9 @@ PLAN_SAMPLE = 4096
 #: Buckets beyond this many fingerprints are linked through variants instead of pairs.
 BUCKET = 4096
 WIDTH = 64
-#: Shingles in more prefixes than this come last in their order, the commonest so many at most.
-COMMON = 16
-MOST_COMMON = 1 << 17
+#: Shingles in more prefixes than this come last in their order, the commonest at the very end; so many at most.
+COMMON = 1
+MOST_COMMON = 1 << 18
 #: Rounds in which near copies are compared with the least of their group only, and how many sets make a block after that.
 HEAD_ROUNDS, SETS = 4, 256
 
@@ -311,13 +311,14 @@ def marked(docs: DataFrame, words: int, least: float, common: np.ndarray) -> Dat
     ``shingles`` is a digest of the set and ``node`` 64 bits of it, ``fp`` the fingerprint,
     ``prefix`` the first n - needed(n) + 1 of the set's n shingles, in one order for all. Two
     sets similar by ``least`` have one of these in common, whatever the order. ``common``
-    (sorted) come last and the rest by hash: the order changes cost, never results.
+    (rarest first) come last and the rest by hash: the order changes cost, never results.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(common)
+    order = np.argsort(common, kind="stable")
+    sent = docs.sparkSession.sparkContext.broadcast((common[order], order))
     kind = dict(docs.dtypes)["key"]
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        late, digests, fps, sizes, rows = sent.value, [], [], [], []
+        (late, rank), digests, fps, sizes, rows = sent.value, [], [], [], []
         for t in batch.column(3).to_pylist():
             every = shingle_hashes(t, words)
             x = np.unique(every)
@@ -327,7 +328,7 @@ def marked(docs: DataFrame, words: int, least: float, common: np.ndarray) -> Dat
             first = len(x) - needed(len(x), least) + 1 if len(x) else 0
             if len(late) and len(x):
                 at = np.minimum(np.searchsorted(late, x), len(late) - 1)
-                x = x[np.argsort(late[at] == x, kind="stable")]
+                x = x[np.argsort(np.where(late[at] == x, rank[at], -1), kind="stable")]
             rows.append(x[:first])
         flat = pa.array(np.concatenate([*rows, np.zeros(0, dtype=np.uint64)]).astype(np.uint64).view(np.int64))
         ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
@@ -451,21 +452,26 @@ def keep_one(docs: DataFrame, words: int = 5, bits: int = 3, least: float = 0.8,
     """
     known = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *text_key(text), F.coalesce(F.col(text), F.lit("")).alias("text"))
     counts = marked(known, words, least, np.zeros(0, dtype=np.uint64)).select(F.explode("prefix").alias("shingle")).groupBy("shingle").count().where(F.col("count") > COMMON)
-    common = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle").collect()], dtype=np.int64).view(np.uint64))
+    common = counts.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle").toArrow().column(0).to_numpy().view(np.uint64)[::-1]
     marks = settle(marked(known, words, least, common), "marks")
     same = ["key", "key_a", "key_b"]
     first = marks.groupBy("shingles").agg(F.min(F.struct(*same)).alias("first"), F.first("fp").alias("fp")).select("shingles", "first.*", "fp")
     # ranges of a sorted table are numbered in its order
     nodes = settle(first.orderBy("key", "shingles").withColumn("node", F.monotonically_increasing_id()), "nodes")
     every = marks.select("shingles", F.col("node").alias("own"), "n", F.posexplode("prefix").alias("i", "shingle"))
-    meeting = settle(every.groupBy("shingle").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("shingle"), "meeting")
-    rows = every.join(meeting, "shingle").select("shingles", "n", "i", "shingle").distinct().join(nodes.select("shingles", "node"), "shingles").select("shingle", "node", "n", "i")
+    # of two similar sets, the smaller has its first common shingle this early
+    early = F.when(F.col("i") <= F.col("n") * F.lit((1 - least) / (1 + least)) + F.lit(1e-9), F.col("n"))
+    lists = every.groupBy("shingle").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.min(early).alias("small"), F.max(early).alias("large"))
+    meeting = settle(lists.where("low <> high and large is not null").select("shingle", "small", "large"), "meeting")
+    fits = (F.col("n") >= F.col("small") * F.lit(least) - F.lit(1e-9)) & (F.col("n") * F.lit(least) <= F.col("large") + F.lit(1e-9))
+    rows = every.join(meeting, "shingle").where(fits).select("shingles", "n", "i", "shingle").distinct().join(nodes.select("shingles", "node"), "shingles").select("shingle", "node", "n", "i")
     rows = settle(rows, "prefixes")
-    wanted = nodes.join(rows.groupBy("node").agg(F.min("shingle").alias("least")), "node").select(*same, "node", "least")
     # near copies mostly share their least shingle, so they come into the same blocks
-    sets = set_of(known.join(wanted, same).select("node", "least", "text").dropDuplicates(["node"]), words).join(wanted.select("node", "least"), "node")
-    sets = settle(sets.orderBy("least", "node").select("node", "set", F.shiftright(F.monotonically_increasing_id(), SETS.bit_length() - 1).alias("block")), "sets")
-    linked = settle(fingerprint_pairs(nodes.join(wanted.select("node"), "node", "left_semi").select("node", "fp"), bits), "linked")
+    wanted = nodes.join(rows.groupBy("node").agg(F.min("shingle").alias("least")), "node").orderBy("least", "node")
+    wanted = settle(wanted.select(*same, "node", "fp", F.shiftright(F.monotonically_increasing_id(), SETS.bit_length() - 1).alias("block")), "wanted")
+    sets = set_of(known.join(wanted, same).select("node", "text").dropDuplicates(["node"]), words)
+    sets = settle(sets.join(wanted.select("node", "block"), "node"), "sets")
+    linked = settle(fingerprint_pairs(wanted.select("node", "fp"), bits), "linked")
     out = covered(rows, linked, sets, least).distinct().withColumn("out", F.lit(True))
     verdict = nodes.join(out, "node", "left").select("shingles", F.struct(*same).alias("first"), "out")
     # of each set, all but the first row go; of a set that is not kept, that one too
