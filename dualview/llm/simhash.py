@@ -29,7 +29,7 @@ PLAN_SAMPLE = 4096
 BUCKET = 4096
 WIDTH = 64
 #: Shingles in more prefixes than this come last in their order, the commonest at the very end; so many at most.
-COMMON = 1
+COMMON = 4
 MOST_COMMON = 1 << 18
 #: Rounds in which near copies are compared with the least of their group only, and how many sets make a block after that.
 HEAD_ROUNDS, SETS = 4, 256
@@ -339,18 +339,43 @@ def marked(docs: DataFrame, words: int, least: float, common: np.ndarray) -> Dat
 
 
 def set_of(texts: DataFrame, words: int) -> DataFrame:
-    """(node, set): the sorted shingles of each (node, text)."""
+    """(node, block, set): the sorted shingles of each (node, block, text)."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column(1).to_pylist()]
+        rows = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column(2).to_pylist()]
         ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)])))], names=["node", "set"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)])))], names=["node", "block", "set"])
 
-    return map_slices(texts.select("node", "text"), "text", step, "node long, set array<long>")
+    return map_slices(texts.select("node", "block", "text"), "text", step, "node long, block long, set array<long>")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets (node, set, block) are similar by ``least`` or more.
+def _held(table: pa.Table) -> dict[int, tuple[int, np.ndarray]]:
+    """Number of shingles and listed shingles of each node."""
+    lists = table.column("set").combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    sizes = table.column("n").to_pylist() if "n" in table.column_names else np.diff(ends).tolist()
+    return {n: (size, flat[a:b]) for n, size, a, b in zip(table.column("node").to_pylist(), sizes, ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    return len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+
+
+def can_be_similar(x: tuple, y: tuple, least: float) -> bool:
+    """Whether prefixes (n, shingles) share enough: of n shingles at most n - shared may be missing in the other set."""
+    (n, p), (m, q) = x, y
+    shared = int(np.ceil((n + m) * least / (1 + least) - 1e-9))
+    return _common(p, q) >= min(len(p) - (n - shared), len(q) - (m - shared))
+
+
+def are_similar(x: tuple, y: tuple, least: float) -> bool:
+    both = _common(x[1], y[1])
+    total = x[0] + y[0] - both
+    return (both / total if total else 1.0) >= least
+
+
+def checked(pairs: DataFrame, sets: DataFrame, least: float, check) -> DataFrame:
+    """The (a, b) of ``pairs`` whose rows of ``sets`` (node, block, set, and n if sets are not whole) pass ``check``.
 
     Pairs meet in the two blocks of their nodes, to which each set is sent once, however many
     pairs it is in.
@@ -359,21 +384,59 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     placed = pairs.join(blocks.select(F.col("node").alias("a"), F.col("block").alias("block_a")), "a").join(blocks.select(F.col("node").alias("b"), F.col("block").alias("block_b")), "b")
     placed = settle(placed, "pairs")
     sides = [placed.select(F.col("block_a").alias("to_a"), F.col("block_b").alias("to_b"), F.col(c).alias("node")) for c in ("a", "b")]
-    sent = sides[0].union(sides[1]).distinct().join(sets.select("node", "set"), "node")
-
-    def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = right.column("set").combine_chunks()
-        ends, flat = held.offsets.to_numpy(), held.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        own = {n: flat[a:b] for n, a, b in zip(right.column("node").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
-        good = []
-        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
-            x, y = own[a], own[b]
-            both = len(x) + len(y) - len(np.unique(np.concatenate((x, y)))) if len(x) else 0
-            total = len(x) + len(y) - both
-            good.append((both / total if total else 1.0) >= least)
+    sent = sides[0].union(sides[1]).distinct().join(sets.drop("block"), "node")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = _held(right)
+        good = [check(own[a], own[b], least) for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True)]
         return left.select(["a", "b"]).filter(pa.array(good, type=pa.bool_()))
 
-    return placed.groupBy("block_a", "block_b").cogroup(sent.groupBy("to_a", "to_b")).applyInArrow(check, "a long, b long")
+    return placed.groupBy("block_a", "block_b").cogroup(sent.groupBy("to_a", "to_b")).applyInArrow(run, "a long, b long")
+
+
+class Texts:
+    """Where sets come from: the texts, the first row of each node, and the nodes' prefixes by block."""
+
+    def __init__(self, known: DataFrame, first: DataFrame, prefixes: DataFrame, words: int, least: float):
+        self.known, self.first, self.prefixes, self.words, self.least = known, first, prefixes, words, least
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        wanted = self.first.join(nodes, "node")
+        return settle(set_of(self.known.join(wanted, ["key", "key_a", "key_b"]).select("node", "block", "text").dropDuplicates(["node"]), self.words), "sets")
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar: prefixes rule most others out, texts are read of the rest only."""
+        pairs = settle(checked(pairs, self.prefixes, self.least, can_be_similar), "likely")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        return checked(pairs, self.sets(nodes), self.least, are_similar)
+
+    def similar_within(self, rows: DataFrame) -> DataFrame:
+        """Similar pairs (a, b), a < b, among nodes of crowded lists (shingle, node): blocks that share a list are compared whole."""
+        nodes = rows.select("node").distinct()
+        sets = self.sets(nodes)
+        at = settle(rows.join(sets.select("node", "block"), "node").select("shingle", "block").distinct(), "blocks")
+        blocks = at.join(at.select("shingle", F.col("block").alias("other")), "shingle").where("block <= other").select("block", "other").distinct()
+        sides = [blocks.select(F.col("block").alias("to_a"), F.col("other").alias("to_b"), F.col(c).alias("block")) for c in ("block", "other")]
+        least = self.least
+
+        def run(found: pa.Table) -> pa.Table:
+            own = _held(found)
+            nodes = np.array(sorted(own), dtype=np.int64)
+            sizes = np.array([own[n][0] for n in nodes.tolist()])
+            flat = np.concatenate([own[n][1] for n in nodes.tolist()])
+            _, of = np.unique(flat, return_inverse=True)
+            there = np.zeros((len(nodes), int(of.max(initial=-1)) + 1), dtype=bool)
+            there[np.repeat(np.arange(len(nodes)), sizes), of] = True
+            there = there[:, there.sum(axis=0) > 1].astype(np.float32)
+            both = np.zeros((len(nodes), len(nodes)), dtype=np.float32)
+            for lo in range(0, there.shape[1], 8192):
+                both += there[:, lo : lo + 8192] @ there[:, lo : lo + 8192].T
+            total = sizes[:, None] + sizes[None, :] - both
+            a, b = np.nonzero(np.triu(both / np.maximum(total, 1) >= least, 1))
+            return pa.table({"a": pa.array(nodes[a]), "b": pa.array(nodes[b])})
+
+        sent = sides[0].union(sides[1]).distinct().join(sets, "block")
+        return sent.groupBy("to_a", "to_b").applyInArrow(run, "a long, b long").distinct()
 
 
 def alike_in_size(n: str, m: str, least: float) -> Column:
@@ -413,15 +476,16 @@ def may_be_similar(least: float) -> Column:
     return alike_in_size("n", "m", least) & (F.least(n - F.col("i"), m - F.col("j")) >= shared)
 
 
-def covered(rows: DataFrame, linked: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def covered(rows: DataFrame, linked: DataFrame, texts: Texts, least: float) -> DataFrame:
     """Nodes to drop: the least stays, those similar to it go, then the next of the rest.
 
     ``rows`` (shingle, node, n, i) are the prefixes that meet others, ``linked`` pairs found by
     fingerprints. In each of a few rounds, nodes that are least at all their shingles are
-    compared with all they meet, so a large group costs no more than its rows; what is left
-    is compared in pairs, as far as sizes and places leave room for similarity.
+    compared with all they meet, so a large group costs no more than its rows. What is left
+    is compared in pairs where few meet at a shingle, as far as sizes and places leave room
+    for similarity, and in blocks of ``SETS`` sets where more do.
     """
-    gone = sets.select("node").limit(0)
+    gone = rows.select("node").limit(0)
     for _ in range(HEAD_ROUNDS):
         heads = rows.groupBy("shingle").agg(F.min(F.struct("node", "n", "i")).alias("head"), F.count("*").alias("met")).where("met > 1").select("shingle", F.col("head.node").alias("a"), F.col("head.n").alias("m"), F.col("head.i").alias("j"))
         met = settle(rows.join(heads, "shingle"), "met")
@@ -432,12 +496,17 @@ def covered(rows: DataFrame, linked: DataFrame, sets: DataFrame, least: float) -
         pairs = met.where((F.col("a") != F.col("node")) & may_be_similar(least)).select("a", F.col("node").alias("b"))
         # what fingerprints link is not looked at again once it is decided
         pairs = pairs.union(linked.join(met.select(F.col("node").alias("b")).distinct(), "b", "left_semi").select("a", "b")).join(first, "a", "left_semi").distinct()
-        out = settle(similar(pairs, sets, least).select(F.col("b").alias("node")).distinct(), "gone")
+        out = settle(texts.similar(pairs).select(F.col("b").alias("node")).distinct(), "gone")
         gone = gone.union(out)
         rows = settle(met.select("shingle", "node", "n", "i").join(stays.union(out), "node", "left_anti"), "undecided")
-    other = rows.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))
-    pairs = rows.withColumnRenamed("node", "a").join(other, "shingle").where((F.col("a") < F.col("b")) & may_be_similar(least)).select("a", "b").distinct()
-    return gone.union(uncovered(settle(similar(pairs, sets, least), "edges")))
+    sizes = settle(rows.groupBy("shingle").agg(F.count("*").alias("met")).where("met > 1"), "sizes")
+    few = rows.join(sizes.where(F.col("met") <= SETS), "shingle")
+    other = few.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))
+    pairs = few.withColumnRenamed("node", "a").join(other, "shingle").where((F.col("a") < F.col("b")) & may_be_similar(least)).select("a", "b").distinct()
+    edges = texts.similar(pairs)
+    if sizes.where(F.col("met") > SETS).limit(1).count():
+        edges = edges.union(texts.similar_within(rows.join(sizes.where(F.col("met") > SETS), "shingle"))).distinct()
+    return gone.union(uncovered(settle(edges, "edges")))
 
 
 def keep_one(docs: DataFrame, words: int = 5, bits: int = 3, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -469,10 +538,10 @@ def keep_one(docs: DataFrame, words: int = 5, bits: int = 3, least: float = 0.8,
     # near copies mostly share their least shingle, so they come into the same blocks
     wanted = nodes.join(rows.groupBy("node").agg(F.min("shingle").alias("least")), "node").orderBy("least", "node")
     wanted = settle(wanted.select(*same, "node", "fp", F.shiftright(F.monotonically_increasing_id(), SETS.bit_length() - 1).alias("block")), "wanted")
-    sets = set_of(known.join(wanted, same).select("node", "text").dropDuplicates(["node"]), words)
-    sets = settle(sets.join(wanted.select("node", "block"), "node"), "sets")
+    prefixes = settle(marks.drop("node", "fp").join(wanted, same).select("node", "block", "n", F.col("prefix").alias("set")).dropDuplicates(["node"]), "sets")
+    texts = Texts(known, wanted.select(*same, "node", "block"), prefixes, words, least)
     linked = settle(fingerprint_pairs(wanted.select("node", "fp"), bits), "linked")
-    out = covered(rows, linked, sets, least).distinct().withColumn("out", F.lit(True))
+    out = covered(rows, linked, texts, least).distinct().withColumn("out", F.lit(True))
     verdict = nodes.join(out, "node", "left").select("shingles", F.struct(*same).alias("first"), "out")
     # of each set, all but the first row go; of a set that is not kept, that one too
     gone = marks.select(*same, "shingles").distinct().join(verdict, "shingles").where(F.col("out") | (F.struct(*same) != F.col("first"))).select(*[F.col(c).alias(f"_gone_{c}") for c in same])

@@ -108,9 +108,10 @@ def plain_keep_one(texts):
     return kept
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 4])
-def test_keep_one_misses_no_pair(spark, documents, monkeypatch, rounds):
+@pytest.mark.parametrize(("rounds", "sets"), [(0, 256), (1, 2), (4, 256)])
+def test_keep_one_misses_no_pair(spark, documents, monkeypatch, rounds, sets):
     monkeypatch.setattr(simhash, "HEAD_ROUNDS", rounds)
+    monkeypatch.setattr(simhash, "SETS", sets)
     r, texts, far = random.Random(5), [], 0
     for seed in range(12):
         base = words_of(seed)
