@@ -33,6 +33,8 @@ COMMON = 4
 MOST_COMMON = 1 << 18
 #: Rounds in which near copies are compared with the least of their group only, and how many sets make a block after that.
 HEAD_ROUNDS, SETS = 4, 256
+#: Edges that one task may hold.
+LOCAL_EDGES = 1 << 21
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -443,23 +445,36 @@ def alike_in_size(n: str, m: str, least: float) -> Column:
     return F.least(n, m) >= F.greatest(n, m) * F.lit(least) - F.lit(1e-9)
 
 
-def uncovered(edges: DataFrame) -> DataFrame:
+def uncovered(edges: DataFrame, local: int | None = None) -> DataFrame:
     """Nodes to drop so that, of edges (a, b) with a < b, none joins two that stay and each dropped one has one to its kept.
 
     The least node stays, what it reaches goes, and so on; all nodes that are least among
-    their undecided neighbours are settled in one round.
+    their undecided neighbours are settled in one round. Once at most ``local`` edges are
+    left, a number that fits in any task, one task settles them in order: the same result.
     """
-    gone = None
-    while True:  # the least node with an edge is settled in every round
-        if not edges.limit(1).count():
-            return gone if gone is not None else edges.select(F.col("b").alias("node"))
+    local = LOCAL_EDGES if local is None else local
+    gone = edges.select(F.col("b").alias("node")).limit(0)
+    while edges.count() > local:
         stays = edges.select(F.col("a").alias("node")).distinct().join(edges.select(F.col("b").alias("node")), "node", "left_anti")
         out = settle(edges.join(stays.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct(), "gone")
-        gone = out if gone is None else gone.union(out)
+        gone = gone.union(out)
         # edges of what stays all lead to what goes
         left = edges.join(out.withColumnRenamed("node", "a"), "a", "left_anti").join(out.withColumnRenamed("node", "b"), "b", "left_anti")
         edges = settle(left, "edges")
 
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [np.stack([b.column(i).to_numpy() for i in (0, 1)]) for b in batches]
+        a, b = np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1)
+        order = np.lexsort((a, b))
+        dropped: set[int] = set()
+        # in order of b, what stands before it is decided
+        for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+            if x not in dropped:
+                dropped.add(y)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(dropped), pa.int64())], names=["node"])
+
+    return gone.union(settle(edges.select("a", "b").coalesce(1).mapInArrow(finish, "node long"), "gone"))
+
 
 def fingerprint_pairs(nodes: DataFrame, bits: int) -> DataFrame:
     """Pairs (a, b), a < b, of nodes (node, fp) whose fingerprints link: equal ones with the least of them, linked ones by those."""

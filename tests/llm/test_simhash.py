@@ -155,3 +155,15 @@ def test_odd_rows_of_keep_one(spark, odd, empty):
     want = {r for r, k in zip(rows, kept, strict=True) if k}
     assert {(r["doc_id"], r["text"] or "") for r in got.collect() if r["doc_id"] is not None} == want and got.columns == odd.columns
     assert simhash.keep_one(empty).count() == 0
+
+
+@pytest.mark.parametrize("local", [0, 50, 10_000])
+def test_uncovered_equals_greedy_order(spark, local):
+    r = random.Random(9)
+    pairs = {tuple(sorted(r.sample(range(60), 2))) for _ in range(300)}
+    gone = set()
+    for b in range(60):
+        if any((a, b) in pairs and a not in gone for a in range(b)):
+            gone.add(b)
+    got = simhash.uncovered(spark.createDataFrame(sorted(pairs), "a long, b long").repartition(3), local)
+    assert {x["node"] for x in got.collect()} == gone
