@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# Thresholds, lists and seeds of the protocol.
 @dataclass(frozen=True)
 class Protocol:
     """Thresholds, lists and gates of the analyses; units are those of the distances."""
@@ -31,3 +32,12 @@ class Protocol:
 
 
 DEFAULT = Protocol()
+
+# Preregistered endpoints with the gates that are numbers; null where a gate is not one.
+ENDPOINTS = [
+    ("E1_pairwise_binary_discordance", 0.40, 0.10, 200),
+    ("E2_near_hull_localization", None, None, None),
+    ("E3_model_ranking_flip", 0.05, 0.02, None),
+    ("E4_discovered_stable_count_delta", 0.25, 0.10, 50),
+    ("E5_release_decision_flip_probe", None, None, None),
+]

@@ -124,3 +124,13 @@ def conformal_gamma(p: Column) -> Column:
 
 def half_even(c: Column, digits: int = 0) -> Column:
     return F.bround(c, digits)
+
+
+def truthy(c: Column, numeric: bool = False) -> Column:
+    """Flag by truthiness: null is true; of texts all but the empty one, of numbers all but 0."""
+    return F.coalesce(c != (F.lit(0) if numeric else F.lit("")), F.lit(True))
+
+
+def masked(c: Column, where: Column, value: Column | str) -> Column:
+    """The column with ``value`` where a condition holds; a null condition doesn't."""
+    return F.when(F.coalesce(where, F.lit(False)), value).otherwise(c)

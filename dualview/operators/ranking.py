@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-#: Above this estimated size a running sum is split over ranges of the order.
-WHOLE = 256 << 20
+#: Estimated bytes that one range of a running sum should have, and ranges at most (each row is compared with all cuts).
+RANGE, MOST_RANGES = 64 << 20, 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -21,11 +21,11 @@ def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], valu
     """Add inclusive running sums along a total order in each group.
 
     A small table takes one window for each group. A larger one is cut into ranges of
-    (group, order) at the quantiles of a bounded sample, summed within ranges, and each
+    (group, order), as many as its bytes ask for, at the quantiles of a bounded sample, summed within ranges, and each
     range is raised by the sum of those before it, so that no task holds a whole group.
     """
     if ranges is None:
-        ranges = 1 if estimated_bytes(df) <= WHOLE else 64
+        ranges = min(MOST_RANGES, -(-estimated_bytes(df) // RANGE))
     if ranges <= 1:
         w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({n: F.sum(c).over(w) for n, c in values.items()})

@@ -97,3 +97,38 @@ def mechanism(a_common: Column, b_common: Column, native: Column) -> Column:
     """Class of a discordance from labels on a common hull and whether the native labels differ."""
     differs = a_common != b_common
     return F.when(a_common.isNull() | b_common.isNull(), "common_hull_unavailable").when(native & ~differs, "native_only_discordance").when(native & differs, "persistent_discordance").when(~native & differs, "common_only_discordance").otherwise("concordant")
+
+
+def columns_ending(df: DataFrame, *endings: str, keep: Sequence[str] = ()) -> DataFrame:
+    """The columns ``keep``, then those whose names end in one of ``endings``, in the table's order."""
+    return df.select(*keep, *[F.col(f"`{c}`") for c in df.columns if c.endswith(endings) and c not in keep])
+
+
+def stacked(tables: dict[str, DataFrame], name: str = "table") -> DataFrame:
+    """Unlike tables one under another, each row naming its table; a column that a table lacks is null."""
+    out = None
+    for label, df in tables.items():
+        df = df.withColumn(name, F.lit(label))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def average_ranks(counted: DataFrame, group: Sequence[str], value: str, n: str, name: str) -> DataFrame:
+    """Average rank of each different value in its group, (group, value, ``name``), of rows that stand for ``n`` each."""
+    from .ranking import running_sums
+
+    counts = counted.groupBy(*group, value).agg(F.sum(n).alias("_n"))
+    return running_sums(counts, group, [value], {"_upto": F.col("_n")}).select(*group, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
+
+
+def rank_correlation(df: DataFrame, group: Sequence[str], a: str, b: str) -> DataFrame:
+    """Spearman's correlation of two columns in each group, ties averaged; null where a column is constant. Rows with a null don't count."""
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*group, a, b).agg(F.count("*").alias("_w"))
+    ranks = [(average_ranks(both, group, c, "_w", name), [*group, c]) for c, name in ((a, "_ra"), (b, "_rb"))]
+    for found, on in ranks:
+        both = both.join(found, on)
+    n, x, y = F.col("_w"), F.col("_ra"), F.col("_rb")
+    sums = both.groupBy(*group).agg(F.sum("_w").alias("n"), F.sum(n * x).alias("_x"), F.sum(n * y).alias("_y"), F.sum(n * x * x).alias("_xx"), F.sum(n * y * y).alias("_yy"), F.sum(n * x * y).alias("_xy"))
+    top = F.col("n") * F.col("_xy") - F.col("_x") * F.col("_y")
+    bottom = F.sqrt((F.col("n") * F.col("_xx") - F.col("_x") ** 2) * (F.col("n") * F.col("_yy") - F.col("_y") ** 2))
+    return sums.select(*group, "n", F.try_divide(top, bottom).alias("rho"))

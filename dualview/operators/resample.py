@@ -89,3 +89,14 @@ def first_by_hash(df: DataFrame, id: str, n: int, seed: int) -> DataFrame:
     if cut is None:
         return df
     return wide.where(F.col("_bin") < cut).union(wide.where(F.col("_bin") == cut).orderBy("_h", id).limit(left)).drop("_h", "_bin")
+
+
+def hypergeometric_bounds(population: int, marked: int, drawn: int, levels: Sequence[float] = (0.025, 0.975)) -> list[int]:
+    """Least counts of marked among those drawn whose chance of not being exceeded reaches each level: the random-selection null in closed form."""
+    log_comb = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+    low, high = max(0, drawn - (population - marked)), min(marked, drawn)
+    out, total = [high] * len(levels), 0.0
+    for k in range(low, high + 1):
+        total += exp(log_comb(marked, k) + log_comb(population - marked, drawn - k) - log_comb(population, drawn))
+        out = [min(o, k) if total >= level else o for o, level in zip(out, levels, strict=True)]
+    return out

