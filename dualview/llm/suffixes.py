@@ -25,7 +25,7 @@ from .common import map_slices, parts_for, settle, text_key
 LENGTH = 400
 GRAM = 32
 #: Bytes of a new batch of the family; bytes that a task should get; stretches beyond which an anchor is crowded.
-BATCH, TASK, CROWD = 1 << 18, 2 << 20, 256
+BATCH, TASK, CROWD = 1 << 18, 2 << 20, 8192
 #: Texts are scanned in segments of this many bytes, overlapping by what a string needs.
 SEGMENT = 8 << 20
 
