@@ -25,7 +25,7 @@ from .common import map_slices, parts_for, settle, text_key
 LENGTH = 400
 GRAM = 32
 #: Bytes of a new batch of the family; bytes that a task should get; stretches beyond which an anchor is crowded.
-BATCH, TASK, CROWD = 1 << 18, 2 << 20, 8192
+BATCH, TASK, CROWD = 1 << 19, 2 << 20, 8192
 #: Texts are scanned in segments of this many bytes, overlapping by what a string needs.
 SEGMENT = 8 << 20
 
@@ -83,20 +83,25 @@ def stretches(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def rank(keys: np.ndarray, bits: int = 64) -> np.ndarray:
-    """Dense ranks of uint64 keys of at most ``bits`` bits, as uint64."""
+def by_key(keys: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Order of uint64 keys of at most ``bits`` bits, and the keys in it."""
     n = len(keys)
     place = int(n).bit_length()
-    if bits + place <= 64:  # key and place in one word sort far faster than places by key
-        ordered = np.sort((keys << np.uint64(place)) | np.arange(n, dtype=np.uint64))
-        order = (ordered & np.uint64((1 << place) - 1)).astype(np.int64)
-        ordered >>= np.uint64(place)
-    else:
+    if bits + place > 64:
         order = np.argsort(keys)
-        ordered = keys[order]
-    up = np.cumsum(np.concatenate(([0], (ordered[1:] != ordered[:-1]).astype(np.int64))))
-    out = np.empty(n, dtype=np.uint64)
-    out[order] = up.astype(np.uint64)
+        return order, keys[order]
+    # key and place in one word sort far faster than places by key
+    ordered = np.sort((keys << np.uint64(place)) | np.arange(n, dtype=np.uint64))
+    return (ordered & np.uint64((1 << place) - 1)).view(np.int64), ordered >> np.uint64(place)
+
+
+def rank(keys: np.ndarray, bits: int = 64) -> np.ndarray:
+    """Dense ranks of uint64 keys of at most ``bits`` bits, as uint64."""
+    order, ordered = by_key(keys, bits)
+    out = np.empty(len(keys), dtype=np.uint64)
+    up = np.zeros(len(keys), dtype=np.uint64)
+    np.cumsum(ordered[1:] != ordered[:-1], out=up[1:])
+    out[order] = up
     return out
 
 
@@ -119,9 +124,7 @@ def suffix_array(data: np.ndarray, places: np.ndarray, length: int) -> tuple[np.
     while have * 2 <= length:
         ranks = rank((ranks << np.uint64(size)) | np.append(ranks[have:], np.zeros(min(have, n), np.uint64)), 2 * size)
         have *= 2
-    key = (ranks[places] << np.uint64(size)) | ranks[places + length - have]
-    order = np.argsort(key)
-    ordered = key[order]
+    order, ordered = by_key((ranks[places] << np.uint64(size)) | ranks[places + length - have], 2 * size)
     return order, np.concatenate(([False], ordered[1:] == ordered[:-1]))
 
 
@@ -165,6 +168,12 @@ class Family:
         """Index the open batch, scan it against each level, and merge levels of equal size."""
         if not self.open:
             return
+        # levels merge when the next batch comes: after the last one nothing is to be scanned against them
+        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
+            b, a = self.levels.pop(), self.levels.pop()
+            both = [np.concatenate(x) for x in ((a.data[:-8], b.data), (a.places, b.places + len(a)), (a.own, b.own), (a.met, b.met))]
+            self.levels.append(Level(*both, self.length))
+            self.merges += 1
         sizes = np.array([len(s) for s in self.open])
         base = np.cumsum(sizes) - sizes
         counts = sizes - self.length + 1
@@ -176,11 +185,6 @@ class Family:
         for level in self.levels:
             self.scan(level, new)
         self.levels.append(new)
-        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
-            b, a = self.levels.pop(), self.levels.pop()
-            both = [np.concatenate(x) for x in ((a.data[:-8], b.data), (a.places, b.places + len(a)), (a.own, b.own), (a.met, b.met))]
-            self.levels.append(Level(*both, self.length))
-            self.merges += 1
 
     def scan(self, level: Level, new: Level) -> None:
         """Merge-scan: the stretch of the level's array that agrees with each new string narrows by eight bytes at a time; what is left at the end are matches."""

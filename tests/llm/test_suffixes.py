@@ -66,7 +66,8 @@ def test_rows(spark, documents, odd, empty, sizes):
 
 def test_default_sizes_merge_levels():
     family = suffixes.Family()
-    pieces = [prose(i, 200).encode() for i in range(600)]
+    pieces = [prose(i, 200).encode() for i in range(1700)]
+    assert sum(map(len, pieces)) >= suffixes.TASK
     for p in [*pieces, pieces[3][100:900]]:
         family.add(p)
     flags = list(family.met())
