@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of one string column that a Python step handles at once.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch between Spark and Python; several are held on both sides of each task.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,7 +81,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 
 
 def map_slices(df: DataFrame, column: str, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, most: int = SLICE_BYTES) -> DataFrame:
-    """``mapInArrow`` in pieces of bounded bytes. ``step`` may return None for no rows."""
+    """``mapInArrow`` in pieces of bounded bytes. ``step`` may return None for no rows.
+
+    Lowers the session's bound on Arrow batches to ``BATCH_BYTES``, should it be larger.
+    """
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,6 +97,14 @@ def map_slices(df: DataFrame, column: str, step: Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes; 10,000 rows of text make tens of megabytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    jvm = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
+    if not 0 < jvm.byteStringAsBytes(spark.conf.get(name)) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a column over the whole table; one number to the driver."""
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)

@@ -191,16 +191,17 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> ByteNet:
     return train(x, np.array([langs.index(name) for name, _, _ in found]), langs)
 
 
-def predict(df: DataFrame, net: ByteNet, text: str = "text") -> DataFrame:
-    """``df`` less ``text`` with lang_pred and score of each whole text; null or letterless: ``und``, 0."""
+def predict(df: DataFrame, net: ByteNet, text: str = "text", keep: bool = False) -> DataFrame:
+    """``df`` with lang_pred and score of each whole text, less ``text`` unless ``keep``; null or letterless: ``und``, 0."""
     names = [c for c in df.columns if c != text]
     kinds = dict(df.dtypes)
+    out = [*names, text] if keep else names
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = net.predict(batch.column(len(names)).to_pylist())
-        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], names=[*names, "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(out))), pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], names=[*out, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in out) + ", lang_pred string, score double"
     return map_slices(df.select(*names, text), text, step, schema, most=1 << 20)
 
 

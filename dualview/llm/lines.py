@@ -265,8 +265,10 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without its later duplicate lines; all rows and columns stay, a null text stays null."""
     found = removed_lines(docs, key, text, min_chars)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("own"))
-    joined = rows.join(found, rows["key"].eqNullSafe(found["doc"]) & (rows["own"] == found["mark"]), "left").select("row", F.col(f"row.`{text}`").alias("text"), "removed")
+    rest = [c for c in docs.columns if c != text]
+    # a batch holds each text once: the row's other columns travel beside it
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("row"), F.col(text).alias("text"), F.col(key).alias("key"), F.xxhash64(text).alias("own"))
+    joined = rows.join(found, rows["key"].eqNullSafe(found["doc"]) & (rows["own"] == found["mark"]), "left").select("row", "text", "removed")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -277,8 +279,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: i
             out.append(t)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "kept"])
 
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("kept", T.StringType())])
-    return map_slices(joined, "text", step, schema).select(*[(F.col("kept") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    schema = T.StructType([T.StructField("row", joined.schema["row"].dataType), T.StructField("kept", T.StringType())])
+    cut = map_slices(joined, "text", step, schema)
+    return cut.select(*[(F.col("kept") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:

@@ -50,7 +50,7 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     ends = list(itertools.accumulate(map(len, parts)))
     ends = [e + i for i, e in enumerate(ends)]
     starts = [0, *(e + 1 for e in ends[: n - words])]
-    return np.fromiter([h(line[a:b], 42) for a, b in zip(starts, ends[words - 1 :], strict=True)], dtype=np.uint64, count=n - words + 1)
+    return np.fromiter((h(line[a:b], 42) for a, b in zip(starts, ends[words - 1 :], strict=True)), dtype=np.uint64, count=n - words + 1)
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -426,13 +426,21 @@ class Texts:
             nodes = np.array(sorted(own), dtype=np.int64)
             sizes = np.array([own[n][0] for n in nodes.tolist()])
             flat = np.concatenate([own[n][1] for n in nodes.tolist()])
-            _, of = np.unique(flat, return_inverse=True)
-            there = np.zeros((len(nodes), int(of.max(initial=-1)) + 1), dtype=bool)
-            there[np.repeat(np.arange(len(nodes)), sizes), of] = True
-            there = there[:, there.sum(axis=0) > 1].astype(np.float32)
+            row = np.repeat(np.arange(len(nodes)), [len(own[n][1]) for n in nodes.tolist()])
+            order = np.argsort(flat, kind="stable")
+            flat, row = flat[order], row[order]
+            fresh = np.concatenate(([True], flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, bool)
+            of = np.cumsum(fresh) - 1
+            shared = (np.bincount(of) > 1)[of]
+            row, of = row[shared], of[shared]
+            of = np.cumsum(np.concatenate(([True], of[1:] != of[:-1]))) - 1 if len(of) else of
+            # by a few thousand shared shingles at a time, so memory doesn't grow with the texts
             both = np.zeros((len(nodes), len(nodes)), dtype=np.float32)
-            for lo in range(0, there.shape[1], 8192):
-                both += there[:, lo : lo + 8192] @ there[:, lo : lo + 8192].T
+            for lo in range(0, int(of.max(initial=-1)) + 1, 4096):
+                a, b = np.searchsorted(of, (lo, lo + 4096))
+                there = np.zeros((len(nodes), 4096), dtype=np.float32)
+                there[row[a:b], of[a:b] - lo] = 1
+                both += there @ there.T
             total = sizes[:, None] + sizes[None, :] - both
             a, b = np.nonzero(np.triu(both / np.maximum(total, 1) >= least, 1))
             return pa.table({"a": pa.array(nodes[a]), "b": pa.array(nodes[b])})
