@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_slices
 
@@ -194,14 +195,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> ByteNet:
 def predict(df: DataFrame, net: ByteNet, text: str = "text", keep: bool = False) -> DataFrame:
     """``df`` with lang_pred and score of each whole text, less ``text`` unless ``keep``; null or letterless: ``und``, 0."""
     names = [c for c in df.columns if c != text]
-    kinds = dict(df.dtypes)
     out = [*names, text] if keep else names
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = net.predict(batch.column(len(names)).to_pylist())
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(out))), pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], names=[*out, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in out) + ", lang_pred string, score double"
+    schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in out), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return map_slices(df.select(*names, text), text, step, schema, most=1 << 20)
 
 

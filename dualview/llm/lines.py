@@ -267,7 +267,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: i
     found = removed_lines(docs, key, text, min_chars)
     rest = [c for c in docs.columns if c != text]
     # a batch holds each text once: the row's other columns travel beside it
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("row"), F.col(text).alias("text"), F.col(key).alias("key"), F.xxhash64(text).alias("own"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text).alias("text"), F.col(key).alias("key"), F.xxhash64(text).alias("own"))
     joined = rows.join(found, rows["key"].eqNullSafe(found["doc"]) & (rows["own"] == found["mark"]), "left").select("row", "text", "removed")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:

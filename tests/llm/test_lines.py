@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from dualview.llm import lines
 
 
@@ -68,3 +70,14 @@ def test_odd_rows(spark, odd, empty):
     cut = lines.dedup(odd)
     assert cut.columns == odd.columns and cut.count() == len(rows)
     assert lines.report(empty).count() == 0 and lines.dedup(empty).count() == 0
+
+
+def test_columns_of_any_name_pass_through(spark):
+    line = "a line that is long enough to be compared"
+    docs = spark.createDataFrame([(1, 7, line, 0.5), (2, 8, line + "\nand another line of more than 24 characters", 0.25)], "doc_id long, `_` int, text string, `a.b` double")
+    got = lines.dedup(docs)
+    assert got.columns == docs.columns
+    assert [tuple(r) for r in got.orderBy("doc_id").collect()] == [(1, 7, line, 0.5), (2, 8, "and another line of more than 24 characters", 0.25)]
+    labelled = docs.withColumn("lang", F.lit("en"))
+    kept = corpus_pipeline.identify_language(spark, labelled, "")
+    assert kept.columns == labelled.columns and [tuple(r) for r in kept.orderBy("doc_id").collect()] == [tuple(r) for r in labelled.orderBy("doc_id").collect()]
