@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of one string column that a Python step handles at once.
@@ -119,3 +119,25 @@ def text_key(column: str = "text") -> list:
     """Two independent 64-bit hashes of a text, null taken as empty: its identity in joins."""
     text = F.coalesce(F.col(column), F.lit(""))
     return [F.xxhash64(text).alias("key_a"), F.xxhash64(F.lit(0x5EED), text, F.octet_length(text)).alias("key_b")]
+
+
+def sorted_ranges(df: DataFrame, keys: list, rows: int, label: str) -> DataFrame:
+    """Settle ``df`` in the order of ``keys``: ``part`` is the range a row lies in, ``idx`` its place there, from 0.
+
+    Ranges hold about ``rows`` rows. They follow the data, so a key with a third of all rows takes
+    as many ranges as it needs if the later keys tell its rows apart. ``df`` should be
+    settled, as it is read to count, to draw the ranges and to deal.
+    """
+    n = parts_for(df.count(), rows, 1)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    return settle(dealt.withColumns({"part": F.spark_partition_id(), "idx": place}), label)
+
+
+def numbered(placed: DataFrame, group: str) -> DataFrame:
+    """Add ``pos`` (from 0) within each group and ``n``, its size, to ``sorted_ranges`` by the group first; groups aren't null."""
+    spans = placed.groupBy(group, "part").agg(F.min("idx").alias("_first"), F.count("*").alias("_rows"))
+    own = Window.partitionBy(group)
+    before = F.coalesce(F.sum("_rows").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = spans.select(group, "part", (before - F.col("_first")).alias("_shift"), F.sum("_rows").over(own).alias("n"))
+    return placed.join(shifts, [group, "part"]).withColumn("pos", F.col("idx") + F.col("_shift")).drop("_shift")

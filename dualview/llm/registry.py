@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, langid, lines, lm, sharding, simhash, suffixes
+from . import ann, bpe, chat, decontaminate, langid, lines, lm, merkle, sharding, simhash, suffixes
 from .common import table
 
 
@@ -113,6 +113,22 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=40)
 
 
+#: Columns of a leaf, in order.
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of ``documents`` with the proofs of all rows, held against a copy in which one row in seven is tampered with.
+
+    A null doc_id is never tampered with and a null n_chars stays null; other odd rows as in ``merkle.manifest``.
+    """
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    now = {c: F.col(c) + 1 if c == "n_chars" else F.col(c) for c in LEAF}
+    found = merkle.manifest(table(spark, sf_dir, "documents"), order="doc_id", group="lang", columns=LEAF, carry=(F.when(hit, merkle.leaf(list(now.values()))).alias("now"),))
+    held = merkle.verify(found, F.coalesce("now", "leaf"))
+    return held.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_graph_ann": op1_graph_ann,
     "op2_language_id": op2_language_id,
@@ -124,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_chat_format": op9_chat_format,
     "op10_shards": op10_shards,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLES: dict[str, str] = {
