@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, langid, lines, lm, merkle, sharding, simhash, suffixes
+from . import ann, bpe, chat, decontaminate, langid, lines, lm, merkle, sharding, simhash, suffixes, urls
 from .common import table
 
 
@@ -129,6 +129,41 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+#: Rules on hosts and paths.
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every row of ``pages``; null URLs have neither host nor rule and are allowed, other odd rows as in ``urls.judge``."""
+    return urls.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+def _op13_sql() -> str:
+    fits = lambda r: f"(host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '/{r.split('/', 1)[1]}')"
+    by_length = sorted(RULES, key=lambda r: -len(r[0]))
+    says = lambda i: "CASE " + " ".join(f"WHEN {fits(r[0])} THEN '{r[i]}'" for r in by_length) + " END"
+    link = urls.LINK.replace("'", "''")
+    rounds = ",\n".join(
+        f"""s{i + 1} AS (SELECT kind, host, sum(score) AS score FROM (
+  SELECT m.kind, m.dest AS host, s.score * m.share * {urls.DAMPING}::DOUBLE AS score FROM s{i} s JOIN moves m USING (kind, host) UNION ALL SELECT kind, host, score FROM s0) GROUP BY ALL)"""
+        for i in range(urls.ROUNDS)
+    )
+    return f"""
+WITH p AS MATERIALIZED (
+  SELECT page_id, html, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), r AS MATERIALIZED (SELECT page_id, host, path, {says(0)} AS rule, {says(1)} AS says FROM p),
+links AS (SELECT DISTINCT page_id, host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM p WHERE host <> ''),
+edges AS (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS share FROM links WHERE src <> dst GROUP BY src, dst),
+moves AS MATERIALIZED (SELECT 'trust' AS kind, src AS host, dst AS dest, share FROM edges UNION ALL SELECT 'distrust', dst, src, share FROM edges),
+seeds AS (SELECT host, avg(CAST(coalesce(says = 'allow', false) AS INTEGER)) AS trusted, avg(CAST(coalesce(says = 'block', false) AS INTEGER)) AS blocked FROM r WHERE host <> '' GROUP BY host),
+s0 AS MATERIALIZED (SELECT 'trust' AS kind, host, trusted AS score FROM seeds WHERE trusted > 0 UNION ALL SELECT 'distrust', host, blocked FROM seeds WHERE blocked > 0),
+{rounds},
+bad AS (SELECT host FROM s{urls.ROUNDS} GROUP BY host HAVING round(coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0), 9) > greatest({urls.THRESHOLD}, round(coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0), 9)))
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM r
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_graph_ann": op1_graph_ann,
     "op2_language_id": op2_language_id,
@@ -141,9 +176,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_shards": op10_shards,
     "op11_merkle": op11_merkle,
+    "op13_url_filter": op13_url_filter,
 }
 
 ORACLES: dict[str, str] = {
     "op6_line_dedup": OP6_SQL,
     "op9_chat_format": OP9_SQL,
+    "op13_url_filter": _op13_sql(),
 }
