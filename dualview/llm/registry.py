@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, langid, lines, lm, merkle, sharding, simhash, suffixes, urls
+from . import ann, bpe, chat, decontaminate, langid, lines, lm, merkle, repair, sharding, simhash, suffixes, urls
 from .common import table
 
 
@@ -129,6 +129,90 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def _crc_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII text in SQL, bit by bit."""
+    bit = "lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = f"lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], {bit})"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))), {byte}), 4294967295)"
+
+
+def _op11_sql() -> str:
+    text = {c: f"CAST({c} AS VARCHAR)" for c in LEAF}
+    leaf = lambda more: "sha256(" + " || ".join(f"coalesce(strlen({t}) || ':' || {t}, '-')" for t in ({**text, "n_chars": f"CAST(n_chars + {more} AS VARCHAR)"}).values()) + ")"
+    up = lambda t: f"""SELECT grp, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM {t} WHERE n > 1 GROUP BY grp, lvl, pos // 2, n"""
+    return f"""
+WITH RECURSIVE leaves AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || lang, '') AS grp, {leaf(0)} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_crc_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {leaf(1)} ELSE {leaf(0)} END AS now FROM documents
+), placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM leaves
+), tree AS (SELECT grp, 0 AS lvl, pos, n, leaf AS node FROM placed UNION ALL {up('tree')}),
+subroots AS MATERIALIZED (SELECT grp, node AS subroot, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+crown AS (SELECT '' AS grp, 0 AS lvl, pos, n, subroot AS node FROM subroots UNION ALL {up('crown')}),
+places AS (
+  SELECT p.grp, p.pos AS leaf_pos, t.lvl AS step, p.pos >> t.lvl AS here, s.node AS sibling
+  FROM placed p JOIN (SELECT DISTINCT grp, lvl FROM tree WHERE n > 1) t USING (grp) LEFT JOIN tree s ON s.grp = p.grp AND s.lvl = t.lvl AND s.pos = xor(p.pos >> t.lvl, 1)
+  UNION ALL SELECT p.grp, p.pos, 1000 + t.lvl, r.pos >> t.lvl, s.node
+  FROM placed p JOIN subroots r USING (grp) JOIN (SELECT DISTINCT lvl FROM crown WHERE n > 1) t ON true LEFT JOIN crown s ON s.lvl = t.lvl AND s.pos = xor(r.pos >> t.lvl, 1)
+), proofs AS MATERIALIZED (
+  SELECT grp, leaf_pos AS pos, list({{'odd': here % 2 = 1, 'sibling': coalesce(sibling, '')}} ORDER BY step) AS proof FROM places GROUP BY ALL
+), folded AS (
+  SELECT grp, pos, now AS node, coalesce(proof, []) AS proof, 1 AS i FROM placed LEFT JOIN proofs USING (grp, pos)
+  UNION ALL SELECT grp, pos, sha256(CASE WHEN proof[i].odd THEN proof[i].sibling || node ELSE node || proof[i].sibling END), proof, i + 1 FROM folded WHERE i <= len(proof)
+)
+SELECT doc_id, leaf, subroot, root, sha256(list_aggregate(list_concat([''], list_transform(proof, lambda x: x.sibling)), 'string_agg', '')) AS proof_sha256, f.node AS folded_root, f.node = root AS verified
+FROM placed JOIN subroots USING (grp) JOIN (SELECT node AS root FROM crown WHERE n = 1) ON true JOIN (SELECT * FROM folded WHERE i > len(proof)) f ON f.grp = placed.grp AND f.pos = placed.pos
+"""
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage to all ``conversations`` and its cheapest repair; conversations that lost every row have zeros, an empty audit and the digest of nothing.
+
+    Ties of conv_id and turn go by role and text hash; other odd rows as in ``repair.damage`` and ``repair.repair``.
+    """
+    rows = table(spark, sf_dir, "conversations")
+    found = repair.repair(repair.damage(rows))
+    every = rows.select("conv_id").distinct().withColumnRenamed("conv_id", "of")
+    whole = every.join(found, F.col("of").eqNullSafe(F.col("conv_id")), "left")
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select(F.col("of").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _op12_sql() -> str:
+    """Costs, letters and texts from the last turn to the first; ``z`` is what it takes to finish from each place in the pattern."""
+    to = {0: "z2", 1: "z2", 2: "z3", 3: "z2"}
+    role = {0: "user", 1: "user", 2: "assistant", 3: "user"}
+    put = lambda cost, letter, z, line=None: f"{{'c': {cost} + {z}.c, 's': '{letter}' || {z}.s, 'x': " + (f"list_concat([{line}], {z}.x)" if line else f"{z}.x") + "}"
+    kept = lambda q: " ".join(f"WHEN fault NOT IN (1, 2) AND ini = '{i}' THEN {put('5 * CAST(fault = 3 AS INTEGER)', 'K', z, chr(39).join(['r || ', ':', ' || t']))}" for i, z in {0: {"s": "z1", "u": "z2"}, 1: {"u": "z2"}, 2: {"a": "z3"}, 3: {"u": "z2"}}[q].items())
+    row = lambda q: f"least({put('2', 'D', f'z{q}')}, CASE {kept(q)} END, CASE WHEN fault NOT IN (1, 2) THEN {put('1 + 5 * CAST(fault = 3 AS INTEGER)', 'R', to[q], chr(39) + role[q] + ':' + chr(39) + ' || t')} END)"
+    ins = lambda q, z: put("5", "I", z, f"'{role[q]}:'")
+    return f"""
+WITH RECURSIVE d0 AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS t, {_crc_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE r END AS r, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(t, '.!?', '') ELSE t END AS t, unnest(CASE k WHEN 3 THEN [0, 1] ELSE [0] END) AS c FROM d0 WHERE k <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, md5(t), c) AS i, rtrim(t, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d
+), f AS MATERIALIZED (
+  SELECT *, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, r, t ORDER BY i) > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    left(r, 1) AS ini, lag(left(r, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prev, count(*) OVER (PARTITION BY conv_id) AS n FROM o
+), stats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+    count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE prev || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, CAST(max(i) AS BIGINT) AS i, {{'c': 0, 's': '', 'x': CAST([] AS VARCHAR[])}} AS z0, {{'c': 10, 's': 'II', 'x': ['user:', 'assistant:']}} AS z1,
+    {{'c': 5, 's': 'I', 'x': ['assistant:']}} AS z2, {{'c': 0, 's': '', 'x': CAST([] AS VARCHAR[])}} AS z3 FROM f GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, least(a0, {ins(0, 'b2')}), least(a1, {ins(1, 'b2')}), b2, b3 FROM (
+    SELECT *, least(a2, {ins(2, 'a3')}) AS b2, least(a3, {ins(3, 'a2')}) AS b3 FROM (
+      SELECT w.conv_id, w.i - 1 AS i, {', '.join(f'{row(q)} AS a{q}' for q in range(4))} FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i))
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(z0.c, 0) AS BIGINT) AS cost, coalesce(z0.s, '') AS audit, sha256(coalesce(list_aggregate(list_concat(z0.x[1:1], list_transform(z0.x[2:], lambda y: chr(10) || y)), 'string_agg', ''), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN (SELECT * FROM walk WHERE i = 0) w ON w.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 #: Rules on hosts and paths.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -176,11 +260,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_shards": op10_shards,
     "op11_merkle": op11_merkle,
+    "op12_repair": op12_repair,
     "op13_url_filter": op13_url_filter,
 }
 
 ORACLES: dict[str, str] = {
     "op6_line_dedup": OP6_SQL,
     "op9_chat_format": OP9_SQL,
+    "op11_merkle": _op11_sql(),
+    "op12_repair": _op12_sql(),
     "op13_url_filter": _op13_sql(),
 }
