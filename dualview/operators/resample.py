@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from math import comb, exp, lgamma
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..functions import scalars as S
+from . import draws
 from .conditions import count_if
 
-#: Populations up to this are counted in whole numbers, larger ones in logarithms.
-EXACT = 20_000
+#: Replicates of the protocol, those that one task draws at once, and different values of a group at most.
+REPLICATES, BLOCK, MOST_VALUES = DEFAULT.bootstraps, 100, 1000
 
 
 def hash_sample(df: DataFrame, id: str, n: int, seed: int) -> DataFrame:
@@ -33,48 +37,101 @@ def random_scores(df: DataFrame, id: str, seed: int, name: str = "random_score")
     return df.withColumn(name, S.uniform(seed, F.col(id)))
 
 
-def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Rows numbered from 0 in a total order; for samples of bounded size."""
-    return df.withColumn("i", F.row_number().over(Window.orderBy(*order)) - 1)
+def uniforms(label: str, replicates: range) -> np.ndarray:
+    """Numbers in (0, 1) from the md5 of ``label:replicate``, the stream that SQL can read too."""
+    return (np.array([int(hashlib.md5(f"{label}:{r}".encode()).hexdigest()[:8], 16) for r in replicates]) + 0.5) / 4294967296
 
 
-def bootstrap_mean(rows: DataFrame, value: str, draws: int, replicates: int, seed: int) -> DataFrame:
-    """Mean of ``value`` in each replicate of ``draws`` draws with replacement from numbered rows.
+def _blocks(df: DataFrame, group: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """Each row once for every block of replicates, with the label of its stream: seed and group joined by colons."""
+    label = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(g).cast("string"), F.lit("")) for g in group]).alias("_label")
+    return df.select("*", label, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(BLOCK))).alias("_first"))
 
-    ``rows`` (i, value) is bounded by the caller: a prefix or a sample. Draws are generated
-    where they are used, from the md5 of seed, replicate and draw.
+
+def _schema(df: DataFrame, group: Sequence[str], rest: str) -> str:
+    return ", ".join([*[f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group], rest])
+
+
+def bootstrap_means(cells: DataFrame, group: Sequence[str], value: str, count: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """(group, rep, mean): means of as many draws with replacement as a group has rows, in each replicate.
+
+    ``cells`` holds each group's rows added up: a few distinct values with their counts, which is what a draw
+    depends on. A replicate is one multinomial draw of those counts, value after value: how many of the draws left
+    fall on it is binomial, read off the inverse distribution at the stream ``seed:group:value:rep``. So all rows take part, and a
+    replicate costs no more for a large table. Values that are null are left out, and so are groups without others.
+    Raises for more than ``MOST_VALUES`` different values in a group.
     """
-    spark = rows.sparkSession
-    wide = spark.range(replicates).select(F.col("id").cast("int").alias("rep")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    drawn = wide.withColumn("i", (S.hashed(seed, F.col("rep"), F.col("draw")) % draws).cast("int"))
-    return drawn.join(rows.select("i", value), "i").groupBy("rep").agg(F.avg(F.col(value).cast("double")).alias("mean"))
+    pair = F.struct(F.col(value).cast("double").alias("v"), F.col(count).cast("long").alias("n"))
+    classes = cells.where(F.col(value).isNotNull() & (F.col(count) > 0)).groupBy(*group).agg(F.array_sort(F.collect_list(pair)).alias("_c"))
+    few = F.when(F.size("_c") <= MOST_VALUES, F.col("_c")).otherwise(F.raise_error(F.lit(f"more than {MOST_VALUES} values")))
+    wide = _blocks(classes.withColumns({"_v": few["v"], "_n": few["n"]}).drop("_c"), group, replicates, seed)
+    names = list(group)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                reps = range(row["_first"], min(row["_first"] + BLOCK, replicates))
+                total = rest = int(sum(row["_n"]))
+                left, sums = np.full(len(reps), total), np.zeros(len(reps))
+                for v, n in zip(row["_v"][:-1], row["_n"][:-1], strict=True):
+                    u, got = uniforms(f"{row['_label']}:{v:g}", reps), np.zeros(len(reps), dtype=int)
+                    for m in np.unique(left[left > 0]).tolist():
+                        some = left == m
+                        got[some] = draws.inverse(draws.binomial(m, n / rest), u[some])
+                    sums, left, rest = sums + v * got, left - got, rest - int(n)
+                sums += row["_v"][-1] * left
+                yield pd.DataFrame({**{g: [row[g]] * len(reps) for g in names}, "rep": reps, "mean": sums / total})
+
+    return wide.mapInPandas(run, _schema(cells, group, "rep int, mean double"))
+
+
+def permuted_hits(counts: DataFrame, group: Sequence[str], replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """(group, rep, hits): marked rows among those drawn, in each random order of a group of ``counts`` (group, n, marked, drawn).
+
+    Shuffling labels and looking at the first rows draws without replacement, so the count is hypergeometric; it is read
+    off the inverse distribution at the stream ``seed:group:rep``, whatever the number of rows.
+    """
+    wide, names = _blocks(counts.select(*group, "n", "marked", "drawn"), group, replicates, seed), list(group)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                reps = range(row["_first"], min(row["_first"] + BLOCK, replicates))
+                hits = draws.inverse(draws.hypergeometric(int(row["n"]), int(row["marked"]), int(row["drawn"])), uniforms(row["_label"], reps))
+                yield pd.DataFrame({**{g: [row[g]] * len(reps) for g in names}, "rep": reps, "hits": hits})
+
+    return wide.mapInPandas(run, _schema(counts, group, "rep int, hits long"))
 
 
-def interval(df: DataFrame, column: str = "mean", low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Mean and percentile bounds of a column, interpolated linearly."""
+def interval(df: DataFrame, group: Sequence[str] = (), column: str = "mean", low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """Mean and percentile bounds of a column over the replicates of each group, interpolated linearly."""
     q = F.percentile(column, F.array(F.lit(low), F.lit(high)))
-    return df.agg(F.avg(column).alias("mean"), q.alias("_q")).select("mean", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+    return df.groupBy(*group).agg(F.avg(column).alias("mean"), q.alias("_q")).select(*group, "mean", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
 
 
-def permutation_counts(rows: DataFrame, label: str, top: int, replicates: int, seed: int) -> DataFrame:
-    """Labelled rows among the first ``top`` of each random order of numbered rows."""
-    every = rows.select("i", label).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("h", S.hashed(seed, F.col("rep"), F.col("i")))
-    order = Window.partitionBy("rep").orderBy("h", "i")
-    return every.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).groupBy("rep").agg(count_if(F.col(label)).alias("hits"))
+def permutation_p(counts: DataFrame, group: Sequence[str], observed: Column) -> DataFrame:
+    """(#hits >= observed + 1) / (replicates + 1), the mean and the 95th percentile of the null, by group."""
+    return counts.groupBy(*group).agg(((count_if(F.col("hits") >= observed) + 1) / (F.count("*") + 1)).alias("p_value"), F.avg("hits").alias("null_mean"), F.percentile("hits", F.lit(0.95)).alias("null_p95"))
 
 
-def permutation_p(counts: DataFrame, observed: Column) -> DataFrame:
-    """(#hits >= observed + 1) / (replicates + 1), the mean and the 95th percentile of the null."""
-    return counts.agg(((count_if(F.col("hits") >= observed) + 1) / (F.count("*") + 1)).alias("p_value"), F.avg("hits").alias("null_mean"), F.percentile("hits", F.lit(0.95)).alias("null_p95"))
+def tail(n: Column, marked: Column, drawn: Column, hits: Column) -> Column:
+    """``draws.hypergeometric_tail`` of columns."""
 
+    @F.pandas_udf("double")
+    def run(n: pd.Series, marked: pd.Series, drawn: pd.Series, hits: pd.Series) -> pd.Series:
+        return pd.Series([draws.hypergeometric_tail(*map(int, r)) for r in zip(n, marked, drawn, hits, strict=True)], dtype=float)
 
-def hypergeometric_tail(population: int, marked: int, drawn: int, at_least: int) -> float:
-    """Chance of ``at_least`` marked among those drawn without replacement: the permutation null in closed form."""
-    low, high = max(0, at_least, drawn - (population - marked)), min(marked, drawn)
-    if population <= EXACT:
-        return sum(comb(marked, k) * comb(population - marked, drawn - k) for k in range(low, high + 1)) / comb(population, drawn)
-    log_comb = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
-    return min(1.0, sum(exp(log_comb(marked, k) + log_comb(population - marked, drawn - k) - log_comb(population, drawn)) for k in range(low, high + 1)))
+    return run(n, marked, drawn, hits)
+
+
+def bounds(n: Column, marked: Column, drawn: Column) -> Column:
+    """``draws.hypergeometric_bounds`` of columns."""
+
+    @F.pandas_udf("array<long>")
+    def run(n: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
+        return pd.Series([draws.hypergeometric_bounds(*map(int, r)) for r in zip(n, marked, drawn, strict=True)], dtype=object)
+
+    return run(n, marked, drawn)
 
 
 def first_by_hash(df: DataFrame, id: str, n: int, seed: int) -> DataFrame:
@@ -89,14 +146,3 @@ def first_by_hash(df: DataFrame, id: str, n: int, seed: int) -> DataFrame:
     if cut is None:
         return df
     return wide.where(F.col("_bin") < cut).union(wide.where(F.col("_bin") == cut).orderBy("_h", id).limit(left)).drop("_h", "_bin")
-
-
-def hypergeometric_bounds(population: int, marked: int, drawn: int, levels: Sequence[float] = (0.025, 0.975)) -> list[int]:
-    """Least counts of marked among those drawn whose chance of not being exceeded reaches each level: the random-selection null in closed form."""
-    log_comb = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
-    low, high = max(0, drawn - (population - marked)), min(marked, drawn)
-    out, total = [high] * len(levels), 0.0
-    for k in range(low, high + 1):
-        total += exp(log_comb(marked, k) + log_comb(population - marked, drawn - k) - log_comb(population, drawn))
-        out = [min(o, k) if total >= level else o for o, level in zip(out, levels, strict=True)]
-    return out

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..functions import chemistry, scalars
+from ..functions import scalars as S
 from ..operators import conditions as C
+from ..operators import gates as G
 from ..operators import hull, logistic
+from ..operators import ranking as K
 from ..operators import relations as R
 from ..operators import release as E
 from ..operators import resample as P
-from .tables import LB, LI, documents, items, query, table
+from .rankings import RANKED, ranked
+from .tables import LB, LI, documents, items, query, scores, table
 
 _H = "CAST(('0x' || substr(md5({x}), 1, 8)) AS BIGINT)"
 
@@ -34,44 +39,147 @@ def random_rank_baseline(spark, sf):
     return P.random_scores(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 20260524)
 
 
-_FIRST = LB + ", s AS (SELECT id, disc, lab_a, lab_b, row_number() OVER (ORDER BY md5('7:' || id), id) - 1 AS i FROM lb QUALIFY i < 300)"
+def _u(label: str) -> str:
+    return f"(({_h(label)}) + 0.5::DOUBLE) / 4294967296"
 
 
-def _first(spark, sf):
-    """A sample of 300 labelled documents, numbered."""
-    h = P.hash_sample(documents(spark, sf).select("id", "discordant", "lab_a", "lab_b"), "id", 300, 7)
-    return P.numbered(h.withColumn("_h", F.md5(F.concat_ws(":", F.lit("7"), F.col("id").cast("string")))), ["_h", "id"])
+_CHOOSE = "lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1)"
+
+
+def _near(mean: str, variance: str, low: str, high: str) -> str:
+    """Counts within twelve deviations of the mean; the chance of others is under 1e-30."""
+    return f"range(greatest({low}, CAST(floor({mean} - 12 * sqrt({variance})) AS BIGINT) - 60), least({high}, CAST(ceil({mean} + 12 * sqrt({variance})) AS BIGINT) + 60) + 1)"
+
+
+def _bootstrap(keys: str, values: tuple[int, ...], seed: int, reps: int = 2000) -> str:
+    """CTEs from ``cells`` (keys, total, c0, c1, ...: rows of each value) to ``means`` (keys, rep, mean): values take their shares of the draws one after the other."""
+    label = f"concat_ws(':', '{seed}', {keys}, '{{v}}', rep)"
+    out = [f"s0 AS (SELECT *, total AS left0, total AS rest0 FROM (SELECT *, unnest(range({reps})) AS rep FROM cells))"]
+    for i, v in enumerate(values[:-1]):
+        out.append(f"""t{i} AS (SELECT {keys}, m, hit, sum(exp({_CHOOSE.format('m', 'hit')} + hit * ln(p) + (m - hit) * ln(1 - p))) OVER (PARTITION BY {keys}, m ORDER BY hit) AS upto
+  FROM (SELECT *, unnest({_near('m * p', 'm * p * (1 - p)', '0', 'm')}) AS hit FROM (SELECT DISTINCT {keys}, left{i} AS m, c{i} / rest{i} AS p FROM s{i} WHERE c{i} > 0 AND c{i} < rest{i} AND left{i} > 0)))""")
+        out.append(f"x{i} AS (SELECT *, {_u(label.format(v=v))} AS u FROM s{i})")
+        match = " AND ".join(f"x.{k} = t.{k}" for k in keys.split(", "))
+        out.append(f"g{i} AS (SELECT x.*, CASE WHEN c{i} = 0 THEN 0 WHEN c{i} = rest{i} THEN left{i} ELSE coalesce(t.hit, 0) END AS got{i} FROM x{i} x ASOF LEFT JOIN t{i} t ON {match} AND x.left{i} = t.m AND t.upto >= x.u)")
+        out.append(f"s{i + 1} AS (SELECT * EXCLUDE (u), left{i} - got{i} AS left{i + 1}, rest{i} - c{i} AS rest{i + 1} FROM g{i})")
+    last = len(values) - 1
+    total = " + ".join([*(f"{v} * got{i}" for i, v in enumerate(values[:-1])), f"{values[-1]} * left{last}"])
+    out.append(f"means AS (SELECT {keys}, rep, ({total}) / total AS mean FROM s{last})")
+    return ",\n".join(out)
 
 
-def _draws(seed: int, reps: int, value: str) -> str:
-    return f""", d AS (SELECT r.rep, {_h(f"concat_ws(':', '{seed}', r.rep, q.draw)")} % 300 AS i FROM range({reps}) r(rep), range(300) q(draw)),
-b AS (SELECT rep, avg({value}) AS mean FROM d JOIN s USING (i) GROUP BY rep) SELECT round(avg(mean), 9) AS mean, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM b"""
+def _interval(keys: str) -> str:
+    return f"i AS (SELECT {keys}, round(avg(mean), 9) AS mean, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM means GROUP BY {keys})"
 
 
-def _rounded(df):
-    return df.select(*[F.round(c, 9).alias(c) for c in df.columns])
+def _cells(df, keys, values):
+    """Counts c0, c1, ... of each value as rows (value, n)."""
+    each = F.array(*[F.struct(F.lit(v).alias("value"), F.col(f"c{i}").alias("n")) for i, v in enumerate(values)])
+    return df.select(*keys, F.explode(each).alias("c")).select(*keys, "c.value", "c.n")
 
 
-@query(_FIRST + _draws(11, 200, "CAST(disc AS INTEGER)"))
+def _rounded(df, *keys):
+    return df.select(*keys, *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
+
+
+@query(LB + ", cells AS (SELECT lang, count(*) AS total, count(*) FILTER (WHERE NOT disc) AS c0, count(*) FILTER (WHERE disc) AS c1 FROM lb WHERE lang IS NOT NULL GROUP BY lang),\n"
+       + _bootstrap("lang", (0, 1), 11) + ", " + _interval("lang") + " SELECT lang, total AS n, round(c1 / total, 9) AS observed, mean, low, high FROM cells JOIN i USING (lang)")
 def bootstrap_rate_ci(spark, sf):
-    rows = _first(spark, sf).withColumn("v", F.col("discordant").cast("int"))
-    return _rounded(P.interval(P.bootstrap_mean(rows, "v", 300, 200, 11)))
+    """Discordance rate of every language with its bootstrap interval, over all labelled documents."""
+    count = lambda c: C.count_if(c)
+    cells = documents(spark, sf).where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"), count(~F.col("discordant")).alias("c0"), count(F.col("discordant")).alias("c1"))
+    found = P.interval(P.bootstrap_means(_cells(cells, ["lang"], (0, 1)), ["lang"], "value", "n", seed=11), ["lang"])
+    return cells.select("lang", "n", F.round(F.col("c1") / F.col("n"), 9).alias("observed")).join(_rounded(found, "lang"), "lang")
 
 
-@query(_FIRST + _draws(12, 200, "CAST(lab_a AS INTEGER) - CAST(lab_b AS INTEGER)"))
+@query(RANKED + """, k AS (SELECT CAST(unnest([100, 300, 500, 1000, 2000]) AS INTEGER) AS k), cells AS (SELECT model, k, CAST(k AS BIGINT) AS total, count(*) FILTER (WHERE NOT lab_a AND lab_b) AS c0, count(*) FILTER (WHERE lab_a = lab_b) AS c1, count(*) FILTER (WHERE lab_a AND NOT lab_b) AS c2
+  FROM ranked JOIN k ON rank <= k GROUP BY model, k HAVING count(*) = k),
+""" + _bootstrap("model, k", (-1, 0, 1), 20260524) + ", " + _interval("model, k") + " SELECT model, k, round((c2 - c0) / total, 9) AS observed, mean, low, high FROM cells JOIN i USING (model, k)")
 def paired_bootstrap_shift(spark, sf):
-    rows = _first(spark, sf).withColumn("v", F.col("lab_a").cast("int") - F.col("lab_b").cast("int"))
-    return _rounded(P.interval(P.bootstrap_mean(rows, "v", 300, 200, 12)))
+    """Precision under the one source less that under the other among each model's first K, with bootstrap intervals; pairs stay together."""
+    keys = ["model", "k"]
+    a, b = F.col("lab_a"), F.col("lab_b")
+    shifts = [C.count_if(~a & b).alias("c0"), C.count_if(a == b).alias("c1"), C.count_if(a & ~b).alias("c2")]
+    cells = K.prefix_metrics(scores(items(spark, sf)), DEFAULT.precision_ks, ["model"], ["score", "id"], shifts)
+    found = P.interval(P.bootstrap_means(_cells(cells, keys, (-1, 0, 1)), keys, "value", "n", seed=20260524), keys)
+    return cells.select(*keys, F.round((F.col("c2") - F.col("c0")) / F.col("k"), 9).alias("observed")).join(_rounded(found, *keys), keys)
+
+
+def _null(population: str, marked: str, drawn: str, k: str = "k") -> str:
+    return f"exp({_CHOOSE.format(marked, k)} + {_CHOOSE.format(f'({population} - {marked})', f'({drawn} - {k})')} - ({_CHOOSE.format(population, drawn)}))"
+
 
+def _permutations(keys: str, seed: int, reps: int) -> str:
+    """CTEs from ``tops`` (keys, n, marked, drawn, observed) to ``hits`` (keys, rep, hits) and ``p`` (keys and what is told of them)."""
+    match = " AND ".join(f"r.{k} = t.{k}" for k in keys.split(", "))
+    return f"""t AS (SELECT {keys}, k, sum({_null('n', 'marked', 'drawn')}) OVER (PARTITION BY {keys} ORDER BY k) AS upto FROM (SELECT *, unnest({_near('1.0::DOUBLE * drawn * marked / n', '1.0::DOUBLE * drawn * marked / n', 'greatest(0, drawn - (n - marked))', 'least(marked, drawn)')}) AS k FROM tops)),
+r AS (SELECT *, {_u(f"concat_ws(':', '{seed}', {keys}, rep)")} AS u FROM (SELECT {keys}, observed, unnest(range({reps})) AS rep FROM tops)),
+hits AS (SELECT r.*, t.k AS hits FROM r ASOF JOIN t ON {match} AND t.upto >= r.u),
+p AS (SELECT {keys}, (count(*) FILTER (WHERE hits >= observed) + 1) / (count(*) + 1) AS p_value, round(avg(hits), 9) AS null_mean, quantile_cont(hits, 0.95) AS null_p95 FROM hits GROUP BY {keys})"""
 
-@query(_FIRST + f""", h AS (SELECT r.rep, disc, row_number() OVER (PARTITION BY r.rep ORDER BY {_h("concat_ws(':', '13', r.rep, s.i)")}, s.i) AS place FROM s, range(200) r(rep)),
-c AS (SELECT rep, count(*) FILTER (WHERE disc) AS hits FROM h WHERE place <= 30 GROUP BY rep), o AS (SELECT count(*) FILTER (WHERE disc) AS k FROM s WHERE i < 30)
-SELECT (count(*) FILTER (WHERE hits >= k) + 1) / (count(*) + 1) AS p_value, round(avg(hits), 9) AS null_mean, quantile_cont(hits, 0.95) AS null_p95 FROM c, o""")
+
+TOPS = RANKED + ", tops AS (SELECT model, any_value(n) AS n, count(*) FILTER (WHERE disc) AS marked, CAST(least(any_value(n), greatest(ceil(0.1::DOUBLE * any_value(n)), 20)) AS BIGINT) AS drawn, count(*) FILTER (WHERE disc AND rank <= least(n, greatest(ceil(0.1::DOUBLE * n), 20))) AS observed FROM ranked GROUP BY model),\n" + _permutations("model", 20260520, 2000)
+
+
+def tops(spark, sf):
+    """Rows, discordant rows, size of the first tenth and discordant rows in it, for every model."""
+    first = F.col("rank") <= K.top_size(F.col("n"), DEFAULT.top_fraction, DEFAULT.top_floor)
+    hit = F.col("discordant")
+    rows = ranked(spark, sf).groupBy("model").agg(F.max("n").alias("n"), C.count_if(hit).alias("marked"), C.count_if(hit & first).alias("observed"))
+    return rows.withColumn("drawn", K.top_size(F.col("n"), DEFAULT.top_fraction, DEFAULT.top_floor))
+
+
+def permuted(found):
+    """``tops`` with p and null of ``permuted_hits``."""
+    hits = P.permuted_hits(found, ["model"], DEFAULT.permutations, DEFAULT.seed).join(found.select("model", "observed"), "model")
+    return found.join(P.permutation_p(hits, ["model"], F.col("observed")), "model")
+
+
+@query(TOPS + " SELECT tops.*, p_value, null_mean, null_p95, round((SELECT sum(exp(" + _null("n", "marked", "drawn").removeprefix("exp(").removesuffix(")") + ")) FROM (SELECT unnest(range(greatest(observed, drawn - (n - marked)), least(marked, drawn) + 1)) AS k)), 6) AS p_exact FROM tops JOIN p USING (model)")
 def permutation_null(spark, sf):
-    rows = _first(spark, sf)
-    observed = rows.where("i < 30").agg(C.count_if(F.col("discordant")).alias("k"))
-    counts = P.permutation_counts(rows, "discordant", 30, 200, 13).crossJoin(F.broadcast(observed))
-    return P.permutation_p(counts, F.col("k")).withColumn("null_mean", F.round("null_mean", 9))
+    """Discordant rows in every model's first tenth against 2,000 random orders of all its rows, and the same in closed form."""
+    exact = F.round(P.tail(F.col("n"), F.col("marked"), F.col("drawn"), F.col("observed")), 6).alias("p_exact")
+    return permuted(tops(spark, sf)).select("model", "n", "marked", "drawn", "observed", "p_value", F.round("null_mean", 9).alias("null_mean"), "null_p95", exact)
+
+
+_PASSES = "top_rate >= 0.3::DOUBLE AND enrichment >= 2 AND p_value <= 0.1::DOUBLE"
+
+
+@query(TOPS + f""", g AS (SELECT model, observed / drawn AS top_rate, (observed / drawn) / nullif(marked / n, 0) AS enrichment, p_value FROM tops JOIN p USING (model))
+SELECT count(*) FILTER (WHERE {_PASSES}) AS passing, count(*) AS models, CASE WHEN count(*) FILTER (WHERE {_PASSES}) >= 2 THEN 'GO' ELSE 'NO_GO' END AS verdict FROM g""")
+def gate_selection(spark, sf):
+    """The gate on selection-conditional discordance, by every model's own permutation p."""
+    found = permuted(tops(spark, sf))
+    rate = S.ratio(F.col("observed"), F.col("drawn"))
+    return G.selection_gate(found.select("model", rate.alias("top_rate"), F.try_divide(rate, S.ratio(F.col("marked"), F.col("n"))).alias("enrichment"), "p_value"))
+
+
+_CURVE = RANKED + """, f AS (SELECT unnest([0.01::DOUBLE, 0.05::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE, 0.5::DOUBLE]) AS share), sizes AS (SELECT model, share, any_value(n) AS n, count(*) FILTER (WHERE disc) AS marked, greatest(1, CAST(ceil(share * any_value(n)) AS BIGINT)) AS drawn FROM ranked, f GROUP BY model, share),
+tops AS (SELECT sizes.*, (SELECT any_value(upto) FROM (SELECT model, rank, count(*) FILTER (WHERE disc) OVER (PARTITION BY model ORDER BY rank) AS upto FROM ranked) r WHERE r.model = sizes.model AND r.rank = drawn) AS observed FROM sizes), cells AS (SELECT model, share, drawn AS total, drawn - observed AS c0, observed AS c1 FROM tops),
+"""
+
+
+@query(_CURVE + _bootstrap("model, share", (0, 1), 31) + ", " + _interval("model, share") + ",\n" + _permutations("model, share", 32, 10000)
+       + ", nulls AS (SELECT model, share, round(quantile_cont(hits, 0.025), 9) AS null_low, round(quantile_cont(hits, 0.975), 9) AS null_high FROM hits GROUP BY model, share) SELECT model, share, n, marked, drawn, observed, low, high, null_mean, null_low, null_high, p_value FROM tops JOIN i USING (model, share) JOIN p USING (model, share) JOIN nulls USING (model, share)")
+def selection_curve(spark, sf):
+    """Discordance among each model's first 1 to 50 %, with bootstrap intervals and the null of 10,000 random selections."""
+    keys = ["model", "share"]
+    shares = F.array(*map(F.lit, (0.01, 0.05, 0.1, 0.2, 0.5)))
+    drawn = lambda share: F.greatest(F.lit(1), F.ceil(share * F.col("n"))).cast("long")
+    inside = F.filter(shares, lambda x: F.col("rank") <= drawn(x))
+    rows = ranked(spark, sf).withColumn("_in", inside)
+    sums = [C.count_if(F.col("discordant") & F.array_contains("_in", F.lit(x))).alias(f"o{i}") for i, x in enumerate((0.01, 0.05, 0.1, 0.2, 0.5))]
+    wide = rows.groupBy("model").agg(F.max("n").alias("n"), C.count_if(F.col("discordant")).alias("marked"), *sums)
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("share"), F.col(f"o{i}").alias("observed")) for i, x in enumerate((0.01, 0.05, 0.1, 0.2, 0.5))]))
+    found = wide.select("model", "n", "marked", each.alias("e")).select("model", "n", "marked", "e.*").withColumn("drawn", drawn(F.col("share")))
+    counts = found.select(*keys, (F.col("drawn") - F.col("observed")).alias("c0"), F.col("observed").alias("c1"))
+    boot = P.interval(P.bootstrap_means(_cells(counts, keys, (0, 1)), keys, "value", "n", seed=31), keys).drop("mean")
+    hits = P.permuted_hits(found, keys, 10_000, 32).join(found.select(*keys, "observed"), keys)
+    q = F.percentile("hits", F.array(F.lit(0.025), F.lit(0.975)))
+    null = hits.groupBy(*keys).agg(F.avg("hits").alias("null_mean"), q.alias("_q"), ((C.count_if(F.col("hits") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p_value"))
+    out = found.join(boot, keys).join(null, keys)
+    nine = lambda c, name: F.round(c, 9).alias(name)
+    return out.select(*keys, "n", "marked", "drawn", "observed", nine("low", "low"), nine("high", "high"), nine("null_mean", "null_mean"), nine(F.col("_q")[0], "null_low"), nine(F.col("_q")[1], "null_high"), "p_value")
 
 
 @query(LI + """, n AS (SELECT count(*) FILTER (WHERE lab_a) AS p FROM li), r AS (SELECT *, -price AS score, row_number() OVER (PARTITION BY lab_a ORDER BY -price DESC, id) AS pr FROM li),
@@ -89,9 +197,6 @@ def conformal_evalue_release(spark, sf):
     return out.withColumn("best_mass_ratio", F.round("best_mass_ratio", 9))
 
 
-_CHOOSE = "lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1)"
-
-
 @query(LB + f""", h AS (SELECT *, row_number() OVER (ORDER BY md5('7:' || id), id) AS place, count(*) OVER () AS n FROM lb),
 c AS (SELECT any_value(n) AS n, count(*) FILTER (WHERE disc) AS d, any_value(n) // 10 AS m, count(*) FILTER (WHERE disc AND place <= n // 10) AS hits FROM h),
 k AS (SELECT *, unnest(range(greatest(hits, m - (n - d)), least(m, d) + 1)) AS k FROM c)
@@ -99,11 +204,10 @@ SELECT any_value(n) AS n, any_value(d) AS marked, any_value(hits) AS hits, round
 def hypergeometric_p(spark, sf):
     """Closed form of the permutation null over all labelled documents, the first tenth by hash drawn."""
     rows = documents(spark, sf).select("id", "discordant")
-    s = rows.agg(F.count("*").alias("n"), C.count_if(F.col("discordant")).alias("marked")).first()
-    drawn = s["n"] // 10
-    hits = P.first_by_hash(rows, "id", drawn, 7).agg(C.count_if(F.col("discordant"))).first()[0]
-    p = P.hypergeometric_tail(s["n"], s["marked"], drawn, hits)
-    return spark.createDataFrame([(s["n"], s["marked"], hits, round(p, 6))], "n long, marked long, hits long, p_value double")
+    drawn = rows.count() // 10
+    all_rows = rows.agg(F.count("*").alias("n"), C.count_if(F.col("discordant")).alias("marked"))
+    hits = P.first_by_hash(rows, "id", drawn, 7).agg(C.count_if(F.col("discordant")).alias("hits"))
+    return all_rows.crossJoin(F.broadcast(hits)).select("n", "marked", "hits", F.round(P.tail(F.col("n"), F.col("marked"), F.lit(drawn), F.col("hits")), 6).alias("p_value"))
 
 
 @query()

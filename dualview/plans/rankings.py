@@ -165,11 +165,6 @@ def gate_launch(spark, sf):
     return G.launch_gate(flips.crossJoin(rate), F.col("n"), F.col("rate"))
 
 
-@query(BINS + ", t AS (SELECT model, count(*) FILTER (WHERE disc) / count(*) AS top_rate, count(*) FILTER (WHERE disc) / count(*) / nullif(baseline, 0) AS enrichment, CASE model WHEN 'qty' THEN 0.5::DOUBLE ELSE 0.05::DOUBLE END AS p_value FROM binned JOIN base USING (model) WHERE bin = 'top_10' GROUP BY model, baseline) SELECT count(*) FILTER (WHERE top_rate >= 0.3::DOUBLE AND enrichment >= 2 AND p_value <= 0.1::DOUBLE) AS passing, count(*) AS models, CASE WHEN count(*) FILTER (WHERE top_rate >= 0.3::DOUBLE AND enrichment >= 2 AND p_value <= 0.1::DOUBLE) >= 2 THEN 'GO' ELSE 'NO_GO' END AS verdict FROM t")
-def gate_selection(spark, sf):
-    return G.selection_gate(top_decile_enrichment(spark, sf).withColumn("p_value", F.when(F.col("model") == "qty", 0.5).otherwise(0.05)))
-
-
 @query(LI + "SELECT suppkey, count(*) AS n, CASE WHEN count(*) >= 1000 THEN 'full' WHEN count(*) >= 200 THEN 'limited' ELSE 'blocked' END AS tier FROM li GROUP BY suppkey")
 def gate_coverage(spark, sf):
     return items(spark, sf).groupBy("suppkey").agg(F.count("*").alias("n")).withColumn("tier", G.coverage_tier(F.col("n")))

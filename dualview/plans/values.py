@@ -116,10 +116,9 @@ k AS (SELECT *, unnest(range(greatest(0, m - (n - d)), least(m, d) + 1)) AS k FR
 SELECT share, m AS drawn, round(any_value(d / n), 9) AS mean, min(k) FILTER (WHERE upto >= 0.025) AS low, min(k) FILTER (WHERE upto >= 0.975) AS high FROM p GROUP BY share, m""")
 def random_selection_null(spark, sf):
     """Discordant rows among a random selection of each share: mean and bounds in closed form, over all rows."""
-    bounds = F.udf(lambda n, d, m: P.hypergeometric_bounds(n, d, m), "array<long>")  # one call for each share
     counts = documents(spark, sf).agg(F.count("*").alias("n"), C.count_if(F.col("discordant")).alias("d"))
     shares = counts.withColumn("share", F.explode(F.array(*map(F.lit, (0.05, 0.1, 0.25))))).withColumn("drawn", F.ceil(F.col("n") * F.col("share")))
-    return shares.withColumn("b", bounds("n", "d", "drawn")).select("share", "drawn", F.round(F.col("d") / F.col("n"), 9).alias("mean"), F.col("b")[0].alias("low"), F.col("b")[1].alias("high"))
+    return shares.withColumn("b", P.bounds(F.col("n"), F.col("d"), F.col("drawn"))).select("share", "drawn", F.round(F.col("d") / F.col("n"), 9).alias("mean"), F.col("b")[0].alias("low"), F.col("b")[1].alias("high"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'missing_record' WHEN o_orderpriority = '1-URGENT' THEN 'match_error_ValueError' WHEN o_totalprice > 100000 THEN 'strict_structure_match' ELSE 'structure_mismatch' END AS status FROM orders")

@@ -1,8 +1,13 @@
 """Queries on whole tables against plain computations."""
 
+import time
+from math import comb
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from dualview.operators import logistic
+from dualview.operators import draws, logistic
 from dualview.operators import resample as P
 from dualview.plans.catalog import QUERIES
 from dualview.plans.tables import documents, items
@@ -29,7 +34,56 @@ def test_hypergeometric_uses_every_row(spark):
     assert (got["n"], got["marked"], got["hits"]) == (n, rows.where("discordant").count(), top.where("discordant").count())
 
 
-def test_hypergeometric_tail_in_logarithms(monkeypatch):
-    exact = P.hypergeometric_tail(5000, 700, 500, 80)
-    monkeypatch.setattr(P, "EXACT", 0)
-    assert P.hypergeometric_tail(5000, 700, 500, 80) == pytest.approx(exact, rel=1e-8)
+def exact(population, marked, drawn):
+    low, high = max(0, drawn - (population - marked)), min(marked, drawn)
+    return {k: comb(marked, k) * comb(population - marked, drawn - k) / comb(population, drawn) for k in range(low, high + 1)}
+
+
+@pytest.mark.parametrize("population,marked,drawn", [(287, 31, 29), (10, 3, 4), (5000, 700, 500), (40, 40, 7), (40, 0, 7), (9, 5, 9), (1, 1, 1), (2000, 3, 1999)])
+def test_hypergeometric_window_and_tail(population, marked, drawn):
+    want = exact(population, marked, drawn)
+    first, p = draws.hypergeometric(population, marked, drawn)
+    got = {first + i: x for i, x in enumerate(p)}
+    assert all(got.get(k, 0) == pytest.approx(x, rel=1e-8, abs=1e-25) for k, x in want.items()) and set(got) <= set(want)
+    for k in [*range(min(want) - 1, max(want) + 2)][:: max(1, len(want) // 40)]:
+        assert draws.hypergeometric_tail(population, marked, drawn, k) == pytest.approx(sum(x for j, x in want.items() if j >= k), rel=1e-7, abs=1e-300)
+    bounds = [min(k for k in want if sum(x for j, x in want.items() if j <= k) >= level) for level in (0.025, 0.975)]
+    assert draws.hypergeometric_bounds(population, marked, drawn) == bounds
+
+
+def test_closed_forms_of_large_tables_take_no_time():
+    began = time.perf_counter()
+    assert 0.4 < draws.hypergeometric_tail(10**11, 10**10, 10**10, 10**9) < 0.6
+    low, high = draws.hypergeometric_bounds(10**11, 10**10, 10**10)
+    assert 10**9 - 60_000 < low < 10**9 - 50_000 and 10**9 + 50_000 < high < 10**9 + 60_000
+    assert 0 < draws.hypergeometric_tail(10**9, 10**6, 10**6, 1900) < 1e-100
+    first, p = draws.binomial(10**11, 0.25)
+    assert abs((first + np.arange(len(p))) @ p - 2.5e10) < 1
+    assert time.perf_counter() - began < 5
+
+
+def test_bootstrap_means_follow_the_multinomial(spark):
+    cells = spark.createDataFrame([("a", -1.0, 30), ("a", 0.0, 50), ("a", 2.5, 20), ("b", 1.0, 7), ("c", None, 9), ("c", 0.0, 0), (None, 0.0, 5), (None, 1.0, 5)], "g string, v double, n long")
+    rows = P.bootstrap_means(cells, ["g"], "v", "n", 2000, 5).toPandas()
+    assert {g: len(x) for g, x in rows.groupby("g", dropna=False)} == {"a": 2000, "b": 2000, None: 2000} or rows["g"].isna().sum() == 2000
+    assert (rows[rows["g"] == "b"]["mean"] == 1).all()
+    own = rows[rows["g"] == "a"]["mean"]
+    data = np.repeat([-1.0, 0.0, 2.5], [30, 50, 20])
+    assert abs(own.mean() - data.mean()) < 4 * data.std() / 10 / 2000**0.5 and own.std() == pytest.approx(data.std() / 10, rel=0.06)
+    brute = np.random.default_rng(1).choice(data, (20_000, 100)).mean(axis=1)
+    assert np.abs(np.quantile(own, [0.1, 0.5, 0.9]) - np.quantile(brute, [0.1, 0.5, 0.9])).max() < 0.02
+    again = P.bootstrap_means(cells.repartition(5), ["g"], "v", "n", 2000, 5).toPandas()
+    assert sorted(map(str, rows.itertuples(index=False))) == sorted(map(str, again.itertuples(index=False)))
+    with pytest.raises(Exception, match="more than 1000 values"):
+        P.bootstrap_means(spark.range(1500).select(F.lit("a").alias("g"), F.col("id").alias("v"), F.lit(1).alias("n")), ["g"], "v", "n", 3, 5).collect()
+
+
+def test_permuted_hits_follow_shuffles(spark):
+    counts = spark.createDataFrame([("a", 60, 25, 10), ("b", 5, 0, 3), ("c", 5, 5, 3)], "g string, n long, marked long, drawn long")
+    hits = P.permuted_hits(counts, ["g"], 2000, 9).toPandas()
+    assert set(hits[hits["g"] == "b"]["hits"]) == {0} and set(hits[hits["g"] == "c"]["hits"]) == {3}
+    r = np.random.default_rng(3)
+    labels = np.arange(60) < 25
+    brute = np.bincount([r.permutation(labels)[:10].sum() for _ in range(20_000)], minlength=11) / 20_000
+    own = np.bincount(hits[hits["g"] == "a"]["hits"], minlength=11) / 2000
+    assert np.abs(own - brute).max() < 0.04

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dualview.functions import chemistry, scalars
 from dualview.operators import conditions as C
-from dualview.operators import gates, hull, logistic, metrics, ranking, relations, resample
+from dualview.operators import draws, gates, hull, logistic, metrics, ranking, relations
 from dualview.operators.pairs import keep_first, labelled, pair_frame
 from dualview.sources import files, lookup
 
@@ -152,8 +152,8 @@ def test_logistic_is_at_a_minimum():
 
 
 def test_hypergeometric_closed_form():
-    assert math.isclose(resample.hypergeometric_tail(287, 31, 29, 5), 0.1887, abs_tol=1e-4)
-    assert resample.hypergeometric_tail(10, 3, 4, 0) == pytest.approx(1)
+    assert math.isclose(draws.hypergeometric_tail(287, 31, 29, 5), 0.1887, abs_tol=1e-4)
+    assert draws.hypergeometric_tail(10, 3, 4, 0) == pytest.approx(1)
 
 
 def test_mechanism_classes(spark):
