@@ -244,7 +244,9 @@ def round_trip(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
     """Encode each whole text and decode its ids again.
 
     Returns ``key``, ``ids`` array<int>, ``decoded`` binary and, with ``offsets``, ``ends``
-    array<bigint>: where each id ends in the text's bytes.
+    array<bigint>: where each id ends in the text's bytes. A null text is empty and gives no ids;
+    rows are encoded one by one, so repeated rows and ids are no matter and a null key stays null. Other
+    columns are left aside; an empty table gives no rows.
     """
     kind = dict(df.dtypes)[key]
 

@@ -138,7 +138,12 @@ def reconstruct(events: DataFrame, step, schema: str) -> DataFrame:
 
 
 def format_conversations(events: DataFrame) -> DataFrame:
-    """conv_id, formatted string, spans array<struct<first,last>> under the loss mask."""
+    """conv_id, formatted string, spans array<struct<first,last>> under the loss mask.
+
+    Null roles and texts are empty; events go by seq, nulls last, ties by kind, role and text, and repeated
+    events stay repeated. Null conversation ids form one conversation. Other columns are left aside; an
+    empty table gives no rows.
+    """
 
     def step(rows: list) -> pa.RecordBatch:
         done = [render(turns) for _, turns in rows]

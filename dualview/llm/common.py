@@ -18,6 +18,11 @@ SLICE_BYTES = 4 << 20
 BATCH_BYTES = 8 << 20
 
 
+def named(column: str):
+    """The column of exactly this name, whatever dots or backticks it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

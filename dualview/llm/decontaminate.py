@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, slices
+from .common import map_slices, named, slices
 
 Q = 8
 #: Most bytes of items that one broadcast table holds.
@@ -249,7 +249,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.1, text: str =
     """
     _check(share)
     at = docs.columns.index(text)
-    out = docs
+    out = docs.select(*[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    schema = out.schema
     for block in item_blocks(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))):
         sent = docs.sparkSession.sparkContext.broadcast(Items(block, share))
 
@@ -257,8 +258,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.1, text: str =
             good = [t is None or not sent.value.matches(normalise(t)) for t in batch.column(at).to_pylist()]
             return batch.filter(pa.array(good, pa.bool_()))
 
-        out = map_slices(out, text, step, docs.schema)
-    return out
+        out = map_slices(out, f"c{at}", step, schema)
+    return out.toDF(*docs.columns)
 
 
 def _check(share: float) -> None:

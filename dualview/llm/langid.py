@@ -193,7 +193,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> ByteNet:
 
 
 def predict(df: DataFrame, net: ByteNet, text: str = "text", keep: bool = False) -> DataFrame:
-    """``df`` with lang_pred and score of each whole text, less ``text`` unless ``keep``; null or letterless: ``und``, 0."""
+    """``df`` with lang_pred and score of each whole text, less ``text`` unless ``keep``; null or letterless: ``und``, 0.
+
+    Of equally likely languages the first by name is taken. Rows are judged one by one, so repeated rows are no
+    matter; an empty table gives no rows. ``df`` shouldn't have columns lang_pred or score of its own.
+    """
     names = [c for c in df.columns if c != text]
     out = [*names, text] if keep else names
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_slices, settle
+from .common import map_slices, named, settle
 
 BLOCKS = 4
 MIN_CHARS = 24
@@ -267,7 +267,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: i
     found = removed_lines(docs, key, text, min_chars)
     rest = [c for c in docs.columns if c != text]
     # a batch holds each text once: the row's other columns travel beside it
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text).alias("text"), F.col(key).alias("key"), F.xxhash64(text).alias("own"))
+    rows = docs.select(F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("row"), F.col(text).alias("text"), F.col(key).alias("key"), F.xxhash64(text).alias("own"))
     joined = rows.join(found, rows["key"].eqNullSafe(found["doc"]) & (rows["own"] == found["mark"]), "left").select("row", "text", "removed")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -281,7 +281,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: i
 
     schema = T.StructType([T.StructField("row", joined.schema["row"].dataType), T.StructField("kept", T.StringType())])
     cut = map_slices(joined, "text", step, schema)
-    return cut.select(*[(F.col("kept") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    return cut.select(*[(F.col("kept") if c == text else F.col("row").getField(f"c{rest.index(c)}")).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:

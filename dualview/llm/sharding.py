@@ -96,11 +96,9 @@ def assign(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
     groups = rows.groupBy("key_a", "key_b").agg(F.sum("size").alias("held"))
     groups = groups.withColumn("kind", size_class(F.col("held"), exact_up_to(shards)))
     common = groups.groupBy("kind").agg(F.ceil(F.count("*") / PART).cast("int").alias("salts")).where("salts > 1")
-    salts = {r["kind"]: r["salts"] for r in common.collect()}
-    salt = F.lit(0)
-    if salts:
-        salt = F.pmod(F.col("key_b"), F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(salts.items()) for x in pair]), F.col("kind")), F.lit(1))).cast("int")
-    groups = groups.withColumn("salt", salt)
+    # at most a row for each class, and classes are bounded by exact_up_to for each doubling of size
+    salted = groups.join(F.broadcast(common), "kind", "left")
+    groups = salted.withColumn("salt", F.pmod(F.col("key_b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     groups = settle(groups.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "salt").orderBy("key_a", "key_b"))), "groups")
     histogram = [tuple(r) for r in groups.groupBy("kind", "salt").agg(F.count("*"), F.sum("held")).collect()]
     plan = list(zip(*schedule(histogram, shards), strict=True)) or [()] * 4

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, settle, text_key
+from .common import map_slices, named, settle, text_key
 from .components import components
 
 #: Fingerprints looked at to plan the partitions. The plan changes cost, never results.
@@ -568,6 +568,6 @@ def keep_one(docs: DataFrame, words: int = 5, bits: int = 3, least: float = 0.8,
     verdict = nodes.join(out, "node", "left").select("shingles", F.struct(*same).alias("first"), "out")
     # of each set, all but the first row go; of a set that is not kept, that one too
     gone = marks.select(*same, "shingles").distinct().join(verdict, "shingles").where(F.col("out") | (F.struct(*same) != F.col("first"))).select(*[F.col(c).alias(f"_gone_{c}") for c in same])
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"), *text_key(text))
+    rows = docs.select(F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), F.col(key).alias("key"), *text_key(text))
     left = rows.join(gone, (F.col("key") == F.col("_gone_key")) & (F.col("key_a") == F.col("_gone_key_a")) & (F.col("key_b") == F.col("_gone_key_b")), "left_anti")
-    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return left.select(*[F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -1,10 +1,39 @@
+import pytest
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 import corpus_pipeline
 from dualview.llm import registry
+from dualview.llm.common import named
 from oracle import assert_same, connect
+
 from .conftest import prose
 
 
+@pytest.fixture(scope="module")
+def items_dir(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("items")
+    spark.createDataFrame([(1, prose(200, 30)), (2, None), (3, "short")], "item_id long, text string").write.parquet(str(path / "benchmark.parquet"))
+    return str(path)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_rows_and_columns(spark, odd, items_dir, name, stage):
+    long = spark.createDataFrame([(800, " ".join(prose(1000 + i, 100) for i in range(1700))), (801, "the same text twice here. " * 3), (801, "the same text twice here. " * 3)], "doc_id long, text string")
+    docs = odd.unionByName(long, allowMissingColumns=True).withColumn("a.b", F.col("doc_id") * 2).withColumn("c`d", F.lit("x")).withColumn("row", F.lit(1)).withColumn("node", F.lit(2)).withColumn("c0", F.lit(3)).withColumn("kept", F.lit(4))
+    assert docs.where(F.length("text") > 1_000_000).count() == 1
+    out = stage(spark, docs, items_dir)
+    rows, last = out.collect(), stage is corpus_pipeline.STAGES[-1][1]
+    ids = [r["doc_id"] for r in docs.collect()]
+    assert all([r["doc_id"] for r in rows].count(i) <= ids.count(i) for i in {r["doc_id"] for r in rows}) and 800 in {r["doc_id"] for r in rows}
+    if last:
+        assert len(rows) == len(ids)
+    else:
+        assert out.columns == docs.columns
+        seen = out.select("doc_id", named("a.b").alias("ab"), named("c`d").alias("cd"), "row", "node", "c0", "kept").collect()
+        assert all(r["ab"] == (None if r["doc_id"] is None else 2 * r["doc_id"]) and (r["cd"], r["row"], r["node"], r["c0"], r["kept"]) == ("x", 1, 2, 3, 4) for r in seen)
+    nothing = stage(spark, docs.limit(0), items_dir)
+    assert nothing.count() == 0 and nothing.columns == out.columns
 
 
 def test_stages_take_effect(spark, documents, tmp_path):
@@ -27,7 +56,7 @@ def test_stages_take_effect(spark, documents, tmp_path):
 def test_registered(spark, small):
     found = entry.queries()
     assert {n for n in found if n.startswith("op")} == set(registry.QUERIES) and "pipeline" in found
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
     assert found["pipeline"](spark, small).count() > 0
 
 
