@@ -27,6 +27,10 @@ class Protocol:
     select_rate: float = 0.30
     select_enrichment: float = 2.0
     select_p: float = 0.10
+    alpha: float = 0.10
+    rho: float = 0.10
+    release_ks: tuple[int, ...] = (50, 100, 124, 200, 287)
+    release_seeds: tuple[int, ...] = tuple(range(20))
     coverage_full: int = 1000
     coverage_min: int = 200
 

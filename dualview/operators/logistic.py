@@ -64,18 +64,126 @@ def coefficients(df: DataFrame, group: str, columns: Sequence[str], label: str,
     return spark.createDataFrame(out, "model string, term string, coefficient double")
 
 
-def permuted_p(df: DataFrame, group: str, columns: Sequence[str], label: str, replicates: int, seed: int) -> DataFrame:
-    """p of the last column's coefficient against refits with that column shuffled, replicates in parallel."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        some = rows.dropna(subset=[*columns, label])
-        x, y, rep = some[list(columns)].to_numpy(float), some[label].to_numpy(float), int(rows["rep"].iloc[0])
-        if rep >= 0:
-            x[:, -1] = np.random.default_rng([seed, rep]).permutation(x[:, -1])
-        return pd.DataFrame({"model": [rows[group].iloc[0]], "rep": [rep], "coefficient": [fit(x, y)[-2]]})
-
-    reps = F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1)))
-    wide = df.select(F.col(group).cast("string").alias(group), *columns, F.col(label).cast("int").alias(label)).withColumn("rep", reps)
-    refits = wide.groupBy(group, "rep").applyInPandas(run, "model string, rep int, coefficient double")
-    own = refits.where("rep < 0").select("model", F.col("coefficient").alias("observed"))
-    return refits.where("rep >= 0").join(own, "model").groupBy("model", "observed").agg(((F.count_if(F.abs("coefficient") >= F.abs("observed")) + 1) / (F.count("*") + 1)).alias("p_value"))
+def shuffled(i: np.ndarray, n: int, keys: np.ndarray) -> np.ndarray:
+    """Where each of the places ``i`` (below n) goes in one pseudo-random permutation of n places for each row of ``keys``.
+
+    Four Feistel rounds over the least even number of bits that holds n, walked on until the place is below n. A place is computed
+    from itself, so no column is shuffled between tasks. Shape (len(i), len(keys)).
+    """
+    half = np.uint64(max(1, (max(n - 1, 1).bit_length() + 1) // 2))
+    mask = (np.uint64(1) << half) - np.uint64(1)
+
+    def once(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+        left, right = x >> half, x & mask
+        for r in range(4):
+            mixed = (right + k[..., r]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((mixed >> np.uint64(32)) & mask)
+        return left << half | right
+
+    out = once(np.broadcast_to(i.astype(np.uint64)[:, None], (len(i), len(keys))), keys[None])
+    while True:
+        far = np.nonzero(out >= n)
+        if not len(far[0]):
+            return out.astype(np.int64)
+        out[far] = once(out[far], keys[far[1]])
+
+
+def replicate_keys(seed: int, replicates: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, (replicates, 4), dtype=np.uint64)
+
+
+def _newton_sums(x: np.ndarray, y: np.ndarray, last: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and upper Hessian sums of each column of ``last`` beside ``x`` (which ends in ones), all replicates at once; one row a replicate."""
+    k = x.shape[1]
+    margin = x @ w[:, :k].T + last * w[:, k]
+    p = 1 / (1 + np.exp(-margin))
+    r, v = p - y[:, None], p * (1 - p)
+    pairs = np.stack([x[:, i] * x[:, j] for i in range(k) for j in range(i, k)], axis=1)
+    lv = last * v
+    return np.concatenate((r.T @ x, (last * r).sum(axis=0)[:, None], v.T @ pairs, lv.T @ x, (last * lv).sum(axis=0)[:, None]), axis=1)
+
+
+def _newton_step(sums: np.ndarray, w: np.ndarray, c: float) -> np.ndarray:
+    """Steps from sums; weights and intercept are all penalised."""
+    d = w.shape[1]
+    k = d - 1
+    h = np.zeros((len(w), d, d))
+    cells = [(i, j) for i in range(k) for j in range(i, k)] + [(i, k) for i in range(k)] + [(k, k)]
+    for at, (i, j) in enumerate(cells):
+        h[:, i, j] = h[:, j, i] = c * sums[:, d + at]
+    return np.linalg.solve(h + np.eye(d), (w + c * sums[:, :d])[..., None])[..., 0]
+
+
+#: Rows times replicates that a task holds in one array.
+CELLS = 1 << 20
+
+
+def rank_permutations(df: DataFrame, group: str, columns: Sequence[str], label: str, order: Sequence[str], replicates: int, seed: int, c: float = 1.0, rounds: int = 50) -> DataFrame:
+    """(model, rep, coefficient): the coefficient of the rank percentile by ``order`` beside ``columns``, observed (rep -1) and with ranks shuffled.
+
+    The fit is that of ``fit``. All rows take part in every refit: a step of Newton's method for all replicates of all groups is one pass,
+    in which each task computes the shuffled ranks of its own rows from their numbers, and adds up small matrices by replicate. Only
+    those sums and the weights, replicates times predictors squared, pass through the driver. Rows with a null or NaN are left out, and
+    so are groups with one label.
+    """
+    from .ranking import ranked
+    from .settled import settle
+
+    k = len(columns)
+    rows = df.select(F.col(group).cast("string").alias("_g"), *[F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(columns)], F.col(label).cast("int").alias("_y"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)]).where("_g is not null and _y is not null")
+    for i in range(k):
+        rows = rows.where(F.col(f"_x{i}").isNotNull() & ~F.isnan(f"_x{i}"))
+    placed = settle(ranked(rows, ["_g"], [f"_o{i}" for i in range(len(order))]).select("_g", *[f"_x{i}" for i in range(k)], "_y", "rank", "n"), "ranks")
+    stats = {r["_g"]: r for r in placed.groupBy("_g").agg(F.max("n").alias("n"), F.min("_y").alias("no"), F.max("_y").alias("yes"), *[f(f"_x{i}").alias(f"{m}{i}") for i in range(k) for m, f in (("mean", F.avg), ("dev", F.stddev_pop), ("low", F.min), ("high", F.max))]).where("no < yes").collect()}
+    known = {g: (r["n"], np.array([r[f"mean{i}"] for i in range(k)]), np.array([r[f"dev{i}"] if r[f"low{i}"] < r[f"high{i}"] else 1.0 for i in range(k)])) for g, r in stats.items()}
+    keys, spark = replicate_keys(seed, replicates), df.sparkSession
+    width = k + 2 + (k + 1) * (k + 2) // 2 + k + 2
+    schema = "_g string, rep int, " + ", ".join(f"s{i} double" for i in range(width))
+
+    def descend(w: dict[str, np.ndarray], shuffle: bool) -> dict[str, np.ndarray]:
+        for _ in range(rounds):
+            sent = spark.sparkContext.broadcast(w)
+
+            def run(batches):
+                total = {}
+                for batch in batches:
+                    for g, some in batch.groupby("_g", sort=False):
+                        if g not in sent.value:
+                            continue
+                        n, mean, dev = known[g]
+                        wide, now = max(1, CELLS // len(sent.value[g])), sent.value[g]
+                        for a in range(0, len(some), wide):
+                            part = some.iloc[a : a + wide]
+                            x = np.column_stack(((part[[f"_x{i}" for i in range(k)]].to_numpy(float) - mean) / dev, np.ones(len(part))))
+                            place = part["rank"].to_numpy(np.int64) - 1
+                            ranks = (shuffled(place, n, keys) if shuffle else place[:, None]) + 1.0
+                            last = (ranks - (n + 1) / 2) / max(((n * n - 1) / 12) ** 0.5, 1e-300)
+                            total[g] = total.get(g, 0) + _newton_sums(x, part["_y"].to_numpy(float), last, now)
+                for g, sums in total.items():
+                    yield pd.DataFrame(sums, columns=[f"s{i}" for i in range(width)]).assign(_g=g, rep=np.arange(len(sums)))[["_g", "rep", *[f"s{i}" for i in range(width)]]]
+
+            found = placed.mapInPandas(run, schema).groupBy("_g", "rep").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)]).toPandas()
+            most, after = 0.0, {}
+            for g, sums in found.groupby("_g"):
+                step = _newton_step(sums.sort_values("rep")[[f"s{i}" for i in range(width)]].to_numpy(), w[g], c)
+                after[g], most = w[g] - step, max(most, float(np.abs(step).max()))
+            sent.destroy()
+            w = after
+            if most < 1e-9:
+                break
+        return w
+
+    own = descend({g: np.zeros((1, k + 2)) for g in known}, False)
+    free = {g: np.repeat(np.concatenate((x[:, :-1], [[0.0]]), axis=1), replicates, axis=0) for g, x in own.items()}
+    other = descend(free, True) if free else {}
+    out = [(g, rep, float(v)) for g in own for rep, v in [(-1, own[g][0, -1]), *enumerate(other[g][:, -1])]]
+    return spark.createDataFrame(out, "model string, rep int, coefficient double")
+
+
+def permuted_p(coefficients: DataFrame) -> DataFrame:
+    """model, observed, p_value (#|c| >= |observed| + 1 over replicates + 1), null_mean and null_p95 of |c|, from ``rank_permutations``."""
+    own = coefficients.where("rep < 0").select("model", F.col("coefficient").alias("observed"))
+    hit = F.count_if(F.abs("coefficient") >= F.abs("observed"))
+    return coefficients.where("rep >= 0").join(own, "model").groupBy("model", "observed").agg(((hit + 1) / (F.count("*") + 1)).alias("p_value"), F.avg("coefficient").alias("null_mean"), F.percentile(F.abs("coefficient"), F.lit(0.95)).alias("null_p95"))

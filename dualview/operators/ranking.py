@@ -2,53 +2,97 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from .settled import settle
 
-#: Estimated bytes that one range of a running sum should have, and ranges at most (each row is compared with all cuts).
-RANGE, MOST_RANGES = 64 << 20, 1024
+#: Estimated bytes that one range of a running sum should have.
+RANGE = 64 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of a table by its plan; a plan with joins multiplies its sides, so one that looks large is counted."""
+    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if planned <= RANGE:
+        return planned
+    width = sum(32 if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)) else 8 for f in df.schema.fields)
+    return min(planned, df.count() * width)
 
 
-def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], values: dict[str, Column], ranges: int | None = None) -> DataFrame:
-    """Add inclusive running sums along a total order in each group.
+def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], values: dict[str, Column], ranges: int | None = None, size: str | None = None) -> DataFrame:
+    """Add inclusive running sums along a total order in each group, and the group's rows as ``size`` if named.
 
-    A small table takes one window for each group. A larger one is cut into ranges of
-    (group, order), as many as its bytes ask for, at the quantiles of a bounded sample, summed within ranges, and each
-    range is raised by the sum of those before it, so that no task holds a whole group.
+    A small table takes one window for each group. A larger one is dealt out by range of (group, order), as many
+    ranges as its bytes ask for, and summed along each range as it streams through, so that no task holds a whole
+    group; what is found is settled, and the sums of earlier ranges, one row for each range and group, are added.
     """
     if ranges is None:
-        ranges = min(MOST_RANGES, -(-estimated_bytes(df) // RANGE))
+        ranges = -(-estimated_bytes(df) // RANGE)
+    whole = Window.partitionBy(*group)
     if ranges <= 1:
-        w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({n: F.sum(c).over(w) for n, c in values.items()})
-    keys = [*group, *order]
-    sample = df.select(*keys).orderBy(F.xxhash64(*keys)).limit(ranges * 32)
-    place = F.struct(*keys)
-    cuts = F.broadcast(sample.agg(F.sort_array(F.collect_list(place)).alias("_all")).select(F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("_all", (i * F.size("_all") / ranges).cast("int"))).alias("_cuts")))
-    cut = df.crossJoin(cuts).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= place))).drop("_cuts")
-    w = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = cut.withColumns({f"_{n}": F.sum(c).over(w) for n, c in values.items()})
-    totals = cut.groupBy(*group, "_range").agg(*[F.sum(c).alias(f"_t{n}") for n, c in values.items()])
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_range", *[F.coalesce(F.sum(f"_t{n}").over(before), F.lit(0)).alias(f"_o{n}") for n in values])
-    out = inner.join(offsets, [*group, "_range"])
-    return out.withColumns({n: F.col(f"_{n}") + F.col(f"_o{n}") for n in values}).drop("_range", *[f"_{n}" for n in values], *[f"_o{n}" for n in values])
+        w = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        out = df.withColumns({n: F.sum(c).over(w) for n, c in values.items()})
+        return out.withColumn(size, F.count("*").over(whole)) if size else out
+    keys, names = [*group, *order], list(values)
+    dealt = df.withColumns({f"__value_{i}": c for i, c in enumerate(values.values())}).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    summed = settle(_streamed(dealt.withColumn("__part", F.spark_partition_id()), group, [f"__value_{i}" for i in range(len(names))]), "sums")
+    last = [F.max_by(f"__value_{i}", "__row").alias(f"__total_{i}") for i in range(len(names))]
+    totals = summed.groupBy(*group, "__part").agg(F.max("__row").alias("__rows"), *last)
+    before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(g).alias(f"__group_{i}") for i, g in enumerate(group)], F.col("__part").alias("__at"), F.sum("__rows").over(whole).alias("__size"), *[F.coalesce(F.sum(f"__total_{i}").over(before), F.lit(0)).alias(f"__before_{i}") for i in range(len(names))])
+    same = F.col("__part") == F.col("__at")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__group_{i}"))
+    out = summed.join(offsets, same)
+    sums = {n: (F.col(f"__value_{i}") + F.col(f"__before_{i}")).alias(n) for i, n in enumerate(names)}
+    sized = [F.col("__size").alias(size)] if size else []
+    return out.select(*[c for c in df.columns if c not in {*sums, size}], *sums.values(), *sized)
+
+
+def _streamed(df: DataFrame, group: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Sorted partitions with ``values`` replaced by their running sums and ``__row`` counted, both from the start of each group; nulls add nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sums = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, dtype=bool)
+            for g in group:
+                c = batch.column(g)
+                a, b = c.slice(0, n - 1), c.slice(1)
+                changed = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+                new[1:] |= changed.to_numpy(zero_copy_only=False)
+            first = tuple(batch.column(g)[0].as_py() for g in group)
+            starts = np.flatnonzero(new)
+            columns = [np.ones(n, dtype=np.int64), *[np.nan_to_num(pc.fill_null(batch.column(v), 0).to_numpy(zero_copy_only=False)) for v in values]]
+            done = []
+            for i, x in enumerate(columns):
+                s = np.cumsum(x)
+                carried = sums[i] if held == first else s.dtype.type(0)
+                base = np.concatenate(([-carried], s[starts - 1])) if len(starts) else np.array([-carried])
+                done.append(s - base[np.cumsum(new)])
+            held, sums = tuple(batch.column(g)[n - 1].as_py() for g in group), [d[-1] for d in done]
+            kept = [batch.column(c) if c not in values else pa.array(done[1 + values.index(c)]) for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(done[0])], names=[*batch.schema.names, "__row"])
+
+    fields = [T.StructField(f.name, (T.DoubleType() if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else T.LongType()) if f.name in values else f.dataType) for f in df.schema.fields]
+    wide = df.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in fields if f.name in values})
+    return wide.mapInArrow(run, T.StructType([*fields, T.StructField("__row", T.LongType())]))
 
 
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], ranges: int | None = None) -> DataFrame:
     """Add rank (from 1), n of the group and rank_percentile, over all rows given."""
-    out = running_sums(df, group, order, {"rank": F.lit(1)}, ranges)
-    sizes = df.groupBy(*group).agg(F.count("*").alias("n")) if group else df.agg(F.count("*").alias("n"))
-    out = out.join(sizes, list(group)) if group else out.crossJoin(F.broadcast(sizes))
-    return out.withColumn("rank_percentile", F.col("rank") / F.col("n"))
+    return running_sums(df, group, order, {"rank": F.lit(1)}, ranges, "n").withColumn("rank_percentile", F.col("rank") / F.col("n"))
 
 
 def top_n(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
@@ -85,8 +129,13 @@ def rank_bins(ranks: DataFrame, group: Sequence[str], fraction: float = 0.10, fl
     return ranks.withColumn("_b", F.explode(inside)).select("*", "_b.place", "_b.bin").drop("_b")
 
 
-def last_passing(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], value: Column, alpha: float, budget: Column) -> DataFrame:
-    """Step-up release over e-values: last k with e_k >= budget / (alpha k), and the best mass ratio."""
-    k = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    rows = df.withColumns({"k": k, "e": value})
-    return rows.groupBy(*group).agg(F.coalesce(F.max(F.when(F.col("e") >= budget / (F.lit(alpha) * F.col("k")), F.col("k"))), F.lit(0)).alias("released"), F.greatest(F.lit(0.0), F.max(F.lit(alpha) * F.col("k") * F.col("e") / budget)).alias("best_mass_ratio"))
+def bin_edges(n: Column) -> dict[str, Column]:
+    """The ranks at which the bins of ``rank_bins`` begin and end, for ``selection.within``."""
+    floor, ceil = (lambda f: F.floor(F.lit(f) * n)), (lambda f: F.ceil(F.lit(f) * n))
+    return {"top": top_size(n, 0.10, 20), "low10": floor(0.10), "high25": ceil(0.25), "low25": floor(0.25), "high50": ceil(0.50), "low50": floor(0.50)}
+
+
+def in_bins() -> list[tuple[str, Column]]:
+    """Names of the bins, and which rows lie in them by the flags of ``bin_edges``."""
+    c = F.col
+    return [("top_10", c("top")), ("10_25", ~c("low10") & c("high25")), ("25_50", ~c("low25") & c("high50")), ("50_100", ~c("low50"))]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import random
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,18 +11,16 @@ from ..functions import scalars as S
 from .ranking import running_sums
 
 
-def block_halves(blocks: list[str], seed: int) -> tuple[set[str], set[str]]:
-    """Distinct blocks in order, shuffled by a seed and halved: calibration and test."""
-    order = sorted(set(blocks))
-    random.Random(seed).shuffle(order)
-    return set(order[: len(order) // 2]), set(order[len(order) // 2 :])
-
-
 def hashed_halves(df: DataFrame, block: str, seed: int) -> DataFrame:
-    """The same by md5, where blocks are too many for the driver: ``is_cal`` for each row."""
+    """Blocks halved by md5: ``is_cal`` for each row."""
     return df.withColumn("is_cal", S.hashed(seed, F.col(block)) % 2 == 0)
 
 
+def test_seeds(block: str, seeds: Sequence[int]) -> Column:
+    """The seeds by which ``hashed_halves`` leaves a block for the test."""
+    return F.filter(F.array(*map(F.lit, seeds)), lambda s: S.hashed(s, F.col(block)) % 2 != 0)
+
+
 def observed_mask(df: DataFrame, truth: Column, score: str, id: str, rho: float) -> DataFrame:
     """``observed``: the top round(rho * positives) positives by score, halves rounded to even."""
     n = df.agg(F.count_if(truth).alias("_p"))
@@ -31,21 +29,63 @@ def observed_mask(df: DataFrame, truth: Column, score: str, id: str, rho: float)
     return rows.withColumn("observed", F.col("_pos") & (F.col("_r") <= S.half_even(F.lit(float(rho)) * F.col("_p")))).drop("_pos", "_down", "_p", "_r")
 
 
+def exceeding(test: DataFrame, maxima: DataFrame, group: Sequence[str], score: str, maximum: str) -> DataFrame:
+    """(group, _v, _exceed, _m): for each distinct score of ``test`` how many of its group's maxima reach it, of how many.
+
+    Both sides are put in one order of values and counted along it; no pairs are formed. Groups without maxima are left out.
+    """
+    scores = test.select(*group, F.col(score).alias("_v")).distinct().select(*group, "_v", F.lit(0).cast("long").alias("_c"))
+    both = scores.unionByName(maxima.groupBy(*group, F.col(maximum).alias("_v")).agg(F.count("*").alias("_c")))
+    per = both.groupBy(*group, "_v").agg(F.sum("_c").alias("_c")).withColumn("_down", -F.col("_v"))
+    counted = running_sums(per, group, ["_down"], {"_exceed": F.col("_c")}).select(*group, "_v", "_exceed")
+    sizes = maxima.groupBy(*group).agg(F.count("*").alias("_m"))
+    return counted.join(sizes, list(group)) if group else counted.crossJoin(F.broadcast(sizes))
+
+
+def evidence(exceed: Column, m: Column) -> tuple[Column, Column]:
+    """p = (1 + exceed) / (m + 1) and e = gamma p^(gamma - 1) with gamma = -1 / ln(1 / (m + 1)); e is 0 where gamma isn't in (0, 1)."""
+    p = F.least(F.lit(1.0), (1 + exceed) / (m + 1.0))
+    gamma = S.conformal_gamma(1.0 / (m + 1.0))
+    return p, F.coalesce(gamma * F.pow(p, gamma - 1), F.lit(0.0))
+
+
 def e_values(test: DataFrame, maxima: DataFrame, score: str, maximum: str = "block_max") -> DataFrame:
-    """``p`` and ``e`` of each test row against the calibration blocks' maxima.
+    """``p`` and ``e`` of each test row against the calibration blocks' maxima."""
+    seen = exceeding(test, maxima, [], score, maximum)
+    p, e = evidence(F.col("_exceed"), F.col("_m"))
+    return test.join(seen, F.col(score) == F.col("_v")).withColumns({"p": p, "e": e}).drop("_v", "_exceed", "_m")
+
+
+def release_grid(rows: DataFrame, block: str, seeds: Callable[[str], Column], score: str, id: str, budgets: Sequence[int], alpha: float) -> DataFrame:
+    """``release`` for every seed and budget in one plan: seed, budget, released, best_mass_ratio, a_false_rate, b_false_rate.
 
-    p = (1 + #{maximum >= score}) / (m + 1), e = gamma p^(gamma - 1) with gamma = -1 / ln(1 / (m + 1)).
-    Both sides are put in one order of values and counted along it; no pairs are formed.
+    ``rows`` has observed, lab_a and lab_b; ``seeds`` maps the block column to the array of seeds by which a block is tested, and
+    all others calibrate. What depends on blocks is found once for each block: its seeds, and the maximum of its unobserved rows.
+    e falls with the number of maxima that reach a score, so the order of e is the order of scores, with one
+    running count for all budgets of a seed. A seed without calibrating blocks has e = 0, so it releases nothing; a seed without rows to test is left out.
     """
-    m = maxima.count()
-    p_floor = 1.0 / (m + 1.0)
-    both = test.select(F.col(score).alias("_v")).distinct().select("_v", F.lit(0).alias("_c")).unionByName(maxima.groupBy(F.col(maximum).alias("_v")).agg(F.count("*").cast("int").alias("_c")))
-    per = both.groupBy("_v").agg(F.sum("_c").alias("_c")).withColumn("_down", -F.col("_v"))
-    exceed = running_sums(per, [], ["_down"], {"_exceed": F.col("_c")}).select("_v", "_exceed")
-    joined = test.join(exceed, F.col(score) == F.col("_v")).drop("_v")
-    p = F.least(F.lit(1.0), (1 + F.col("_exceed")) / F.lit(m + 1.0))
-    gamma = S.conformal_gamma(F.lit(p_floor))
-    return joined.withColumn("p", p).withColumn("e", F.coalesce(gamma * F.pow("p", gamma - 1), F.lit(0.0))).drop("_exceed")
+    largest = max(budgets)
+    blocks = rows.groupBy(block).agg(F.max(F.when(~F.col("observed"), F.col(score))).alias("_max")).withColumn("_tests", seeds(block))
+    known = blocks.select(F.explode("_tests").alias("seed")).distinct().agg(F.collect_set("seed").alias("_every"))
+    maxima = blocks.where("_max is not null").crossJoin(F.broadcast(known)).select("_max", F.explode(F.array_except("_every", "_tests")).alias("seed"))
+    mine = rows.select(F.col(block).alias("_block"), F.col(score).alias("_score"), F.col(id).alias("_id"), "lab_a", "lab_b").join(blocks.select(F.col(block).alias("_of"), "_tests"), F.col("_block").eqNullSafe(F.col("_of")))
+    best = Window.partitionBy("seed").orderBy(F.desc("_score"), "_id")
+    pool = mine.select(F.explode("_tests").alias("seed"), "_score", "_id", "lab_a", "lab_b").withColumn("k", F.row_number().over(best)).where(F.col("k") <= largest)
+    upto = best.rowsBetween(Window.unboundedPreceding, 0)
+    wrong = lambda c: F.sum((~F.col(c)).cast("long")).over(upto)
+    told = lambda c: F.count(c).over(upto)
+    pool = pool.withColumns({"_fa": wrong("lab_a"), "_fb": wrong("lab_b"), "_na": told("lab_a"), "_nb": told("lab_b")})  # at most the largest budget in each seed
+    seen = exceeding(pool, maxima, ["seed"], "_score", "_max").withColumnRenamed("seed", "_seed")
+    _, e = evidence(F.col("_exceed"), F.col("_m"))
+    valued = pool.join(seen, (F.col("seed") == F.col("_seed")) & (F.col("_score") == F.col("_v")), "left").withColumn("e", F.coalesce(e, F.lit(0.0)))
+    cells = valued.withColumn("budget", F.explode(F.filter(F.array(*map(F.lit, budgets)), lambda b: b >= F.col("k"))))
+    passes = F.col("e") >= F.col("budget") / (F.lit(alpha) * F.col("k"))
+    last = lambda c: F.max_by(F.when(passes, F.col(c)), F.when(passes, F.col("k")))
+    out = cells.groupBy("seed", "budget").agg(
+        F.coalesce(F.max(F.when(passes, F.col("k"))), F.lit(0)).alias("released"), F.greatest(F.lit(0.0), F.max(F.lit(alpha) * F.col("k") * F.col("e") / F.col("budget"))).alias("best_mass_ratio"),
+        F.coalesce(F.try_divide(last("_fa"), last("_na")), F.lit(0.0)).alias("a_false_rate"), F.coalesce(F.try_divide(last("_fb"), last("_nb")), F.lit(0.0)).alias("b_false_rate"),
+    )
+    return out
 
 
 def release(test: DataFrame, score: str, id: str, budget: int, alpha: float) -> DataFrame:

@@ -14,7 +14,8 @@ from ..operators import ranking as K
 from ..operators import relations as R
 from ..operators import release as E
 from ..operators import resample as P
-from .rankings import RANKED, ranked
+from ..operators import selection as L
+from .rankings import RANKED
 from .tables import LB, LI, documents, items, query, scores, table
 
 _H = "CAST(('0x' || substr(md5({x}), 1, 8)) AS BIGINT)"
@@ -123,9 +124,9 @@ TOPS = RANKED + ", tops AS (SELECT model, any_value(n) AS n, count(*) FILTER (WH
 
 def tops(spark, sf):
     """Rows, discordant rows, size of the first tenth and discordant rows in it, for every model."""
-    first = F.col("rank") <= K.top_size(F.col("n"), DEFAULT.top_fraction, DEFAULT.top_floor)
+    rows = L.within(scores(items(spark, sf)), ["model"], ["score", "id"], lambda n: {"top": K.top_size(n, DEFAULT.top_fraction, DEFAULT.top_floor)})
     hit = F.col("discordant")
-    rows = ranked(spark, sf).groupBy("model").agg(F.max("n").alias("n"), C.count_if(hit).alias("marked"), C.count_if(hit & first).alias("observed"))
+    rows = rows.groupBy("model").agg(F.max("n").alias("n"), C.count_if(hit).alias("marked"), C.count_if(hit & F.col("top")).alias("observed"))
     return rows.withColumn("drawn", K.top_size(F.col("n"), DEFAULT.top_fraction, DEFAULT.top_floor))
 
 
@@ -164,14 +165,13 @@ tops AS (SELECT sizes.*, (SELECT any_value(upto) FROM (SELECT model, rank, count
 def selection_curve(spark, sf):
     """Discordance among each model's first 1 to 50 %, with bootstrap intervals and the null of 10,000 random selections."""
     keys = ["model", "share"]
-    shares = F.array(*map(F.lit, (0.01, 0.05, 0.1, 0.2, 0.5)))
-    drawn = lambda share: F.greatest(F.lit(1), F.ceil(share * F.col("n"))).cast("long")
-    inside = F.filter(shares, lambda x: F.col("rank") <= drawn(x))
-    rows = ranked(spark, sf).withColumn("_in", inside)
-    sums = [C.count_if(F.col("discordant") & F.array_contains("_in", F.lit(x))).alias(f"o{i}") for i, x in enumerate((0.01, 0.05, 0.1, 0.2, 0.5))]
+    shares = (0.01, 0.05, 0.1, 0.2, 0.5)
+    drawn = lambda share, n: F.greatest(F.lit(1), F.ceil(share * n)).cast("long")
+    rows = L.within(scores(items(spark, sf)), ["model"], ["score", "id"], lambda n: {f"in{i}": drawn(F.lit(x), n) for i, x in enumerate(shares)})
+    sums = [C.count_if(F.col("discordant") & F.col(f"in{i}")).alias(f"o{i}") for i in range(len(shares))]
     wide = rows.groupBy("model").agg(F.max("n").alias("n"), C.count_if(F.col("discordant")).alias("marked"), *sums)
-    each = F.explode(F.array(*[F.struct(F.lit(x).alias("share"), F.col(f"o{i}").alias("observed")) for i, x in enumerate((0.01, 0.05, 0.1, 0.2, 0.5))]))
-    found = wide.select("model", "n", "marked", each.alias("e")).select("model", "n", "marked", "e.*").withColumn("drawn", drawn(F.col("share")))
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("share"), F.col(f"o{i}").alias("observed")) for i, x in enumerate(shares)]))
+    found = wide.select("model", "n", "marked", each.alias("e")).select("model", "n", "marked", "e.*").withColumn("drawn", drawn(F.col("share"), F.col("n")))
     counts = found.select(*keys, (F.col("drawn") - F.col("observed")).alias("c0"), F.col("observed").alias("c1"))
     boot = P.interval(P.bootstrap_means(_cells(counts, keys, (0, 1)), keys, "value", "n", seed=31), keys).drop("mean")
     hits = P.permuted_hits(found, keys, 10_000, 32).join(found.select(*keys, "observed"), keys)
@@ -197,6 +197,25 @@ def conformal_evalue_release(spark, sf):
     return out.withColumn("best_mass_ratio", F.round("best_mass_ratio", 9))
 
 
+@query(LI + """, n AS (SELECT count(*) FILTER (WHERE lab_a) AS p FROM li), r AS (SELECT *, -price AS score, row_number() OVER (PARTITION BY lab_a ORDER BY -price DESC, id) AS pr FROM li),
+o AS (SELECT r.*, lab_a AND pr <= round_even(0.1::DOUBLE * p, 0) AS observed FROM r, n),
+half AS (SELECT partkey, seed, CAST(('0x' || substr(md5(seed || ':' || partkey), 1, 8)) AS BIGINT) % 2 = 0 AS is_cal FROM (SELECT DISTINCT partkey FROM o), range(20) s(seed)),
+mx AS (SELECT seed, partkey, max(score) AS top FROM o JOIN half USING (partkey) WHERE is_cal AND NOT observed GROUP BY ALL), m AS (SELECT seed, count(*) AS m, -1 / ln(1 / (count(*) + 1)) AS g FROM mx GROUP BY seed),
+pool AS (SELECT * FROM (SELECT seed, score, lab_a, lab_b, row_number() OVER (PARTITION BY seed ORDER BY score DESC, id) AS k FROM o JOIN half USING (partkey) WHERE NOT is_cal) WHERE k <= 287),
+reach AS (SELECT pool.seed, pool.k, count(mx.top) AS above FROM pool LEFT JOIN mx ON mx.seed = pool.seed AND mx.top >= pool.score GROUP BY ALL),
+e AS (SELECT pool.*, g * pow(least(1, (1 + above) / (m + 1)), g - 1) AS e FROM pool JOIN reach USING (seed, k) JOIN m USING (seed)),
+c AS (SELECT e.*, b AS budget, e >= b / (0.1::DOUBLE * k) AS passes FROM e JOIN (SELECT unnest([50, 100, 124, 200, 287]) AS b) ON k <= b),
+l AS (SELECT seed, budget, coalesce(max(k) FILTER (WHERE passes), 0) AS released, greatest(0, max(0.1::DOUBLE * k * e / budget)) AS best FROM c GROUP BY ALL)
+SELECT CAST(seed AS INTEGER) AS seed, CAST(budget AS INTEGER) AS budget, CAST(released AS INTEGER) AS released, round(best, 9) AS best_mass_ratio, round(coalesce(avg(CAST(NOT lab_a AS INTEGER)), 0), 9) AS a_false_rate, round(coalesce(avg(CAST(NOT lab_b AS INTEGER)), 0), 9) AS b_false_rate
+FROM l LEFT JOIN pool USING (seed) WHERE k <= released OR (released = 0 AND k = 1) GROUP BY ALL""".replace("avg(CAST(NOT lab_a AS INTEGER))", "avg(CAST(NOT lab_a AS INTEGER)) FILTER (WHERE k <= released)").replace("avg(CAST(NOT lab_b AS INTEGER))", "avg(CAST(NOT lab_b AS INTEGER)) FILTER (WHERE k <= released)"))
+def release_grid(spark, sf):
+    """Release under 20 block splits and five budgets, all in one plan."""
+    rows = E.observed_mask(items(spark, sf).withColumn("score", -F.col("price")), F.col("lab_a"), "score", "id", DEFAULT.rho)
+    out = E.release_grid(rows, "partkey", lambda block: E.test_seeds(block, DEFAULT.release_seeds), "score", "id", DEFAULT.release_ks, DEFAULT.alpha)
+    nine = lambda c: F.round(c, 9).alias(c)
+    return out.select("seed", "budget", F.col("released").cast("int").alias("released"), nine("best_mass_ratio"), nine("a_false_rate"), nine("b_false_rate"))
+
+
 @query(LB + f""", h AS (SELECT *, row_number() OVER (ORDER BY md5('7:' || id), id) AS place, count(*) OVER () AS n FROM lb),
 c AS (SELECT any_value(n) AS n, count(*) FILTER (WHERE disc) AS d, any_value(n) // 10 AS m, count(*) FILTER (WHERE disc AND place <= n // 10) AS hits FROM h),
 k AS (SELECT *, unnest(range(greatest(hits, m - (n - d)), least(m, d) + 1)) AS k FROM c)
@@ -210,10 +229,35 @@ def hypergeometric_p(spark, sf):
     return all_rows.crossJoin(F.broadcast(hits)).select("n", "marked", "hits", F.round(P.tail(F.col("n"), F.col("marked"), F.lit(drawn), F.col("hits")), 6).alias("p_value"))
 
 
-@query()
+def _newton(rounds: int) -> str:
+    """Newton's method for three standardised columns and an intercept, all penalised, as one CTE a step; 4 by 4 systems are solved by elimination."""
+    z = [f"CASE WHEN s{i} > 0 THEN (x{i} - m{i}) / s{i} ELSE 0 END" for i in range(3)] + ["1.0::DOUBLE"]
+    out = ["st AS (SELECT flag, " + ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(("price", "qty", "day"))) + " FROM li GROUP BY flag)"]
+    out.append("zz AS MATERIALIZED (SELECT flag, CAST(disc AS INTEGER) AS y, " + ", ".join(f"{e} AS z{i}" for i, e in enumerate(z)) + " FROM (SELECT flag, disc, price AS x0, qty AS x1, day AS x2 FROM li) JOIN st USING (flag))")
+    out.append("w0 AS (SELECT flag, " + ", ".join(f"0.0::DOUBLE AS w{i}" for i in range(4)) + " FROM st)")
+    for r in range(rounds):
+        sums = [f"sum((p - y) * z{i}) + any_value(w{i}) AS e{i}_4" for i in range(4)] + [f"sum(p * (1 - p) * z{i} * z{j}) + {int(i == j)} AS e{i}_{j}" for i in range(4) for j in range(4)]
+        keep = ", ".join(f"any_value(w{i}) AS w{i}" for i in range(4))
+        out.append(f"a{r}_0 AS (SELECT flag, {keep}, {', '.join(sums)} FROM (SELECT *, 1 / (1 + exp(-({' + '.join(f'z{i} * w{i}' for i in range(4))}))) AS p FROM zz JOIN w{r} USING (flag)) GROUP BY flag)")
+        for pivot in range(4):
+            cells = [f"e{pivot}_{j} / e{pivot}_{pivot} AS e{pivot}_{j}" if i == pivot else f"e{i}_{j} - e{i}_{pivot} * e{pivot}_{j} / e{pivot}_{pivot} AS e{i}_{j}" for i in range(4) for j in range(5)]
+            out.append(f"a{r}_{pivot + 1} AS (SELECT flag, w0, w1, w2, w3, {', '.join(cells)} FROM a{r}_{pivot})")
+        out.append(f"w{r + 1} AS (SELECT flag, {', '.join(f'w{i} - e{i}_4 AS w{i}' for i in range(4))} FROM a{r}_4)")
+    return ", ".join(out)
+
+
+@query(LI + ", " + _newton(8) + " SELECT flag AS model, term, round(coefficient, 7) AS coefficient FROM (" + " UNION ALL ".join(f"SELECT flag, '{t}' AS term, w{i} AS coefficient FROM w8" for i, t in enumerate(("price", "qty", "day", "intercept"))) + ")")
 def logistic_coefs(spark, sf):
     """Discordance on three scores by return flag, over all rows."""
-    return logistic.coefficients(items(spark, sf), "flag", ["price", "qty", "day"], "discordant")
+    return logistic.coefficients(items(spark, sf), "flag", ["price", "qty", "day"], "discordant").withColumn("coefficient", F.round("coefficient", 7))
+
+
+@query()
+def logistic_permutation(spark, sf):
+    """The rank percentile's coefficient by language against 2,000 refits with ranks shuffled, over all labelled documents."""
+    rows = documents(spark, sf).withColumn("size", F.log1p("n_chars"))
+    found = logistic.rank_permutations(rows, "lang", ["size"], "discordant", ["n_chars", "id"], DEFAULT.permutations, 20260521)
+    return logistic.permuted_p(found)
 
 
 #: A binary system for the hull query: formula and energy per atom of the phases.

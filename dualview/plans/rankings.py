@@ -10,6 +10,7 @@ from ..operators import gates as G
 from ..operators import metrics as M
 from ..operators import ranking as K
 from ..operators import relations as R
+from ..operators import selection as L
 from .agreement import _RATES, cells
 from .tables import LI, LONG, MODELS, items, query, scores
 
@@ -50,8 +51,8 @@ def topk_shift(spark, sf):
 
 @query(RANKED + "SELECT model, count(*) AS selected_n, count(*) FILTER (WHERE disc) AS discordant_n FROM ranked WHERE rank <= least(n, greatest(ceil(0.05::DOUBLE * n), 20)) GROUP BY model")
 def topk_fraction_floor20(spark, sf):
-    rows = ranked(spark, sf)
-    return rows.where(F.col("rank") <= K.top_size(F.col("n"), 0.05, 20)).groupBy("model").agg(F.count("*").alias("selected_n"), C.count_if(F.col("discordant")).alias("discordant_n"))
+    rows = L.within(scores(items(spark, sf)), ["model"], ["score", "id"], lambda n: {"top": K.top_size(n, 0.05, 20)})
+    return rows.where("top").groupBy("model").agg(F.count("*").alias("selected_n"), C.count_if(F.col("discordant")).alias("discordant_n"))
 
 
 BINS = RANKED + """, binned AS (
@@ -63,10 +64,14 @@ BINS = RANKED + """, binned AS (
 
 
 def _bins(spark, sf):
-    rows = ranked(spark, sf)
-    base = rows.groupBy("model").agg(S.ratio(C.count_if(F.col("discordant")), F.count("*")).alias("baseline"))
-    bins = K.rank_bins(rows, ["model"]).groupBy("model", "place", "bin").agg(F.count("*").alias("bin_n"), C.count_if(F.col("discordant")).alias("discordant_n"), F.min("rank").alias("first"), F.max("rank").alias("last"))
-    return bins.withColumn("rate", S.ratio(F.col("discordant_n"), F.col("bin_n"))).join(base, "model").withColumn("enrichment", F.try_divide("rate", "baseline"))
+    """Bins of every model in one pass over rows marked with the edges they stand before."""
+    rows = L.within(scores(items(spark, sf)), ["model"], ["score", "id"], K.bin_edges)
+    wide = rows.groupBy("model").agg(F.max("n").alias("n"), C.count_if(F.col("discordant")).alias("all"), *[C.count_if(F.col("discordant") & inside).alias(f"d{i}") for i, (_, inside) in enumerate(K.in_bins())])
+    edges = K.bin_edges(F.col("n"))
+    spans = [(F.lit(1), edges["top"]), (edges["low10"] + 1, edges["high25"]), (edges["low25"] + 1, edges["high50"]), (edges["low50"] + 1, F.col("n"))]
+    each = [F.struct(F.lit(i).alias("place"), F.lit(name).alias("bin"), (b - a + 1).cast("long").alias("bin_n"), F.col(f"d{i}").alias("discordant_n"), a.cast("long").alias("first"), b.cast("long").alias("last")) for i, ((name, _), (a, b)) in enumerate(zip(K.in_bins(), spans, strict=True))]
+    bins = wide.select("model", S.ratio(F.col("all"), F.col("n")).alias("baseline"), F.explode(F.array(*each)).alias("b")).select("model", "b.*", "baseline").where("bin_n > 0")
+    return bins.withColumn("rate", S.ratio(F.col("discordant_n"), F.col("bin_n"))).withColumn("enrichment", F.try_divide("rate", "baseline"))
 
 
 @query(BINS + " SELECT model, place, bin, count(*) AS bin_n, count(*) FILTER (WHERE disc) AS discordant_n, min(rank) AS first, max(rank) AS last, count(*) FILTER (WHERE disc) / count(*) AS rate, baseline, count(*) FILTER (WHERE disc) / count(*) / nullif(baseline, 0) AS enrichment FROM binned JOIN base USING (model) GROUP BY model, place, bin, baseline")
@@ -80,8 +85,9 @@ def top_decile_enrichment(spark, sf):
 
 
 def _classified(rows, keep):
-    """Metrics of the top fraction as prediction, under each label source."""
-    predicted = F.col("rank") <= K.top_size(F.col("n"), 0.10, 20)
+    """Metrics of the top fraction as prediction, under each label source; no order is drawn up for it."""
+    rows = L.within(rows, keep, ["score", "id"], lambda n: {"top": K.top_size(n, 0.10, 20)})
+    predicted = F.col("top")
     sums = [c.alias(f"{k}_{s}") for s, t in (("a", F.col("lab_a")), ("b", F.col("lab_b"))) for k, c in zip(("tp", "fp", "fn", "tn"), M.confusion_counts(predicted, t), strict=True)]
     wide = rows.groupBy(*keep).agg(*sums)
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), *[F.col(f"{k}_{s}").alias(k) for k in ("tp", "fp", "fn", "tn")]) for s in ("a", "b")]))
@@ -93,7 +99,7 @@ CLASSIFIED = RANKED + ", p AS (SELECT *, rank <= least(n, greatest(ceil(1e-1 * n
 
 @query(CLASSIFIED + " SELECT * FROM m")
 def classification_at_topk(spark, sf):
-    return _classified(ranked(spark, sf), ["model"])
+    return _classified(scores(items(spark, sf)), ["model"])
 
 
 _BY = LONG + ", g AS (SELECT model, score, count(*) FILTER (WHERE lab_a) AS p, count(*) AS m FROM long GROUP BY model, score)"
@@ -137,7 +143,7 @@ def _filtered(spark, sf):
     rows = li.withColumn("threshold", F.explode(far))
     models = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in MODELS])
     long = rows.select("threshold", "id", "lab_a", "lab_b", F.explode(models).alias("m")).select("threshold", "id", "lab_a", "lab_b", "m.*")
-    return _classified(K.ranked(long, ["threshold", "model"], ["score", "id"]), ["threshold", "model"])
+    return _classified(long, ["threshold", "model"])
 
 
 @query(_FILTERED_M + " SELECT * FROM m")

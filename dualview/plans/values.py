@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import ENDPOINTS
@@ -15,6 +12,7 @@ from ..operators import conditions as C
 from ..operators import gates as G
 from ..operators import relations as R
 from ..operators import resample as P
+from ..operators.settled import scratch
 from ..operators.structures import match_status
 from ..sources import files
 from .tables import LB, LI, documents, items, query, table
@@ -140,14 +138,6 @@ def gate_panel(spark, sf):
     return G.panel_gate(G.order_flips(metrics, "source", "model", "f1", "a", "b")).withColumn("max_shift", F.round("max_shift", 9))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share; on one machine a temporary one where the session names none."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="dualview-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root}/dualview-{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
 def csv_round_trip(spark, sf):
     """A CSV with header written and read by a declared schema, of which four columns are kept."""

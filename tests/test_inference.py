@@ -14,7 +14,7 @@ from dualview.plans.tables import documents, items
 
 
 def test_logistic_uses_every_row(spark, small):
-    got = {(r["model"], r["term"]): r["coefficient"] for r in QUERIES["logistic_coefs"](spark, small).collect()}
+    got = {(r["model"], r["term"]): r["coefficient"] for r in logistic.coefficients(items(spark, small), "flag", ["price", "qty", "day"], "discordant").collect()}
     rows = items(spark, small).select("flag", "price", "qty", "day", "discordant").toPandas()
     assert rows["flag"].value_counts().max() > 2000
     for flag, some in rows.groupby("flag"):
@@ -87,3 +87,31 @@ def test_permuted_hits_follow_shuffles(spark):
     brute = np.bincount([r.permutation(labels)[:10].sum() for _ in range(20_000)], minlength=11) / 20_000
     own = np.bincount(hits[hits["g"] == "a"]["hits"], minlength=11) / 2000
     assert np.abs(own - brute).max() < 0.04
+
+
+def test_shuffled_places_are_permutations():
+    keys = logistic.replicate_keys(1, 50)
+    for n in (1, 2, 3, 7, 64, 1000):
+        out = logistic.shuffled(np.arange(n), n, keys)
+        assert out.shape == (n, 50) and all(sorted(out[:, r]) == list(range(n)) for r in range(50))
+    seen = logistic.shuffled(np.arange(5), 1000, logistic.replicate_keys(2, 4000))
+    assert abs(seen.mean() - 499.5) < 10 and abs(np.corrcoef(seen[:-1].ravel(), seen[1:].ravel())[0, 1]) < 0.03
+
+
+def test_rank_permutations_equal_refits(spark):
+    r = np.random.default_rng(7)
+    rows = [(g, i, float(r.normal()), float(r.exponential()), bool(r.random() < 0.3 + 0.3 * (i > 60))) for g in "ab" for i in range(120)] + [("c", 1, 1.0, 1.0, True), ("c", 2, 2.0, 1.0, True), ("a", 999, None, 1.0, True), (None, 5, 1.0, 1.0, False)]
+    df = spark.createDataFrame(rows, "g string, i long, u double, v double, y boolean").repartition(5)
+    got = logistic.rank_permutations(df, "g", ["u", "v"], "y", ["i"], 12, 3).toPandas().set_index(["model", "rep"])["coefficient"]
+    assert len(got) == 26
+    keys = logistic.replicate_keys(3, 12)
+    for g in "ab":
+        own = [x for x in rows if x[0] == g and x[2] is not None]
+        n, y = len(own), np.array([x[4] for x in own], dtype=float)
+        places = logistic.shuffled(np.arange(n), n, keys)
+        for rep in range(-1, 12):
+            rank = (np.arange(n) if rep < 0 else places[:, rep]) + 1
+            w = logistic.fit(np.column_stack(([x[2] for x in own], [x[3] for x in own], rank / n)), y)
+            assert got[g, rep] == pytest.approx(w[2], abs=1e-8)
+    p = {x["model"]: x["p_value"] for x in logistic.permuted_p(spark.createDataFrame([("m", -1, -0.5), ("m", 0, 0.5), ("m", 1, 0.1), ("m", 2, -0.7)], "model string, rep int, coefficient double")).collect()}
+    assert p == {"m": 0.75}
