@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, named, settle, text_key
+from .common import map_slices, named, numbered, settle, sorted_ranges, text_key
 from .components import components
 
 #: Fingerprints looked at to plan the partitions. The plan changes cost, never results.
@@ -413,12 +413,23 @@ class Texts:
         return checked(pairs, self.sets(nodes), self.least, are_similar)
 
     def similar_within(self, rows: DataFrame) -> DataFrame:
-        """Similar pairs (a, b), a < b, among nodes of crowded lists (shingle, node): blocks that share a list are compared whole."""
-        nodes = rows.select("node").distinct()
-        sets = self.sets(nodes)
-        at = settle(rows.join(sets.select("node", "block"), "node").select("shingle", "block").distinct(), "blocks")
-        blocks = at.join(at.select("shingle", F.col("block").alias("other")), "shingle").where("block <= other").select("block", "other").distinct()
+        """Similar pairs (a, b), a < b, among nodes of crowded lists (shingle, node), met in blocks that share a list.
+
+        Blocks are full runs of ``SETS`` nodes in order of list and size, so that of a list only blocks whose sizes leave room for
+        similarity meet: a long list takes its rows times those of a band of sizes, not its square.
+        """
+        nodes = rows.groupBy("node").agg(F.min("shingle").alias("least"))
+        sets = self.sets(nodes.select("node")).select("node", "set", F.size("set").alias("size"))
+        placed = sorted_ranges(settle(sets.select("node", "size").join(nodes, "node"), "crowded"), ["least", "size", "node"], 1 << 16, "placed")
+        blocked = numbered(placed.withColumn("all", F.lit("")), "all").select("node", "size", F.shiftright("pos", SETS.bit_length() - 1).alias("block"))
+        blocked = settle(blocked, "crowded")
+        spans = blocked.groupBy("block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+        at = settle(rows.join(blocked, "node").select("shingle", "block").distinct().join(spans, "block"), "blocks")
+        other = at.select("shingle", F.col("block").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+        near = (F.col("high") >= F.col("other_low") * F.lit(self.least) - F.lit(1e-9)) & (F.col("other_high") >= F.col("low") * F.lit(self.least) - F.lit(1e-9))
+        blocks = at.join(other, "shingle").where((F.col("block") <= F.col("other")) & near).select("block", "other").distinct()
         sides = [blocks.select(F.col("block").alias("to_a"), F.col("other").alias("to_b"), F.col(c).alias("block")) for c in ("block", "other")]
+        sets = settle(sets.join(blocked.select("node", "block"), "node").select("node", "block", "set"), "sets")
         least = self.least
 
         def run(found: pa.Table) -> pa.Table:
