@@ -8,12 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ranking import RANGE, estimated_bytes
+from .selection import quantiles
 
 
 def count_if(c: Column) -> Column:
     return F.count_if(F.coalesce(c, F.lit(False)))
 
 
+def by_name(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """Each row once for every condition it satisfies, with the condition's name."""
+    names = F.filter(F.array(*[F.when(c, name) for name, c in conditions.items()]), lambda x: x.isNotNull())
+    return df.withColumn("condition", F.explode(names))
+
+
 def by_condition(df: DataFrame, conditions: dict[str, Column], aggregates: Sequence[Column], counts: Sequence[str] = ()) -> DataFrame:
     """One row for each condition, in their order, over the rows that satisfy it.
 
@@ -21,8 +29,7 @@ def by_condition(df: DataFrame, conditions: dict[str, Column], aggregates: Seque
     and grouped, so the table is read once and pre-aggregated before the shuffle. Conditions
     without rows stay, with 0 in the columns ``counts``.
     """
-    names = F.filter(F.array(*[F.when(c, name) for name, c in conditions.items()]), lambda x: x.isNotNull())
-    found = df.withColumn("condition", F.explode(names)).groupBy("condition").agg(*aggregates)
+    found = by_name(df, conditions).groupBy("condition").agg(*aggregates)
     dim = df.sparkSession.createDataFrame([(i, n) for i, n in enumerate(conditions)], "place int, condition string")
     out = dim.join(found, "condition", "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts}) if counts else out
@@ -39,8 +46,15 @@ def with_rates(df: DataFrame) -> DataFrame:
 
 
 def selection_atlas(pairs: DataFrame, conditions: dict[str, Column]) -> DataFrame:
-    """n, rates, directions, balance and median gap under each condition."""
-    out = by_condition(pairs, conditions, [*summary(), F.percentile("gap", F.lit(0.5)).alias("median_gap")], ("n", "discordant_n", "a_only_n", "b_only_n"))
+    """n, rates, directions, balance and median gap under each condition.
+
+    Medians of a small table are part of the one pass; those of a larger one are looked up by rank (``selection.quantiles``).
+    """
+    small = estimated_bytes(pairs) <= RANGE
+    median = [F.percentile("gap", F.lit(0.5)).alias("median_gap")] if small else []
+    out = by_condition(pairs, conditions, [*summary(), *median], ("n", "discordant_n", "a_only_n", "b_only_n"))
+    if not small:
+        out = out.join(quantiles(by_name(pairs, conditions), ["condition"], "gap", {"median_gap": 0.5}, True), "condition", "left")
     return with_rates(out)
 
 

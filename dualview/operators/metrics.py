@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from .conditions import count_if
 from .ranking import running_sums
+from .selection import quantiles
 
 
 def confusion_counts(predicted: Column, truth: Column) -> list[Column]:
@@ -70,6 +71,5 @@ def average_precision(df: DataFrame, group: Sequence[str], score: str, truth: Co
 
 def at_median(df: DataFrame, group: Sequence[str], score: str, truth: Column) -> DataFrame:
     """Metrics of ``score >= median`` in each group."""
-    medians = df.groupBy(*group).agg(F.percentile(score, F.lit(0.5)).alias("median"))
-    joined = df.join(medians, list(group))
+    joined = df.join(quantiles(df, group, score, {"median": 0.5}), list(group))
     return with_metrics(joined.groupBy(*group, "median").agg(*confusion_counts(F.col(score) >= F.col("median"), truth)))

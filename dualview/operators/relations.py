@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .settled import settle
 
 
 def status_counts(df: DataFrame, key: str) -> DataFrame:
@@ -58,21 +59,60 @@ def subsets_of(tokens: Column, most: int = 7) -> Column:
     return F.when((F.size(tokens) > 0) & (F.size(tokens) <= most), F.transform(F.sequence(F.lit(1), (F.pow(F.lit(2), F.size(tokens)) - 1).cast("int")), one))
 
 
+#: Token sets that may share the beginning of their order before it is split by a further token, and tokens of such a beginning at most.
+CROWDED, DEEPEST = 64, 6
+
+
 def contained_in(items: DataFrame, item_tokens: str, targets: DataFrame, target_tokens: str, most: int = 7) -> DataFrame:
-    """Join items whose tokens are a subset of a target's.
+    """Join items whose tokens are a subset of a target's; items without tokens join nothing, nulls neither.
 
     The test becomes an equality: each target lists the subsets of its tokens (at most
-    2^most - 1), and items join on their own sorted tokens. Targets of more tokens join
-    through one of their tokens instead, and are tested.
+    2^most - 1), and items join on their own sorted tokens. Targets of more tokens are led through the
+    items' token sets in order of rarity instead (``_descend``), and what is met is tested.
     """
     item_key = items.withColumn("_key", F.concat_ws("-", F.array_sort(F.array_distinct(item_tokens)))).where(F.size(item_tokens) > 0)
     target = targets.withColumn("_t", F.array_sort(F.array_distinct(target_tokens)))
     small = target.where(F.size("_t") <= most).withColumn("_key", F.explode(subsets_of(F.col("_t"), most)))
-    out = small.join(item_key, "_key").drop("_key", "_t")
-    large = target.where(F.size("_t") > most).withColumn("_first", F.explode("_t"))
-    firsts = item_key.withColumn("_first", F.array_min(item_tokens))
-    more = large.join(firsts, "_first").where(F.size(F.array_except(F.col(item_tokens), F.col("_t"))) == 0)
-    return out.unionByName(more.drop("_key", "_t", "_first"))
+    large = target.where(F.size("_t") > most).withColumn("_tkey", F.to_json("_t"))
+    near = small.join(item_key, "_key").drop("_key", "_t")
+    if large.isEmpty():
+        return near
+    sets = item_key.select("_key", F.array_sort(F.array_distinct(item_tokens)).alias("_set")).distinct()
+    met = _descend(sets, large.select("_tkey", "_t").distinct())
+    return near.unionByName(large.join(met, "_tkey").join(item_key, "_key").drop("_key", "_t", "_tkey"))
+
+
+def _by_rarity(sets: DataFrame, key: str, tokens: str, counts: DataFrame, every: bool) -> DataFrame:
+    """(key, _order): tokens from the rarest among targets on; a set with a token that no target has is left out if ``every`` counts."""
+    known = sets.select(key, F.size(tokens).alias("_size"), F.explode(tokens).alias("_token")).join(counts, "_token")
+    out = known.groupBy(key, "_size").agg(F.array_sort(F.collect_list(F.struct("_n", "_token"))).alias("_o"))
+    return (out.where(F.size("_o") == F.col("_size")) if every else out).select(key, F.transform("_o", lambda x: x["_token"]).alias("_order"))
+
+
+def _descend(sets: DataFrame, targets: DataFrame) -> DataFrame:
+    """(_tkey, _key) of sets contained in targets.
+
+    A set is listed under its rarest token, so a list is met by few targets. A list of more than ``CROWDED`` sets is split by
+    their next rarest token, again and again, and a target follows only beginnings it has all tokens of. Lists are bounded by
+    that, but for sets that share ``DEEPEST`` tokens, which are still met by targets with all of those only.
+    """
+    counts = targets.select(F.explode("_t").alias("_token")).groupBy("_token").agg(F.count("*").alias("_n"))
+    left = settle(_by_rarity(sets, "_key", "_set", counts, True), "sets")
+    live = settle(_by_rarity(targets, "_tkey", "_t", counts, False).select("_tkey", F.col("_order").alias("_all"), F.posexplode("_order").alias("_i", "_token")).select("_tkey", "_all", "_i", F.to_json(F.array("_token")).alias("_begin")), "live")
+    out = None
+    for depth in range(1, DEEPEST + 1):
+        begun = left.withColumn("_begin", F.to_json(F.slice("_order", 1, depth)))
+        sizes = begun.groupBy("_begin").agg(F.count("*").alias("_sets"))
+        split = begun.join(sizes, "_begin").withColumn("_on", (F.col("_sets") > CROWDED) & (F.size("_order") > depth) & F.lit(depth < DEEPEST))
+        met = live.join(split.where("not _on").select("_begin", "_key", "_order"), "_begin").where(F.size(F.array_except("_order", "_all")) == 0).select("_tkey", "_key")
+        out = met if out is None else out.unionByName(met)
+        left = settle(split.where("_on").select("_key", "_order"), "sets")
+        if left.isEmpty():
+            break
+        crowded = left.select(F.to_json(F.slice("_order", 1, depth)).alias("_begin")).distinct()
+        further = live.join(crowded, "_begin").select("_tkey", "_all", "_begin", F.posexplode("_all").alias("_j", "_next"), "_i").where(F.col("_j") > F.col("_i"))
+        live = settle(further.select("_tkey", "_all", F.col("_j").alias("_i"), F.to_json(F.concat(F.from_json("_begin", "array<string>"), F.array("_next"))).alias("_begin")), "live")
+    return out
 
 
 def first_candidate(left: DataFrame, right: DataFrame, keys: Sequence[str], id: str, tested: Sequence[str], fits: Callable[[], Column], order: Sequence[Column | str], none: str = "no_match") -> DataFrame:

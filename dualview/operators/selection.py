@@ -137,14 +137,54 @@ def _narrow(s: dict, seen: dict, found: dict, k: tuple[int, int]) -> None:
         s |= {"rows": max(1, int(part)), "all": part <= GATHER / 2}
 
 
-def within(df: DataFrame, group: Sequence[str], order: Sequence[str], ranks: Callable[[Column], dict[str, Column]]) -> DataFrame:
-    """Add ``n`` of the group and, for each named rank, whether the row stands at it or before; ranks beyond the group take all of it."""
+def within(df: DataFrame, group: Sequence[str], order: Sequence[str], ranks: Callable[[Column], dict[str, Column]], search: bool | None = None) -> DataFrame:
+    """Add ``n`` of the group and, for each named rank, whether the row stands at it or before; ranks beyond the group take all of it.
+
+    A small table is ranked by one window; a larger one (or with ``search``) is compared with ``rank_keys`` and not sorted.
+    """
+    from .ranking import RANGE, estimated_bytes, ranked
+
     capped = lambda n: {name: F.least(c.cast("long"), n.cast("long")) for name, c in ranks(n).items()}
     names = list(ranks(F.lit(1)))
-    keys = rank_keys(df, group, order, capped).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "n", *[F.col(name).alias(f"_k{i}") for i, name in enumerate(names)])
+    if not (estimated_bytes(df) > RANGE if search is None else search):
+        rows = ranked(df, group, order, 1)
+        return rows.select(*df.columns, "n", *[(F.col("rank") <= c).alias(name) for name, c in capped(F.col("n")).items()])
+    keys = rank_keys(df, group, order, capped).select(*[F.col(g).alias(f"__group_{i}") for i, g in enumerate(group)], "n", *[F.col(name).alias(f"__key_{i}") for i, name in enumerate(names)])
     same = F.lit(True)
     for i, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+        same = same & F.col(g).eqNullSafe(F.col(f"__group_{i}"))
     joined = df.join(keys, same) if group else df.crossJoin(keys)
-    flags = [F.coalesce(F.struct(*order) <= F.col(f"_k{i}"), F.lit(False)).alias(name) for i, name in enumerate(names)]
+    flags = []
+    for i, name in enumerate(names):
+        less, equal = _compare(order, F.col(f"__key_{i}"))
+        flags.append((F.col(f"__key_{i}").isNotNull() & (less | equal)).alias(name))
     return joined.select(*df.columns, "n", *flags)
+
+
+def quantiles(df: DataFrame, group: Sequence[str], value: str, levels: dict[str, float], search: bool | None = None) -> DataFrame:
+    """(group, a column for each named level): exact quantiles of ``value`` by group, interpolated linearly; nulls don't count.
+
+    A small table takes Spark's percentile, which holds the different values of a group; a larger one (or with ``search``) takes
+    the two ranks beside each quantile from ``rank_keys``, in memory that doesn't depend on how many values there are.
+    Groups without values are left out.
+    """
+    from .ranking import RANGE, estimated_bytes
+
+    rows = df.select(*group, F.col(value).cast("double").alias("__value")).where(F.col("__value").isNotNull())
+    names = list(levels)
+    if not (estimated_bytes(rows) > RANGE if search is None else search):
+        found = rows.groupBy(*group).agg(F.percentile("__value", F.array(*[F.lit(float(q)) for q in levels.values()])).alias("__q"))
+        return found.where("__q is not null").select(*group, *[F.col("__q")[i].alias(name) for i, name in enumerate(names)])
+
+    def ranks(n: Column) -> dict[str, Column]:
+        spot = {name: F.lit(float(q)) * (n - 1) for name, q in levels.items()}
+        return {f"{side}{i}": (f(spot[name]) + 1).cast("long") for i, name in enumerate(names) for side, f in (("__low", F.floor), ("__high", F.ceil))}
+
+    keys = rank_keys(rows, group, ["__value"], ranks)
+    out = []
+    for i, name in enumerate(names):
+        low, high = F.col(f"__low{i}")["__value"], F.col(f"__high{i}")["__value"]
+        spot = F.lit(float(levels[name])) * (F.col("n") - 1)
+        share = spot - F.floor(spot)
+        out.append(F.when(low == high, low).otherwise((1 - share) * low + share * high).alias(name))
+    return keys.select(*group, *out)

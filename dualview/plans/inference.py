@@ -11,7 +11,6 @@ from ..operators import conditions as C
 from ..operators import gates as G
 from ..operators import hull, logistic
 from ..operators import ranking as K
-from ..operators import relations as R
 from ..operators import release as E
 from ..operators import resample as P
 from ..operators import selection as L
@@ -260,29 +259,47 @@ def logistic_permutation(spark, sf):
     return logistic.permuted_p(found)
 
 
-#: A binary system for the hull query: formula and energy per atom of the phases.
-PHASES = [("Ti", 0.0), ("O", 0.0), ("TiO", -2.0), ("TiO2", -3.2), ("Ti2O3", -2.9), ("Ti3O", -0.9)]
+#: Elements of the formulas that the queries below make out of parts: one of each list, by the part's key.
+SITES = (("Ti", "Ca", "Er", "Nb", "Hf"), ("P", "Si", "Ge", "Co"), ("O", "S", "Te"))
 
+_FORMULAS = f"""parts AS (SELECT *, p_partkey % 50 AS odd, {list(SITES[0])}[p_partkey % 5 + 1] AS ea, {list(SITES[1])}[p_partkey % 4 + 1] AS eb, {list(SITES[2])}[p_partkey % 3 + 1] AS ec, p_size % 6 + 1 AS a, p_partkey % 4 + 1 AS b, p_partkey % 3 + 1 AS c FROM part),
+formulas AS (SELECT *, CASE odd WHEN 0 THEN NULL WHEN 1 THEN 'not a formula' ELSE ea || a || '(' || eb || ec || b || ')' || c END AS formula, [{{'e': ea, 'n': a}}, {{'e': eb, 'n': c}}, {{'e': ec, 'n': b * c}}] AS amounts, gcd(gcd(a, c), b * c) AS g FROM parts)"""
+_WRITTEN = "CASE WHEN x.n // g = 1 THEN '' ELSE CAST(x.n // g AS VARCHAR) END"
 
-@query("SELECT target_id, e_above_hull, 'ok' AS reason, e_above_hull = 0 AS on_hull FROM (VALUES ('Ti', 0.0::DOUBLE), ('O', 0.0), ('Ti2O3', 0.0), ('TiO2', 0.0), ('Ti3O', round(-0.9 + 2.9 * 0.25 / 0.6, 9)), ('TiO', round(-2.0 + 2.9 * 0.5 / 0.6, 9))) t(target_id, e_above_hull)")
-def hull_energy(spark, sf):
-    """Energy above the hull of every phase of a small system."""
-    def frame(id):
-        rows = spark.createDataFrame(PHASES, f"{id} string, energy double")
-        return rows.select(id, "energy", chemistry.composition(id).alias("amounts"), scalars.element_tokens(F.col(id)).alias(f"{id}_elements"))
 
-    targets = frame("target_id")
-    rivals = R.contained_in(frame("phase"), "phase_elements", targets.select("target_id", "target_id_elements"), "target_id_elements")
-    found = hull.above_hull(targets.select("target_id", "amounts", "energy"), rivals.select(F.col("target_id").alias("of"), "amounts", "energy").withColumnRenamed("of", "target_id"))
-    return found.withColumn("on_hull", hull.on_hull(F.col("e_above_hull"))).withColumn("e_above_hull", F.round("e_above_hull", 9))
+def formulas(spark, sf):
+    """Parts with a formula of three elements, one of them counted by its bracket; some have none, some a text that isn't one."""
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % len(names) + 1).cast("int"))
+    count = lambda c, n: (F.col(c) % n + 1).cast("string")
+    whole = F.concat(pick(SITES[0]), count("p_size", 6), F.lit("("), pick(SITES[1]), pick(SITES[2]), count("p_partkey", 4), F.lit(")"), count("p_partkey", 3))
+    odd = F.col("p_partkey") % 50
+    return table(spark, sf, "part").withColumn("formula", F.when(odd == 1, "not a formula").when(odd != 0, whole))
 
 
-FORMULAS = ["Er(CuGe)2", "Nb4CoSi", "Ca3(PO4)2", "Hf4S2", "BaTe", "not a formula", None]
+@query("WITH " + _FORMULAS + f""" SELECT p_partkey, formula,
+  CASE WHEN odd > 1 THEN array_to_string(list_transform(list_sort(amounts), lambda x: x.e || {_WRITTEN}), '') ELSE formula END AS reduced,
+  CASE WHEN odd > 1 THEN (SELECT string_agg(chr(CAST(64 + i AS INTEGER)) || CASE WHEN n = 1 THEN '' ELSE CAST(n AS VARCHAR) END, '' ORDER BY i) FROM (SELECT unnest(list_sort(list_transform(amounts, lambda x: x.n // g))) AS n, unnest(range(1, 4)) AS i)) END AS anonymous,
+  CASE WHEN odd > 1 THEN array_to_string(list_sort(list_transform(amounts, lambda x: x.e)), '-') WHEN odd = 1 THEN '' ELSE '' END AS elements FROM formulas""")
+def formula_parse(spark, sf):
+    """Reduced and anonymous formulas and element sets of formulas made out of parts."""
+    f = formulas(spark, sf)
+    return f.select("p_partkey", "formula", chemistry.reduced_formula("formula").alias("reduced"), chemistry.anonymous_formula("formula").alias("anonymous"), F.concat_ws("-", scalars.element_tokens(F.col("formula"))).alias("elements"))
 
 
-@query("SELECT * FROM (VALUES ('Er(CuGe)2', 'Cu2ErGe2', 'AB2C2', 'Cu-Er-Ge', 'transition_metal,lanthanide_actinide'), ('Nb4CoSi', 'CoNb4Si', 'ABC4', 'Co-Nb-Si', 'transition_metal'), ('Ca3(PO4)2', 'Ca3O8P2', 'A2B3C8', 'Ca-O-P', 'alkaline_earth,chalcogen,pnictogen'), ('Hf4S2', 'Hf2S', 'AB2', 'Hf-S', 'transition_metal,chalcogen'), ('BaTe', 'BaTe', 'AB', 'Ba-Te', 'alkaline_earth,chalcogen'), ('not a formula', 'not a formula', NULL, '', 'other'), (NULL, NULL, NULL, '', 'other')) t(formula, reduced, anonymous, system, families)")
-def formula_parse(spark, sf):
-    """Reduced and anonymous formulas, elements, families and system keys."""
-    rows = spark.createDataFrame([(f,) for f in FORMULAS], "formula string")
-    tokens = scalars.element_tokens(F.col("formula"))
-    return rows.select("formula", chemistry.reduced_formula("formula").alias("reduced"), chemistry.anonymous_formula("formula").alias("anonymous"), scalars.system_key(tokens).alias("system"), F.concat_ws(",", scalars.tags(tokens, chemistry.FAMILIES)).alias("families"))
+_PHASES = """phases AS (SELECT p_partkey, p_brand, p_size % 7 AS a, p_partkey % 5 AS b, p_retailprice / 1000 AS energy FROM part),
+known AS (SELECT *, CASE WHEN a + b > 0 THEN CAST(a AS DOUBLE) / (a + b) END AS x FROM phases), ends AS (SELECT p_brand, count(*) FILTER (WHERE x = 0) > 0 AS has_b, count(*) FILTER (WHERE x = 1) > 0 AS has_a FROM known GROUP BY p_brand),
+least AS (SELECT p_brand, x, min(energy) AS e FROM known WHERE x IS NOT NULL GROUP BY ALL),
+low AS (SELECT t.p_brand, t.x, min(CASE WHEN r.x = l.x THEN l.e ELSE l.e + (r.e - l.e) * (t.x - l.x) / (r.x - l.x) END) AS e FROM least t JOIN least l ON l.p_brand = t.p_brand AND l.x <= t.x JOIN least r ON r.p_brand = t.p_brand AND r.x >= t.x GROUP BY ALL)"""
+
+
+@query("WITH " + _PHASES + """ SELECT p_partkey, p_brand, CASE WHEN x IS NULL THEN 'no_composition' WHEN (x > 0 AND NOT has_a) OR (x < 1 AND NOT has_b) THEN 'missing_end_member' ELSE 'ok' END AS reason,
+  CASE WHEN (x > 0 AND NOT has_a) OR (x < 1 AND NOT has_b) OR low.e IS NULL THEN NULL ELSE round(greatest(0, energy - low.e), 9) END AS e_above_hull,
+  CASE WHEN (x > 0 AND NOT has_a) OR (x < 1 AND NOT has_b) THEN NULL ELSE energy - low.e <= 1e-8::DOUBLE END AS on_hull
+FROM known JOIN ends USING (p_brand) LEFT JOIN low USING (p_brand, x)""")
+def hull_energy(spark, sf):
+    """Energy of every part above the hull of its brand, as phases of two elements in amounts taken from its size and key."""
+    a, b = (F.col("p_size") % 7).cast("double"), (F.col("p_partkey") % 5).cast("double")
+    there = F.filter(F.array(F.struct(F.lit("Ti").alias("key"), a.alias("value")), F.struct(F.lit("O").alias("key"), b.alias("value"))), lambda x: x["value"] > 0)
+    phases = table(spark, sf, "part").select("p_partkey", "p_brand", F.map_from_entries(there).alias("amounts"), (F.col("p_retailprice") / 1000).alias("energy"))
+    found = hull.system_hulls(phases, phases, "p_brand", "amounts", "energy")
+    return found.select("p_partkey", "p_brand", "reason", F.round("e_above_hull", 9).alias("e_above_hull"), hull.on_hull(F.col("e_above_hull")).alias("on_hull"))

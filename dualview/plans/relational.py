@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import conditions as C
 from ..operators import relations as R
+from ..operators import selection as L
 from ..operators.pairs import head_n, keep_first
 from .tables import LB, LI, documents, items, query, table
 
@@ -123,12 +124,12 @@ def first_candidate_match(spark, sf):
     return joined.select("partkey", "candidate", "status")
 
 
-@query("""WITH t AS (SELECT p_partkey, list_sort(list_distinct(string_split(concat_ws(' ', p_name, lower(p_type)), ' '))) AS w FROM part WHERE p_size <= 5),
+@query("""WITH t AS (SELECT p_partkey, list_sort(list_distinct(string_split(concat_ws(' ', p_name, lower(p_type)), ' '))) AS w FROM part),
 f AS (SELECT array_to_string(w, '-') AS formula, any_value(w) AS fw, min(p_retailprice) AS low FROM (SELECT list_sort(list_distinct(string_split(p_name, ' '))) AS w, p_retailprice FROM part) GROUP BY 1)
 SELECT p_partkey, formula, low FROM t JOIN f ON list_has_all(w, fw)""")
 def containment_theta_join(spark, sf):
     p = table(spark, sf, "part")
-    targets = p.where("p_size <= 5").select("p_partkey", S.word_tokens(F.concat_ws(" ", "p_name", F.lower("p_type"))).alias("w"))
+    targets = p.select("p_partkey", S.word_tokens(F.concat_ws(" ", "p_name", F.lower("p_type"))).alias("w"))
     formulas = p.select(S.word_tokens(F.col("p_name")).alias("fw"), "p_retailprice").groupBy("fw").agg(F.min("p_retailprice").alias("low")).withColumn("formula", S.system_key(F.col("fw")))
     return R.contained_in(formulas, "fw", targets, "w").select("p_partkey", "formula", "low")
 
@@ -153,8 +154,9 @@ def element_reference_sum(spark, sf):
 
 @query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.025), 6) AS low, round(quantile_cont(o_totalprice, 0.5), 6) AS middle, round(quantile_cont(o_totalprice, 0.975), 6) AS high FROM orders GROUP BY o_orderpriority")
 def quantiles_interpolated(spark, sf):
-    q = F.percentile("o_totalprice", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(q.alias("q")).select("o_orderpriority", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("low", "middle", "high"))])
+    levels = {"low": 0.025, "middle": 0.5, "high": 0.975}
+    found = L.quantiles(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice", levels, search=True)
+    return found.select("o_orderpriority", *[F.round(n, 6).alias(n) for n in levels])
 
 
 @query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n, max(value) AS high FROM events GROUP BY 1, 2")

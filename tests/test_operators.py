@@ -250,3 +250,22 @@ def test_scoring_has_a_status_for_each_row(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", -1.0), ("c", 1e7)], "id string, x double").coalesce(1)
     got = {r["id"]: (r["score"], r["status"]) for r in score(df, "id", ["x"], load, "m").collect()}
     assert got == {"a": (2.0, "scored"), "b": (None, "failed_ValueError"), "c": (None, "failed_nonfinite_or_nonphysical")}
+
+
+def test_one_hull_serves_many_compositions():
+    import random
+
+    r = random.Random(6)
+    phases = [({e: 1}, r.random()) for e in "ABC"] + [({e: r.randint(1, 5) for e in r.sample("ABC", r.randint(2, 3))}, r.uniform(-2, 0)) for _ in range(40)]
+    own = hull.Hull("ABC", phases)
+    for _ in range(60):
+        target = {e: r.randint(1, 6) for e in "ABC"}
+        assert own.energy(target) == pytest.approx(hull.lowest_energy(target, phases), abs=1e-9)
+    assert 0 < len(own.known) < 40 and own.energy({"Z": 1}) is None and hull.Hull("AB", []).energy({"A": 1}) is None
+
+
+def test_system_hulls(spark):
+    rows = [("s", "1", {"A": 1.0}, 0.0), ("s", "2", {"B": 2.0}, 0.0), ("s", "3", {"A": 1.0, "B": 1.0}, -1.0), ("s", "4", {"A": 2.0, "B": 2.0}, -0.4), ("s", "5", {"A": 3.0, "B": 1.0}, -0.2), ("s", "6", None, 1.0), ("s", "7", {}, 1.0), ("s", "8", {"A": 1.0}, None), ("t", "9", {"A": 1.0, "B": 1.0}, 0.0), (None, "0", {"A": 1.0}, 0.5)]
+    df = spark.createDataFrame(rows, "s string, id string, m map<string,double>, e double")
+    got = {r["id"]: (None if r["e_above_hull"] is None else round(r["e_above_hull"], 9), r["reason"]) for r in hull.system_hulls(df, df, "s", "m", "e").collect()}
+    assert got == {"1": (0, "ok"), "2": (0, "ok"), "3": (0, "ok"), "4": (0.6, "ok"), "5": (0.3, "ok"), "6": (None, "no_composition"), "7": (None, "no_composition"), "8": (None, "no_composition"), "9": (None, "missing_end_member"), "0": (0, "ok")}

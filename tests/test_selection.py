@@ -48,18 +48,44 @@ def test_rank_keys(spark, monkeypatch, sample, gather, groups):
             assert got == at(data, g, rank), (g, name)
 
 
-def test_within_equals_ranks(spark, monkeypatch):
+@pytest.mark.parametrize("search", [True, False])
+def test_within_equals_ranks(spark, monkeypatch, search):
     monkeypatch.setattr(selection, "SAMPLE", 24)
     monkeypatch.setattr(selection, "GATHER", 48)
     data = [x for x in rows() if x[0] != "b"]
     df = spark.createDataFrame(data, "g string, v double, id string").repartition(3)
     top = lambda n: {"top": ranking.top_size(n, 0.1, 20), "all": n + 5}
-    got = {(r["g"], r["id"]): (r["n"], r["top"], r["all"]) for r in selection.within(df, ["g"], ["v", "id"], top).collect() if r["g"] == "a"}
+    got = {(r["g"], r["id"]): (r["n"], r["top"], r["all"]) for r in selection.within(df, ["g"], ["v", "id"], top, search).collect() if r["g"] == "a"}
     own = sorted((x for x in data if x[0] == "a"), key=order)
     assert got == {("a", x[2]): (900, i < 90, True) for i, x in enumerate(own)}
-    free = selection.within(df.where("g = 'a'"), [], ["v", "id"], top)
+    free = selection.within(df.where("g = 'a'"), [], ["v", "id"], top, search)
     assert free.where("top").count() == 90 and free.where("n = 900 and all").count() == 900
-    assert selection.within(df.limit(0), ["g"], ["v", "id"], top).count() == 0
+    assert selection.within(df.limit(0), ["g"], ["v", "id"], top, search).count() == 0
+
+
+def test_quantiles_by_rank_equal_percentiles(spark, monkeypatch):
+    monkeypatch.setattr(selection, "SAMPLE", 24)
+    monkeypatch.setattr(selection, "GATHER", 48)
+    r = random.Random(3)
+    data = [(g, r.choice([None, 5.0, r.gauss(0, 1)])) for g in ("a", "b", "c") for _ in range(r.randint(300, 900))] + [("one", 2.5), ("two", 1.0), ("two", 2.0), ("nil", None)] + [("hot", 1.0)] * 500
+    df = spark.createDataFrame(data, "g string, v double").repartition(4)
+    levels = {"low": 0.025, "middle": 0.5, "high": 0.975, "least": 0.0, "most": 1.0}
+    got, want = ({x["g"]: x for x in selection.quantiles(df, ["g"], "v", levels, way).collect()} for way in (True, False))
+    assert set(got) == set(want) == {"a", "b", "c", "one", "two", "hot"}
+    for g in want:
+        assert [got[g][k] for k in levels] == pytest.approx([want[g][k] for k in levels], abs=1e-12), g
+
+
+def test_atlas_of_a_large_table_equals_that_of_a_small_one(spark, small, monkeypatch):
+    from dualview.operators import conditions
+    from dualview.plans.tables import items
+
+    pairs = items(spark, small)
+    cases = {"all": F.lit(True), "near": F.col("gap") <= 0.02, "none": F.lit(False), "one": F.col("discordant")}
+    want = conditions.selection_atlas(pairs, cases).orderBy("place").collect()
+    monkeypatch.setattr(conditions, "RANGE", 0)
+    got = conditions.selection_atlas(pairs, cases).orderBy("place").collect()
+    assert [x.asDict() for x in got] == [x.asDict() for x in want]
 
 
 @pytest.mark.parametrize("ranges", [1, 2, 9, 40])
@@ -87,3 +113,19 @@ def test_ranges_follow_rows_not_the_plan_of_a_join(spark):
     a = spark.range(300).withColumn("s", F.repeat(F.lit("x"), 50)).repartition(2)
     joined = a.join(a.withColumnRenamed("s", "t"), "id").join(a.withColumnRenamed("s", "u"), "id")
     assert ranking.estimated_bytes(joined) < ranking.RANGE
+
+
+@pytest.mark.parametrize("crowded,deepest", [(64, 6), (2, 6), (1, 2)])
+def test_long_token_sets_are_contained_by_rarity(spark, monkeypatch, crowded, deepest):
+    from dualview.operators import relations
+
+    monkeypatch.setattr(relations, "CROWDED", crowded)
+    monkeypatch.setattr(relations, "DEEPEST", deepest)
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(40)] + ["a-b", 'q"', "é", ""]
+    pick = lambda n: [words[min(len(words) - 1, int(r.expovariate(0.12)))] for _ in range(n)]
+    items = [(i, pick(r.randint(0, 6))) for i in range(250)] + [(900, None), (901, ["nowhere"]), (902, ["w0"]), (903, ["w0", "w0"])]
+    targets = [(i, pick(r.randint(0, 25))) for i in range(120)] + [(500, None), (501, [f"w{i}" for i in range(40)]), (502, [f"w{i}" for i in range(40)])]
+    got = sorted((x["t"], x["i"]) for x in relations.contained_in(spark.createDataFrame(items, "i long, s array<string>"), "s", spark.createDataFrame(targets, "t long, w array<string>"), "w").collect())
+    want = sorted((t, i) for t, w in targets if w is not None for i, s in items if s and set(s) <= set(w))
+    assert len(want) > 500 and got == want
