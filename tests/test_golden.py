@@ -113,7 +113,9 @@ def test_selection_summary(pairs):
 
 
 def test_release_grid(spark, pairs):
-    """A few cells of the published grid, with its driver-side block split and its order of tied scores."""
+    """All 100 cells of the published grid, with its order of tied scores."""
+    import random
+
     import numpy as np
 
     rows = pairs.select("*", scalars.family_pair(F.col("tokens")).alias("block"), (-F.col("dist_a")).alias("score"))
@@ -122,12 +124,17 @@ def test_release_grid(spark, pairs):
     ours = E.observed_mask(rows, F.col("lab_a"), "score", "id", 0.10).where("observed")
     assert ours.count() == len(chosen) and ours.where("lab_a").count() == len(chosen)
     rows = rows.withColumn("observed", F.col("id").isin(*chosen)).cache()
-    blocks = [r[0] for r in rows.select("block").distinct().collect()]
-    want = {(int(w["K"]), int(w["seed"])): w for w in golden("alpha", "rho", "seed", "best_mass_ratio")}
-    for budget, seed in ((50, 0), (124, 3), (287, 19)):
-        cal, _ = E.block_halves(blocks, seed)
-        split = rows.withColumn("is_cal", F.col("block").isin(*cal))
-        maxima = split.where("is_cal and not observed").groupBy("block").agg(F.max("score").alias("block_max"))
-        r = E.release(E.e_values(split.where("not is_cal"), maxima, "score"), "score", "id", budget, 0.10).first()
-        assert r["released"] == int(want[budget, seed]["released"])
-        assert math.isclose(r["best_mass_ratio"], float(want[budget, seed]["best_mass_ratio"]), abs_tol=1e-12)
+    tests = {b: [] for b in sorted(r[0] for r in rows.select("block").distinct().collect())}
+    for seed in range(20):  # fixed: the published split
+        order = sorted(tests)
+        random.Random(seed).shuffle(order)
+        for b in order[len(order) // 2 :]:
+            tests[b].append(seed)
+    split = F.create_map(*[x for b, seeds in tests.items() for x in (F.lit(b), F.array(*[F.lit(s) for s in seeds]).cast("array<int>"))])
+    want = {(int(w["seed"]), int(w["K"])): w for w in golden("alpha", "rho", "seed", "best_mass_ratio")}
+    got = E.release_grid(rows, "block", lambda block: split[F.col(block)], "score", "id", (50, 100, 124, 200, 287), 0.10).collect()
+    assert {(r["seed"], r["budget"]) for r in got} == set(want) and len(want) == 100
+    for r in got:
+        w = want[r["seed"], r["budget"]]
+        assert r["released"] == int(w["released"])
+        assert math.isclose(r["best_mass_ratio"], float(w["best_mass_ratio"]), abs_tol=1e-12)
