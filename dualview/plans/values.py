@@ -10,6 +10,7 @@ from ..functions import chemistry
 from ..functions import scalars as S
 from ..operators import conditions as C
 from ..operators import gates as G
+from ..operators import kendall
 from ..operators import relations as R
 from ..operators import resample as P
 from ..operators.settled import scratch
@@ -105,6 +106,16 @@ def rank_correlations(spark, sf):
     return R.rank_correlation(items(spark, sf), ["flag"], "price", "qty").withColumn("rho", F.round("rho", 9))
 
 
+@query("""WITH o AS (SELECT o_orderpriority AS k, o_totalprice AS a, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS b FROM orders),
+p AS (SELECT x.k, CAST(sum(sign(x.a - y.a) * sign(x.b - y.b)) AS DOUBLE) / 2 AS top FROM o x JOIN o y ON x.k = y.k GROUP BY x.k), n AS (SELECT k, count(*) AS n, count(*) * (count(*) - 1) / 2 AS every FROM o GROUP BY k),
+ta AS (SELECT k, sum(m * (m - 1)) / 2 AS t FROM (SELECT k, a, count(*) AS m FROM o GROUP BY ALL) GROUP BY k), tb AS (SELECT k, sum(m * (m - 1)) / 2 AS t FROM (SELECT k, b, count(*) AS m FROM o GROUP BY ALL) GROUP BY k)
+SELECT k AS o_orderpriority, n, round(top / sqrt((every - ta.t) * (every - tb.t)), 9) AS tau FROM p JOIN n USING (k) JOIN ta USING (k) JOIN tb USING (k)""")
+def kendall_tau(spark, sf):
+    """Kendall's tau-b of price and date by priority, over all orders."""
+    orders = table(spark, sf, "orders").select("o_orderpriority", "o_totalprice", F.unix_date(F.to_date("o_orderdate")).cast("double").alias("day"))
+    return kendall.tau_b(orders, ["o_orderpriority"], "o_totalprice", "day").withColumn("tau", F.round("tau", 9))
+
+
 _CHOOSE = "lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1)"
 _PMF = f"exp({_CHOOSE.format('d', 'k')} + {_CHOOSE.format('(n - d)', '(m - k)')} - ({_CHOOSE.format('n', 'm')}))"
 

@@ -129,3 +129,22 @@ def test_long_token_sets_are_contained_by_rarity(spark, monkeypatch, crowded, de
     got = sorted((x["t"], x["i"]) for x in relations.contained_in(spark.createDataFrame(items, "i long, s array<string>"), "s", spark.createDataFrame(targets, "t long, w array<string>"), "w").collect())
     want = sorted((t, i) for t, w in targets if w is not None for i, s in items if s and set(s) <= set(w))
     assert len(want) > 500 and got == want
+
+
+@pytest.mark.parametrize("block", [1 << 17, 13])
+def test_tau_b_equals_pairs(spark, block):
+    from dualview.operators import kendall
+
+    r = random.Random(4)
+    data = [(g, r.choice([None, float("nan"), *([float(r.randint(0, 9))] * 20)]), float(r.randint(0, 30)) if g != "flat" else 1.0) for g in ("a", "b", None, "flat") for _ in range(160)] + [("a", 3.0, 3.0)] * 90
+    got = {x["g"]: (x["n"], x["tau"]) for x in kendall.tau_b(spark.createDataFrame(data, "g string, a double, b double").repartition(3), ["g"], "a", "b", block).collect()}
+    assert set(got) == {"a", "b", None, "flat"}
+    for g in got:
+        own = [(a, b) for k, a, b in data if k == g and a is not None and a == a]
+        sign = lambda v: (v > 0) - (v < 0)
+        pairs = [(sign(x[0] - y[0]), sign(x[1] - y[1])) for i, x in enumerate(own) for y in own[:i]]
+        bottom = (sum(x != 0 for x, _ in pairs) * sum(y != 0 for _, y in pairs)) ** 0.5
+        assert got[g][0] == len(own)
+        assert (got[g][1] is None) if not bottom else got[g][1] == pytest.approx(sum(x * y for x, y in pairs) / bottom, abs=1e-12)
+    free = kendall.tau_b(spark.createDataFrame([(float(i), float(-i)) for i in range(50)], "a double, b double"), [], "a", "b", block).first()
+    assert (free["n"], free["tau"]) == (50, -1.0)
