@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import ENDPOINTS
 from ..functions import chemistry
@@ -16,6 +17,7 @@ from ..operators import resample as P
 from ..operators.settled import scratch
 from ..operators.structures import match_status
 from ..sources import files
+from ..streaming import ingest
 from .tables import LB, LI, documents, items, query, table
 
 
@@ -116,6 +118,21 @@ def kendall_tau(spark, sf):
     return kendall.tau_b(orders, ["o_orderpriority"], "o_totalprice", "day").withColumn("tau", F.round("tau", 9))
 
 
+def _balances(ids):
+    """A stand-in for a record service: every seventh key has no record."""
+    return {i: {"id": int(i), "twice": 2 * int(i)} for i in ids if int(i) % 7}
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS custkey, CASE WHEN c_custkey % 7 = 0 THEN 'missing_record' ELSE 'found' END AS status, CASE WHEN c_custkey % 7 <> 0 THEN 2 * c_custkey END AS twice FROM customer")
+def resumable_lookups(spark, sf):
+    """Customers' keys streamed from files in batches and looked up, with a row for each key that has no record."""
+    path = scratch(spark, "lookups")
+    table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("custkey")).repartition(3, "custkey").write.json(f"{path}/keys")
+    schema = T.StructType([T.StructField("custkey", T.StringType())])
+    rows = ingest.ingest_lookups(spark, f"{path}/keys", schema, "custkey", _balances, f"{path}/found", f"{path}/checkpoint")
+    return rows.select("custkey", "status", F.get_json_object("record", "$.twice").cast("long").alias("twice"))
+
+
 _CHOOSE = "lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1)"
 _PMF = f"exp({_CHOOSE.format('d', 'k')} + {_CHOOSE.format('(n - d)', '(m - k)')} - ({_CHOOSE.format('n', 'm')}))"
 
