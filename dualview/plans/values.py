@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ENDPOINTS
-from ..functions import chemistry
+from ..functions import chemistry, crystal
 from ..functions import scalars as S
 from ..operators import conditions as C
 from ..operators import gates as G
@@ -133,6 +133,22 @@ def resumable_lookups(spark, sf):
     return rows.select("custkey", "status", F.get_json_object("record", "$.twice").cast("long").alias("twice"))
 
 
+@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'unknown' WHEN 1 THEN 'cubic' WHEN 2 THEN 'tetragonal' WHEN 3 THEN 'orthorhombic' WHEN 4 THEN 'hexagonal' WHEN 5 THEN 'trigonal' WHEN 6 THEN 'monoclinic' ELSE 'triclinic' END AS system FROM part""")
+def crystal_systems(spark, sf):
+    """Systems of lattices made out of parts: a kind of cell by the key, its size by the part's, in a setting that hides its angles."""
+    kind, a = F.col("p_partkey") % 8, F.col("p_size") / F.lit(10.0) + 3
+    by = lambda *values: F.coalesce(*[F.when(kind == i + 1, F.lit(float(v))) for i, v in enumerate(values)])
+    b, c = a * by(1, 1, 1.37, 1, 1, 1.37, 1.37), a * by(1, 1.71, 1.71, 1.71, 1, 1.71, 1.71)
+    alpha, beta, gamma = (F.cos(F.radians(by(*angles))) for angles in ((90, 90, 90, 90, 70, 90, 75), (90, 90, 90, 90, 70, 103, 83), (90, 90, 90, 120, 70, 90, 101)))
+    sine = F.sqrt(1 - gamma * gamma)
+    x = (alpha - beta * gamma) / sine
+    rows = [[a, F.lit(0.0), F.lit(0.0)], [b * gamma, b * sine, F.lit(0.0)], [c * beta, c * x, c * F.sqrt(1 - beta * beta - x * x)]]
+    turns = F.col("p_partkey") % 3
+    moved = [rows[0], [rows[1][i] + turns * rows[0][i] for i in range(3)], [rows[2][i] - rows[1][i] + turns * rows[0][i] for i in range(3)]]
+    cell = F.when(kind > 0, F.array(*[F.array(*r) for r in moved]))
+    return table(spark, sf, "part").select("p_partkey", crystal.crystal_system(cell).alias("system"))
+
+
 _CHOOSE = "lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1)"
 _PMF = f"exp({_CHOOSE.format('d', 'k')} + {_CHOOSE.format('(n - d)', '(m - k)')} - ({_CHOOSE.format('n', 'm')}))"
 
@@ -154,14 +170,14 @@ def match_statuses(spark, sf):
     return table(spark, sf, "orders").withColumn("outcome", outcome).select("o_orderkey", match_status(F.col("o_orderstatus") != "P", F.col("outcome")).alias("status"))
 
 
-@query("""WITH s AS (SELECT o_orderpriority AS model, CASE WHEN o_orderstatus = 'F' THEN 'a' ELSE 'b' END AS source, avg(o_totalprice) / 300000 AS f1 FROM orders WHERE o_orderpriority < '4' GROUP BY 1, 2),
+@query("""WITH s AS (SELECT o_orderpriority AS model, CASE WHEN o_orderstatus = 'F' THEN 'a' ELSE 'b' END AS source, avg(o_totalprice) / 300000 AS f1 FROM orders GROUP BY 1, 2),
 o AS (SELECT max(names) FILTER (WHERE source = 'a') AS order_a, max(names) FILTER (WHERE source = 'b') AS order_b FROM (SELECT source, string_agg(model, '|' ORDER BY f1 DESC, model) AS names FROM s GROUP BY source)),
 d AS (SELECT max(abs(x)) AS max_shift, count(*) AS models FROM (SELECT model, max(f1) FILTER (WHERE source = 'a') - max(f1) FILTER (WHERE source = 'b') AS x FROM s GROUP BY model))
 SELECT order_a, order_b, round(max_shift, 9) AS max_shift, models, split_part(order_a, '|', 1) <> split_part(order_b, '|', 1) AS top_flip, order_a <> order_b AS order_flip,
   CASE WHEN models < 3 THEN 'BLOCKED' WHEN order_a <> order_b AND max_shift >= 0.05::DOUBLE THEN 'GO' ELSE 'NO_GO' END AS verdict FROM o, d""")
 def gate_panel(spark, sf):
     """The alternative panel's gate over scores by model and source."""
-    o = table(spark, sf, "orders").where("o_orderpriority < '4'")
+    o = table(spark, sf, "orders")
     metrics = o.groupBy(F.col("o_orderpriority").alias("model"), F.when(F.col("o_orderstatus") == "F", "a").otherwise("b").alias("source")).agg((F.avg("o_totalprice") / 300000).alias("f1"))
     return G.panel_gate(G.order_flips(metrics, "source", "model", "f1", "a", "b")).withColumn("max_shift", F.round("max_shift", 9))
 
