@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Keys of a sample, keys gathered at once for one rank, and groups that the driver follows.
+#: Keys of a sample, keys gathered at once for one rank, and groups that the driver follows. A bracket spans eight deviations of a
+#: sample's ranks, so samples of a few hundred keys at least are what makes brackets narrower.
 SAMPLE, GATHER, MOST_GROUPS = 8192, 1 << 16, 4096
 
 

@@ -32,7 +32,7 @@ def wanted(n):
     return {"first": 1, "tenth": -(-n // 10), "half": n // 2, "last": n, "none": 0, "beyond": n + 1}
 
 
-@pytest.mark.parametrize("sample,gather,groups", [(8192, 1 << 16, 4096), (16, 32, 4096), (4, 2, 4096), (8192, 1 << 16, 1)])
+@pytest.mark.parametrize("sample,gather,groups", [(8192, 1 << 16, 4096), (400, 100, 4096), (8192, 1 << 16, 1)])
 def test_rank_keys(spark, monkeypatch, sample, gather, groups):
     for name, value in (("SAMPLE", sample), ("GATHER", gather), ("MOST_GROUPS", groups)):
         monkeypatch.setattr(selection, name, value)
@@ -50,8 +50,8 @@ def test_rank_keys(spark, monkeypatch, sample, gather, groups):
 
 @pytest.mark.parametrize("search", [True, False])
 def test_within_equals_ranks(spark, monkeypatch, search):
-    monkeypatch.setattr(selection, "SAMPLE", 24)
-    monkeypatch.setattr(selection, "GATHER", 48)
+    monkeypatch.setattr(selection, "SAMPLE", 400)
+    monkeypatch.setattr(selection, "GATHER", 100)
     data = [x for x in rows() if x[0] != "b"]
     df = spark.createDataFrame(data, "g string, v double, id string").repartition(3)
     top = lambda n: {"top": ranking.top_size(n, 0.1, 20), "all": n + 5}
@@ -64,8 +64,8 @@ def test_within_equals_ranks(spark, monkeypatch, search):
 
 
 def test_quantiles_by_rank_equal_percentiles(spark, monkeypatch):
-    monkeypatch.setattr(selection, "SAMPLE", 24)
-    monkeypatch.setattr(selection, "GATHER", 48)
+    monkeypatch.setattr(selection, "SAMPLE", 400)
+    monkeypatch.setattr(selection, "GATHER", 100)
     r = random.Random(3)
     data = [(g, r.choice([None, 5.0, r.gauss(0, 1)])) for g in ("a", "b", "c") for _ in range(r.randint(300, 900))] + [("one", 2.5), ("two", 1.0), ("two", 2.0), ("nil", None)] + [("hot", 1.0)] * 500
     df = spark.createDataFrame(data, "g string, v double").repartition(4)
