@@ -117,10 +117,8 @@ def anti_join_resume(spark, sf):
   WHERE b.p_partkey > a.p_partkey AND abs(a.p_retailprice - b.p_retailprice) <= 50)
 SELECT p_partkey AS partkey, candidate, CASE WHEN candidate IS NULL THEN 'no_match' ELSE 'match' END AS status FROM p LEFT JOIN (SELECT * FROM m WHERE n = 1) ON partkey = p_partkey""")
 def first_candidate_match(spark, sf):
-    p = table(spark, sf, "part")
-    left = p.select(F.col("p_partkey").alias("partkey"), F.col("p_retailprice").alias("price"), "p_brand", "p_type")
-    right = p.select(F.col("p_partkey").alias("candidate"), F.col("p_retailprice").alias("other_price"), "p_brand", "p_type")
-    joined = R.first_candidate(left, right, ["p_brand", "p_type"], "partkey", ["price"], lambda: (F.col("candidate") > F.col("partkey")) & (F.abs(F.col("price") - F.col("other_price")) <= 50), ["candidate"])
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("partkey"), "p_brand", "p_type", "p_retailprice")
+    joined = R.first_near(p, ["p_brand", "p_type"], "partkey", "p_retailprice", 50.0, "candidate")
     return joined.select("partkey", "candidate", "status")
 
 

@@ -269,3 +269,16 @@ def test_system_hulls(spark):
     df = spark.createDataFrame(rows, "s string, id string, m map<string,double>, e double")
     got = {r["id"]: (None if r["e_above_hull"] is None else round(r["e_above_hull"], 9), r["reason"]) for r in hull.system_hulls(df, df, "s", "m", "e").collect()}
     assert got == {"1": (0, "ok"), "2": (0, "ok"), "3": (0, "ok"), "4": (0.6, "ok"), "5": (0.3, "ok"), "6": (None, "no_composition"), "7": (None, "no_composition"), "8": (None, "no_composition"), "9": (None, "missing_end_member"), "0": (0, "ok")}
+
+
+def test_first_near_equals_pairs_and_forms_few(spark):
+    rng = np.random.default_rng(6)
+    odd = [None, float("nan"), float("inf"), float("-inf"), -0.0]
+    rows = [(int(i), "xy"[j], odd[int(o)] if o < 5 else float(v)) for i, j, o, v in zip(rng.integers(0, 500, 700), rng.integers(0, 2, 700), rng.integers(0, 90, 700), rng.choice([*range(-900, 900, 10), 0.5, 50.5, 7.25], 700), strict=True)]
+    df = spark.createDataFrame([*rows, (None, "x", 1.0), (3, None, 1.0)], "id int, g string, v double").repartition(3)
+    want = {i: min((o for o, h, w in rows for k, g, v in rows if k == i and g == h and o > i and None not in (v, w) and abs(v - w) <= 50), default=None) for i in {r[0] for r in rows}}
+    got = relations.first_near(df, ["g"], "id", "v", 50.0, "next").collect()
+    assert len(got) == len(rows) + 2
+    assert all(r["next"] == want.get(r["id"]) and r["status"] == ("no_match" if want.get(r["id"]) is None else "match") for r in got)
+    hot = relations.first_near(spark.range(50_000).select("id", F.lit(1).alias("g"), (F.col("id") % 100).cast("double").alias("v")), ["g"], "id", "v", 50.0, "next")
+    assert hot.where("next = id + 1").count() == 50_000 - 1 - 499
