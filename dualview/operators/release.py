@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .ranking import running_sums
+from .ranking import SMALL, estimated_bytes, running_sums
+from .selection import rank_keys, within
+from .settled import settle
 
 
 def hashed_halves(df: DataFrame, block: str, seed: int) -> DataFrame:
@@ -23,22 +25,22 @@ def test_seeds(block: str, seeds: Sequence[int]) -> Column:
 
 def observed_mask(df: DataFrame, truth: Column, score: str, id: str, rho: float) -> DataFrame:
     """``observed``: the top round(rho * positives) positives by score, halves rounded to even."""
-    n = df.agg(F.count_if(truth).alias("_p"))
     marked = df.withColumns({"_pos": F.coalesce(truth, F.lit(False)), "_down": -F.col(score)})
-    rows = running_sums(marked, ["_pos"], ["_down", id], {"_r": F.lit(1)}).crossJoin(F.broadcast(n))
-    return rows.withColumn("observed", F.col("_pos") & (F.col("_r") <= S.half_even(F.lit(float(rho)) * F.col("_p")))).drop("_pos", "_down", "_p", "_r")
+    top = within(marked, ["_pos"], ["_down", id], lambda n: {"_top": S.half_even(F.lit(float(rho)) * n)})
+    return top.withColumn("observed", F.col("_pos") & F.col("_top")).drop("_pos", "_down", "n", "_top")
 
 
-def exceeding(test: DataFrame, maxima: DataFrame, group: Sequence[str], score: str, maximum: str) -> DataFrame:
+def exceeding(test: DataFrame, maxima: DataFrame, group: Sequence[str], score: str, maximum: str, sizes: DataFrame | None = None) -> DataFrame:
     """(group, _v, _exceed, _m): for each distinct score of ``test`` how many of its group's maxima reach it, of how many.
 
     Both sides are put in one order of values and counted along it; no pairs are formed. Groups without maxima are left out.
+    ``sizes`` (group, _m) stands for the numbers of all maxima if those below every score were left out of ``maxima``.
     """
     scores = test.select(*group, F.col(score).alias("_v")).distinct().select(*group, "_v", F.lit(0).cast("long").alias("_c"))
     both = scores.unionByName(maxima.groupBy(*group, F.col(maximum).alias("_v")).agg(F.count("*").alias("_c")))
     per = both.groupBy(*group, "_v").agg(F.sum("_c").alias("_c")).withColumn("_down", -F.col("_v"))
     counted = running_sums(per, group, ["_down"], {"_exceed": F.col("_c")}).select(*group, "_v", "_exceed")
-    sizes = maxima.groupBy(*group).agg(F.count("*").alias("_m"))
+    sizes = maxima.groupBy(*group).agg(F.count("*").alias("_m")) if sizes is None else sizes
     return counted.join(sizes, list(group)) if group else counted.crossJoin(F.broadcast(sizes))
 
 
@@ -65,17 +67,23 @@ def release_grid(rows: DataFrame, block: str, seeds: Callable[[str], Column], sc
     running count for all budgets of a seed. A seed without calibrating blocks has e = 0, so it releases nothing; a seed without rows to test is left out.
     """
     largest = max(budgets)
+    rows = rows.select(block, score, id, "observed", "lab_a", "lab_b")
     blocks = rows.groupBy(block).agg(F.max(F.when(~F.col("observed"), F.col(score))).alias("_max")).withColumn("_tests", seeds(block))
+    blocks = settle(blocks, "blocks")
     known = blocks.select(F.explode("_tests").alias("seed")).distinct().agg(F.collect_set("seed").alias("_every"))
     maxima = blocks.where("_max is not null").crossJoin(F.broadcast(known)).select("_max", F.explode(F.array_except("_every", "_tests")).alias("seed"))
-    mine = rows.select(F.col(block).alias("_block"), F.col(score).alias("_score"), F.col(id).alias("_id"), "lab_a", "lab_b").join(blocks.select(F.col(block).alias("_of"), "_tests"), F.col("_block").eqNullSafe(F.col("_of")))
+    mine = _leading(rows, block, seeds, score, largest).select(F.col(block).alias("_block"), F.col(score).alias("_score"), F.col(id).alias("_id"), "lab_a", "lab_b").join(blocks.select(F.col(block).alias("_of"), "_tests"), F.col("_block").eqNullSafe(F.col("_of")))
     best = Window.partitionBy("seed").orderBy(F.desc("_score"), "_id")
     pool = mine.select(F.explode("_tests").alias("seed"), "_score", "_id", "lab_a", "lab_b").withColumn("k", F.row_number().over(best)).where(F.col("k") <= largest)
     upto = best.rowsBetween(Window.unboundedPreceding, 0)
     wrong = lambda c: F.sum((~F.col(c)).cast("long")).over(upto)
     told = lambda c: F.count(c).over(upto)
     pool = pool.withColumns({"_fa": wrong("lab_a"), "_fb": wrong("lab_b"), "_na": told("lab_a"), "_nb": told("lab_b")})  # at most the largest budget in each seed
-    seen = exceeding(pool, maxima, ["seed"], "_score", "_max").withColumnRenamed("seed", "_seed")
+    pool = settle(pool, "pool")
+    sizes = maxima.groupBy("seed").agg(F.count("*").alias("_m"))
+    least = F.broadcast(pool.groupBy("seed").agg(F.min("_score").alias("_least")))
+    reaching = maxima.join(least, "seed").where(F.col("_least").isNull() | (F.col("_max") >= F.col("_least"))).drop("_least")
+    seen = exceeding(pool, reaching, ["seed"], "_score", "_max", sizes).withColumnRenamed("seed", "_seed")
     _, e = evidence(F.col("_exceed"), F.col("_m"))
     valued = pool.join(seen, (F.col("seed") == F.col("_seed")) & (F.col("_score") == F.col("_v")), "left").withColumn("e", F.coalesce(e, F.lit(0.0)))
     cells = valued.withColumn("budget", F.explode(F.filter(F.array(*map(F.lit, budgets)), lambda b: b >= F.col("k"))))
@@ -88,6 +96,31 @@ def release_grid(rows: DataFrame, block: str, seeds: Callable[[str], Column], sc
     return out
 
 
+def _leading(rows: DataFrame, block: str, seeds: Callable[[str], Column], score: str, largest: int) -> DataFrame:
+    """Rows among which every seed finds its ``largest`` best: those that reach a score which so many rows of each seed reach.
+
+    The bound is looked for at ranks eight times further each, and is held against exact counts by seed; a small table, and one
+    where a seed has fewer rows in all, is taken whole.
+    """
+    if estimated_bytes(rows) <= SMALL:
+        return rows
+    tests = rows.select((-F.col(score)).alias("_down"), F.col(block).alias("_block"))
+    wanted = [largest * 8 ** (i + 1) for i in range(4)]
+    keys = rank_keys(tests.select("_down"), [], ["_down"], lambda n: {f"k{i}": F.lit(x) for i, x in enumerate(wanted)}).first()
+    every = None
+    for i in range(len(wanted)):
+        if keys is None or keys[f"k{i}"] is None or keys[f"k{i}"]["_down"] is None:
+            continue
+        at = keys[f"k{i}"]["_down"]
+        if every is None:
+            every = {r["seed"] for r in tests.select("_block").distinct().select(F.explode(seeds("_block")).alias("seed")).distinct().collect()}
+        best = tests.where(F.col("_down") <= at)
+        full = {r["seed"] for r in best.select(F.explode(seeds("_block")).alias("seed")).groupBy("seed").count().where(F.col("count") >= largest).collect()}
+        if full == every:
+            return rows.where(-F.col(score) <= at)
+    return rows
+
+
 def release(test: DataFrame, score: str, id: str, budget: int, alpha: float) -> DataFrame:
     """One row: how many of the ``budget`` best-scored rows are released, the best mass ratio, and false shares.
 
