@@ -148,3 +148,22 @@ def test_tau_b_equals_pairs(spark, block):
         assert (got[g][1] is None) if not bottom else got[g][1] == pytest.approx(sum(x * y for x, y in pairs) / bottom, abs=1e-12)
     free = kendall.tau_b(spark.createDataFrame([(float(i), float(-i)) for i in range(50)], "a double, b double"), [], "a", "b", block).first()
     assert (free["n"], free["tau"]) == (50, -1.0)
+
+
+@pytest.mark.parametrize("name", ["release_grid", "topk_prefix_metrics", "topk_quadrants", "conformal_evalue_release", "rank_bins_overlap", "filtered_benchmark", "median_threshold_f1", "rank_percentile"])
+def test_ways_of_large_tables_equal_sql(spark, small, monkeypatch, name):
+    from dualview.operators import release
+    from dualview.plans.catalog import ORACLES, QUERIES
+    from oracle import assert_same, connect
+
+    for module, attribute in ((ranking, "SMALL"), (ranking, "BELIEVED"), (release, "SMALL")):
+        monkeypatch.setattr(module, attribute, -1)
+    monkeypatch.setattr(selection, "GATHER", 1000)
+    assert_same(QUERIES[name](spark, small), connect(small), ORACLES[name])
+
+
+def test_size_is_that_of_rows_not_of_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(ranking, "BELIEVED", 1000, raising=False)
+    spark.range(50_000).select(F.lit(1).alias("x")).write.parquet(str(tmp_path / "t"))
+    many = spark.read.parquet(str(tmp_path / "t")).select("x", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("y"))
+    assert ranking.estimated_bytes(many) == 50_000 * 200 * 16
