@@ -167,3 +167,23 @@ def test_size_is_that_of_rows_not_of_files(spark, monkeypatch, tmp_path):
     spark.range(50_000).select(F.lit(1).alias("x")).write.parquet(str(tmp_path / "t"))
     many = spark.read.parquet(str(tmp_path / "t")).select("x", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("y"))
     assert ranking.estimated_bytes(many) == 50_000 * 200 * 16
+
+
+def test_rank_search_reads_a_table_once_for_each_column(spark):
+    read, n = spark.sparkContext.accumulator(0), 3000
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(n).selectExpr("id % 3 AS g", "cast(id % 700 AS double) AS v", "cast(id AS string) AS id").mapInArrow(counted, "g long, v double, id string")
+    found = selection.rank_keys(df, ["g"], ["v", "id"], lambda k: {f"r{i}": F.ceil(k * i / 7) for i in range(1, 7)}).collect()
+    assert {r["n"] for r in found} == {1000} and all(r[f"r{i}"] for r in found for i in range(1, 7))
+    assert read.value == 2 * n
+
+
+def test_rows_are_held_against_keys_by_broadcast(spark):
+    df = spark.range(3000).selectExpr("id % 3 AS g", "id % 700 AS v", "id")
+    plan = selection.within(df, ["g"], ["v", "id"], lambda n: {"top": F.ceil(n / 10)}, True)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
