@@ -555,7 +555,7 @@ def keep_one(docs: DataFrame, words: int = 5, bits: int = 3, least: float = 0.8,
     """
     known = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *text_key(text), F.coalesce(F.col(text), F.lit("")).alias("text"))
     counts = marked(known, words, least, np.zeros(0, dtype=np.uint64)).select(F.explode("prefix").alias("shingle")).groupBy("shingle").count().where(F.col("count") > COMMON)
-    common = counts.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle").toArrow().column(0).to_numpy().view(np.uint64)[::-1]
+    common = settle(counts, "counts").orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle").toArrow().column(0).to_numpy().view(np.uint64)[::-1]
     marks = settle(marked(known, words, least, common), "marks")
     same = ["key", "key_a", "key_b"]
     first = marks.groupBy("shingles").agg(F.min(F.struct(*same)).alias("first"), F.first("fp").alias("fp")).select("shingles", "first.*", "fp")

@@ -1,10 +1,12 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from dualview.llm import registry
-from dualview.llm.common import named
+from dualview.llm.common import CLEANUP, named, settle
 from oracle import assert_same, connect
 
 from .conftest import prose
@@ -62,3 +64,16 @@ def test_registered(spark, small):
 
 def test_line_dedup_equals_sql(spark, small):
     assert_same(registry.QUERIES["op6_line_dedup"](spark, small), connect(small), registry.ORACLES["op6_line_dedup"])
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(disk.getAllFiles().mkString(" ").split())
+    before = files()
+    rows = spark.range(20_000).repartition(4).groupBy((F.col("id") % 50).alias("k")).count()
+    kept = settle(rows, "counted")
+    for _ in range(50):  # Spark deletes them a moment later
+        if not (left := {f for f in files() - before if "shuffle_" in f}):
+            break
+        time.sleep(0.2)
+    assert not left and kept.count() == 50 and rows.count() == 50 and spark.conf.get(CLEANUP) == "false"
