@@ -72,22 +72,33 @@ def shuffled(i: np.ndarray, n: int, keys: np.ndarray) -> np.ndarray:
     """
     half = np.uint64(max(1, (max(n - 1, 1).bit_length() + 1) // 2))
     mask = (np.uint64(1) << half) - np.uint64(1)
+    rounds = np.ascontiguousarray(keys.T)
 
     def once(x: np.ndarray, k: np.ndarray) -> np.ndarray:
         left, right = x >> half, x & mask
         for r in range(4):
-            mixed = (right + k[..., r]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = right + k[r]
+            mixed *= np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
             mixed *= np.uint64(0xBF58476D1CE4E5B9)
-            left, right = right, left ^ ((mixed >> np.uint64(32)) & mask)
-        return left << half | right
-
-    out = once(np.broadcast_to(i.astype(np.uint64)[:, None], (len(i), len(keys))), keys[None])
-    while True:
-        far = np.nonzero(out >= n)
-        if not len(far[0]):
-            return out.astype(np.int64)
-        out[far] = once(out[far], keys[far[1]])
+            mixed >>= np.uint64(32)
+            mixed &= mask
+            mixed ^= left
+            left, right = right, mixed
+        left <<= half
+        left |= right
+        return left
+
+    out = once(np.broadcast_to(i.astype(np.uint64)[:, None], (len(i), len(keys))), rounds)
+    flat = out.reshape(-1)
+    far = np.flatnonzero(flat >= n)
+    left, own = flat[far], rounds[:, far % max(1, len(keys))]
+    while len(far):
+        left = once(left, own)
+        flat[far] = left
+        on = np.flatnonzero(left >= n)
+        far, left, own = far[on], left[on], own[:, on]
+    return out.view(np.int64)
 
 
 def replicate_keys(seed: int, replicates: int) -> np.ndarray:
@@ -116,8 +127,13 @@ def _newton_step(sums: np.ndarray, w: np.ndarray, c: float) -> np.ndarray:
     return np.linalg.solve(h + np.eye(d), (w + c * sums[:, :d])[..., None])[..., 0]
 
 
-#: Rows times replicates that a task holds in one array.
-CELLS = 1 << 20
+#: Rows times replicates in one array, so few that it stays in a core's cache, and in one task.
+CELLS, TASK_CELLS = 1 << 15, 1 << 23
+
+
+def task_count(rows: int, replicates: int) -> int:
+    """Tasks over which the refits of ``rows`` rows are dealt."""
+    return max(1, -(-rows * replicates // TASK_CELLS))
 
 
 def rank_permutations(df: DataFrame, group: str, columns: Sequence[str], label: str, order: Sequence[str], replicates: int, seed: int, c: float = 1.0, rounds: int = 50) -> DataFrame:
@@ -136,6 +152,8 @@ def rank_permutations(df: DataFrame, group: str, columns: Sequence[str], label:
     for i in range(k):
         rows = rows.where(F.col(f"_x{i}").isNotNull() & ~F.isnan(f"_x{i}"))
     placed = settle(ranked(rows, ["_g"], [f"_o{i}" for i in range(len(order))]).select("_g", *[f"_x{i}" for i in range(k)], "_y", "rank", "n"), "ranks")
+    # the work is rows times replicates, however few bytes or files the rows take
+    placed = settle(placed.repartition(task_count(placed.count(), replicates), "rank"), "ranks")
     stats = {r["_g"]: r for r in placed.groupBy("_g").agg(F.max("n").alias("n"), F.min("_y").alias("no"), F.max("_y").alias("yes"), *[f(f"_x{i}").alias(f"{m}{i}") for i in range(k) for m, f in (("mean", F.avg), ("dev", F.stddev_pop), ("low", F.min), ("high", F.max))]).where("no < yes").collect()}
     known = {g: (r["n"], np.array([r[f"mean{i}"] for i in range(k)]), np.array([r[f"dev{i}"] if r[f"low{i}"] < r[f"high{i}"] else 1.0 for i in range(k)])) for g, r in stats.items()}
     keys, spark = replicate_keys(seed, replicates), df.sparkSession
@@ -154,13 +172,13 @@ def rank_permutations(df: DataFrame, group: str, columns: Sequence[str], label:
                             continue
                         n, mean, dev = known[g]
                         wide, now = max(1, CELLS // len(sent.value[g])), sent.value[g]
+                        x = np.column_stack(((some[[f"_x{i}" for i in range(k)]].to_numpy(float) - mean) / dev, np.ones(len(some))))
+                        y, places = some["_y"].to_numpy(float), some["rank"].to_numpy(np.int64) - 1
                         for a in range(0, len(some), wide):
-                            part = some.iloc[a : a + wide]
-                            x = np.column_stack(((part[[f"_x{i}" for i in range(k)]].to_numpy(float) - mean) / dev, np.ones(len(part))))
-                            place = part["rank"].to_numpy(np.int64) - 1
+                            place = places[a : a + wide]
                             ranks = (shuffled(place, n, keys) if shuffle else place[:, None]) + 1.0
                             last = (ranks - (n + 1) / 2) / max(((n * n - 1) / 12) ** 0.5, 1e-300)
-                            total[g] = total.get(g, 0) + _newton_sums(x, part["_y"].to_numpy(float), last, now)
+                            total[g] = total.get(g, 0) + _newton_sums(x[a : a + wide], y[a : a + wide], last, now)
                 for g, sums in total.items():
                     yield pd.DataFrame(sums, columns=[f"s{i}" for i in range(width)]).assign(_g=g, rep=np.arange(len(sums)))[["_g", "rep", *[f"s{i}" for i in range(width)]]]
 

@@ -115,3 +115,24 @@ def test_rank_permutations_equal_refits(spark):
             assert got[g, rep] == pytest.approx(w[2], abs=1e-8)
     p = {x["model"]: x["p_value"] for x in logistic.permuted_p(spark.createDataFrame([("m", -1, -0.5), ("m", 0, 0.5), ("m", 1, 0.1), ("m", 2, -0.7)], "model string, rep int, coefficient double")).collect()}
     assert p == {"m": 0.75}
+
+
+def test_refits_are_dealt_by_their_work_and_places_stay_the_same():
+    # 600,000 rows may be one small file, yet are 1.2e9 cells
+    assert logistic.task_count(600_000, 2000) > 100 and logistic.task_count(0, 2000) == 1
+    assert logistic.CELLS * 8 <= 1 << 18
+    # Feistel rounds one place at a time
+    n, keys = 300, logistic.replicate_keys(5, 3)
+    for i in range(n):
+        for r, found in enumerate(logistic.shuffled(np.array([i]), n, keys)[0]):
+            x = i
+            while True:
+                left, right = x >> 5, x & 31
+                for k in keys[r].tolist():
+                    mixed = (right + k) * 0x9E3779B97F4A7C15 % (1 << 64)
+                    mixed = (mixed ^ mixed >> 29) * 0xBF58476D1CE4E5B9 % (1 << 64)
+                    left, right = right, left ^ (mixed >> 32 & 31)
+                x = left << 5 | right
+                if x < n:
+                    break
+            assert x == found
