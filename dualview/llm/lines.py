@@ -30,6 +30,8 @@ from .common import map_slices, named, settle
 
 BLOCKS = 4
 MIN_CHARS = 24
+#: Bytes of text whose lines are hashed at once; their arrays stay in a core's cache.
+SLICE = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 UNBASE = pow(BASE, -1, 1 << 64)
 _POWERS: list[np.ndarray] = []
@@ -92,10 +94,23 @@ class Lines:
         return np.concatenate(out, axis=1)
 
 
-def line_keys(text: str, lines: Lines) -> np.ndarray:
-    """128-bit identity of each kept line, as pairs of int64."""
-    rows = text.split("\n")
-    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(rows[i].encode()) for i in lines.no.tolist()), dtype=np.int64).reshape(-1, 2)
+def joined(texts: list[str], min_chars: int) -> tuple[Lines, list[bytes], np.ndarray, np.ndarray]:
+    """Long lines of many texts, handled as one text: all its lines as bytes, and text and number of each long one.
+
+    Hashes don't depend on where a line stands, so a slice takes one pass and not one for each text.
+    """
+    whole = "\n".join(texts)
+    lines = Lines(whole, min_chars)
+    counts = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
+    first = np.cumsum(counts) - counts
+    pick = np.searchsorted(first, lines.no, side="right") - 1
+    rows = whole.encode().split(b"\n")
+    return lines, [rows[i] for i in lines.no.tolist()], pick, lines.no - first[pick]
+
+
+def line_keys(rows: list[bytes]) -> np.ndarray:
+    """128-bit identity of each line, as pairs of int64."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, rows)), dtype=np.int64).reshape(-1, 2)
 
 
 def _scan(docs: DataFrame, key: str, text: str, min_chars: int, extra: str) -> DataFrame:
@@ -104,34 +119,21 @@ def _scan(docs: DataFrame, key: str, text: str, min_chars: int, extra: str) -> D
     rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")).where("text is not null")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pick, no, ids, more = [], [], [], []
-        for i, t in enumerate(batch.column(2).to_pylist()):
-            lines = Lines(t, min_chars)
-            if not len(lines.no):
-                continue
-            pick.append(np.full(len(lines.no), i))
-            no.append(lines.no)
-            ids.append(line_keys(t, lines))
-            if extra == "keys":
-                more.append(lines.coarse().view(np.int64))
-            elif extra == "line":
-                rows = t.split("\n")
-                more += [rows[j] for j in lines.no.tolist()]
-        pick = pa.array(np.concatenate([*pick, np.zeros(0, dtype=np.int64)]))
-        ids = np.concatenate([*ids, np.zeros((0, 2), dtype=np.int64)])
-        out = [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(np.concatenate([*no, np.zeros(0, dtype=np.int64)]).astype(np.int32)), pa.array(np.ascontiguousarray(ids[:, 0])), pa.array(np.ascontiguousarray(ids[:, 1]))]
+        lines, found, pick, no = joined(batch.column(2).to_pylist(), min_chars)
+        pick, ids = pa.array(pick), line_keys(found)
+        out = [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(no.astype(np.int32)), pa.array(np.ascontiguousarray(ids[:, 0])), pa.array(np.ascontiguousarray(ids[:, 1]))]
         names = ["doc", "mark", "no", "a", "b"]
         if extra == "keys":
-            flat = np.concatenate([*more, np.zeros((0, 2 * BLOCKS), dtype=np.int64)]).reshape(-1)
+            flat = lines.coarse().view(np.int64).reshape(-1)
             out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2 * BLOCKS, dtype=np.int32)), pa.array(flat)))
             names.append("keys")
         elif extra == "line":
-            out.append(pa.array(more, type=pa.string()))
+            out.append(pa.array(found, type=pa.string()))
             names.append("line")
         return pa.RecordBatch.from_arrays(out, names=names)
 
     schema = f"doc {kind}, mark long, no int, a long, b long" + {"keys": ", keys array<long>", "line": ", line string", "": ""}[extra]
-    return map_slices(rows, "text", step, schema)
+    return map_slices(rows, "text", step, schema, most=SLICE)
 
 
 def meeting(distinct: DataFrame) -> DataFrame:

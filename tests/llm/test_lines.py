@@ -81,3 +81,15 @@ def test_columns_of_any_name_pass_through(spark):
     labelled = docs.withColumn("lang", F.lit("en"))
     kept = corpus_pipeline.identify_language(spark, labelled, "")
     assert kept.columns == labelled.columns and [tuple(r) for r in kept.orderBy("doc_id").collect()] == [tuple(r) for r in labelled.orderBy("doc_id").collect()]
+
+
+def test_texts_of_a_slice_are_hashed_as_one(monkeypatch):
+    texts = ["", "a line that is long enough to be compared\nshort\n" + "é" * 30, "short", "\n\n" + "x" * 24, "a line that is long enough to be compared\n"]
+    apart = [lines.Lines(t, 24) for t in texts]
+    passes, plain = [], lines.Lines
+    monkeypatch.setattr(lines, "Lines", lambda *a: passes.append(a) or plain(*a))
+    whole, rows, pick, no = lines.joined(texts, 24)
+    assert len(passes) == 1
+    assert list(zip(pick.tolist(), no.tolist(), strict=True)) == [(i, n) for i, x in enumerate(apart) for n in x.no.tolist()]
+    assert rows == [texts[i].split("\n")[n].encode() for i, n in zip(pick.tolist(), no.tolist(), strict=True)]
+    assert whole.coarse().tolist() == [h for x in apart for h in x.coarse().tolist()]
